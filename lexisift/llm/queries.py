@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexisift.session import table
 
-from . import encoding, lookalike, pii
+from . import encoding, lookalike, pii, secrets
 
 
 def p2_found(spark, d):
@@ -39,5 +39,23 @@ def p4_restored(spark, d):
     return fixed.select("file_id", "encoding", F.col("repair.n_garbled").alias("n_garbled"), F.col("repair.n_lost").alias("n_lost"), F.col("repair.restored").alias("restored")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored)}
+def _files_with_secrets(spark, d):
+    files = table(spark, d, "files").select("file_id", "repo", "file_path", "content").filter("file_id is not null and content is not null")
+    return secrets.scan(files, "content", "file_path")
+
+
+def p5_found(spark, d):
+    hits = _files_with_secrets(spark, d).select(F.lit("files").alias("tab"), F.col("file_id").alias("rec_id"), F.explode("secrets.spans.line_no").alias("line_no"))
+    findings = table(spark, d, "findings").select("finding_id", "file_path", "line_number", "matched_text").filter("finding_id is not null and matched_text is not null")
+    flagged = secrets.scan(findings, "matched_text", "file_path").filter(F.size("secrets.spans") > 0)
+    return hits.unionByName(flagged.select(F.lit("findings").alias("tab"), F.col("finding_id").alias("rec_id"), F.col("line_number").alias("line_no"))).distinct()
+
+
+def p5_redacted(spark, d):
+    """The files with secrets, blanked out in place: same length, same lines."""
+    found = _files_with_secrets(spark, d).filter(F.size("secrets.spans") > 0)
+    return found.select("file_id", "repo", F.size("secrets.spans").alias("n_secrets"), F.col("secrets.redacted").alias("redacted"), (F.length("secrets.redacted") == F.length("content")).alias("same_length")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted)}
 ORACLE: dict[str, str] = {}
