@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexisift.session import table
 
-from . import encoding, lookalike, pii, secrets
+from . import encoding, lookalike, parsing, pii, secrets
 
 
 def p2_found(spark, d):
@@ -57,5 +57,25 @@ def p5_redacted(spark, d):
     return found.select("file_id", "repo", F.size("secrets.spans").alias("n_secrets"), F.col("secrets.redacted").alias("redacted"), (F.length("secrets.redacted") == F.length("content")).alias("same_length")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted)}
+def _checked_files(spark, d):
+    files = table(spark, d, "files").select("file_id", "repo", "file_path", "content").filter("file_id is not null").dropDuplicates(["file_id"])
+    return parsing.check(files, "content", "file_path")
+
+
+def p6_found(spark, d):
+    files = table(spark, d, "files").select("file_id", "file_path", "content").filter("file_id is not null")
+    return parsing.check(files, "content", "file_path").filter("syntax.n_errors > 0").select("file_id").distinct()
+
+
+def p6_errors(spark, d):
+    """Per invalid file all errors and the first cause."""
+    bad = _checked_files(spark, d).filter("syntax.n_errors > 0")
+    return bad.select("file_id", "repo", F.col("path_language").alias("language"), "syntax.n_errors", "syntax.first_line", "syntax.first_cause", "syntax.errors")
+
+
+def p6_rates(spark, d):
+    return parsing.rates(_checked_files(spark, d), "repo")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates)}
 ORACLE: dict[str, str] = {}
