@@ -5,6 +5,10 @@ together: the stream's checkpoint holds the state of each micro-batch, and each
 number, so a batch that is run again replaces what it wrote. Every delivery with an identifier gets a decision; those that
 the watermark shuts out of the state are looked up in the decisions written so far.
 
+Identifiers are kept in buckets, a bucket being one entry of the state store: sorted arrays of identifier, smallest delivery
+and latest event time, merged with a batch's rows at once rather than key by key. ``buckets`` sets the entry's size; a few
+hundred identifiers each is a good choice. Expired identifiers leave whenever their bucket is touched or times out.
+
 Before the shuffle each Arrow batch is reduced to the smallest delivery of each identifier, so that an identifier with a
 third of all rows sends a few rows per batch to its task.
 
@@ -16,9 +20,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.compute as pc
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +31,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexisift.session import work_dir
 
 EARLY = "1970-01-01 00:00:00"
-LOCAL = "key string, id bigint, ts timestamp, surplus boolean"
-DECISIONS = "key string, id bigint, surplus boolean"
+LOCAL = "h bigint, l bigint, id bigint, ts bigint, surplus boolean"
+DECISIONS = "h bigint, l bigint, id bigint, surplus boolean"
 
 
 def uuid_key(c: Column) -> Column:
@@ -38,56 +42,69 @@ def uuid_key(c: Column) -> Column:
     return F.when(bare.rlike("^[0-9a-f]{32}$"), bare).when(F.length(trimmed) > 0, F.concat(F.lit("="), trimmed))
 
 
+def halves(key: Column) -> tuple[Column, Column]:
+    """A UUID's 128 bits as two numbers; of any other identifier, the bits of its MD5."""
+    bits = F.when(key.startswith("="), F.md5(key)).otherwise(key)
+    return F.conv(F.substring(bits, 1, 16), 16, -10).cast("bigint"), F.conv(F.substring(bits, 17, 16), 16, -10).cast("bigint")
+
+
 def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per identifier the smallest delivery of the batch stays a candidate, the others are surplus."""
     for b in batches:
-        t = pa.Table.from_batches([b])
-        least = t.group_by("key").aggregate([("id", "min")])
-        joined = t.join(least, "key")
-        surplus = pc.greater(joined["id"], joined["id_min"])
-        out = pa.table({"key": joined["key"], "id": joined["id"], "ts": joined["ts"], "surplus": surplus})
-        yield from out.to_batches()
+        h, l, i = (b.column(k).to_numpy(zero_copy_only=False) for k in ("h", "l", "id"))
+        order = np.lexsort((i, l, h))
+        first = np.ones(len(order), bool)
+        first[1:] = (h[order][1:] != h[order][:-1]) | (l[order][1:] != l[order][:-1])
+        surplus = np.empty(len(order), bool)
+        surplus[order] = ~first
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("h", "l", "id", "ts")), pa.array(surplus)], names=["h", "l", "id", "ts", "surplus"])
 
 
-def _decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the smallest delivery number seen, and the latest event time."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if key[0].startswith("#"):
+_ENTRY = np.dtype([("h", "<i8"), ("l", "<i8"), ("id", "<i8"), ("last", "<i8")])
+
+
+def _decide(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: the bucket's identifiers with the smallest delivery seen and the latest event time."""
+    if slot[0] < 0:
         for part in parts:
-            yield part[["key", "id"]].assign(surplus=True)
+            yield part[["h", "l", "id", "surplus"]]
         return
-    keep, last = state.get if state.exists else (None, 0)
-    before = keep
-    for part in parts:
-        low = int(part["id"].min())
-        last = max(last, int(part["ts"].max().value // 1_000_000))
-        over = part["id"] > low
-        out = part.loc[over, ["key", "id"]].assign(surplus=True)
-        if len(out):
-            yield out
-        if keep is None or low < keep:
-            if keep is not None:
-                yield pd.DataFrame({"key": key[0], "id": [keep], "surplus": [True]})
-            keep = low
-        elif low > keep:
-            yield pd.DataFrame({"key": key[0], "id": [low], "surplus": [True]})
-    if keep != before:
-        yield pd.DataFrame({"key": key[0], "id": [keep], "surplus": [False]})
-    state.update((keep, last))
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
-
-
-def decisions(rows: DataFrame, horizon: str) -> DataFrame:
-    """rows (key, id, ts), streaming -> decisions (key, id, surplus) on every delivery that the watermark lets in.
-
-    A delivery that its own Arrow batch settles passes under a slot of its own and takes no state, so the rows of a hot
-    identifier spread. A delivery may be decided on twice: once kept, it becomes surplus when a smaller one comes later.
+    kept = np.frombuffer(state.get[0], _ENTRY) if state.exists else np.empty(0, _ENTRY)
+    if not state.hasTimedOut:
+        for part in parts:
+            new = np.empty(len(part), _ENTRY)
+            new["h"], new["l"], new["id"], new["last"] = part["h"], part["l"], part["id"], part["ts"]
+            both = np.concatenate([kept, new])
+            old = np.arange(len(both)) < len(kept)
+            order = np.lexsort((both["id"], both["l"], both["h"]))
+            both, old = both[order], old[order]
+            first = np.ones(len(both), bool)
+            first[1:] = (both["h"][1:] != both["h"][:-1]) | (both["l"][1:] != both["l"][:-1])
+            group = np.cumsum(first) - 1
+            keeper = both["id"][first][group]
+            surplus = both["id"] > keeper
+            said = surplus | ~old  # what was kept before and is kept still needs no word
+            yield pd.DataFrame({"h": both["h"][said], "l": both["l"][said], "id": both["id"][said], "surplus": surplus[said]})
+            last = np.maximum.reduceat(both["last"], np.flatnonzero(first)) if len(both) else both["last"]
+            kept = both[first].copy()
+            kept["last"] = last
+    kept = kept[kept["last"] >= state.getCurrentWatermarkMs()]
+    if len(kept):
+        state.update((kept.tobytes(),))
+        state.setTimeoutTimestamp(max(int(kept["last"].min()), state.getCurrentWatermarkMs()) + 1)
+    elif state.exists:
+        state.remove()
+
+
+def decisions(rows: DataFrame, horizon: str, buckets: int) -> DataFrame:
+    """rows (h, l, id, ts), streaming -> decisions (h, l, id, surplus) on every delivery that the watermark lets in.
+
+    A delivery that its own Arrow batch settles passes under a slot that keeps no state, so the rows of a hot identifier
+    spread. A delivery may be decided on twice: once kept, it becomes surplus when a smaller one comes later.
     """
-    local = rows.mapInArrow(_first_of_batch, LOCAL).withWatermark("ts", horizon)
-    slot = F.when(F.col("surplus"), F.concat(F.lit("#"), F.col("id"))).otherwise(F.col("key"))
-    return local.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(_decide, DECISIONS, "keep bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    local = rows.mapInArrow(_first_of_batch, LOCAL).withColumn("when", F.timestamp_millis("ts")).withWatermark("when", horizon)
+    slot = F.when(F.col("surplus"), -1 - F.pmod("id", F.lit(buckets))).otherwise(F.pmod(F.xxhash64("h", "l"), F.lit(buckets)))
+    return local.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(_decide, DECISIONS, "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -99,13 +116,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 class Deduplicator:
     """Runs the stream over a folder of parquet files until all that is there is read; a later run goes on from there."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None, horizon: str = "7 days", files_per_batch: int | None = None):
+    def __init__(self, spark: SparkSession, home: str | None = None, horizon: str = "7 days", files_per_batch: int | None = None, buckets: int = 2048):
         self.spark, self.home, self.horizon, self.files = spark, home or work_dir(spark, "dedup"), horizon, files_per_batch
+        self.buckets = buckets
         self.dropped = 0
 
     def _rows(self, df: DataFrame, key: str, order: str, ts: str, received: str | None) -> DataFrame:
         when = F.coalesce(F.col(ts), F.col(received) if received else F.lit(None), F.lit(EARLY).cast("timestamp"))
-        return df.select(uuid_key(F.col(key)).alias("key"), F.col(order).cast("bigint").alias("id"), when.cast("timestamp").alias("ts")).filter("key is not null and id is not null")
+        keyed = df.select(uuid_key(F.col(key)).alias("key"), F.col(order).cast("bigint").alias("id"), F.unix_millis(when.cast("timestamp")).alias("ts"))
+        h, l = halves(F.col("key"))
+        return keyed.filter("key is not null and id is not null").select(h.alias("h"), l.alias("l"), "id", "ts")
 
     def run(self, path: str, key: str = "event_id", order: str = "delivery_id", ts: str = "event_timestamp", received: str | None = "received_at") -> DataFrame:
         spark = self.spark
@@ -123,7 +143,7 @@ class Deduplicator:
         spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         try:
             query = (
-                decisions(stream, self.horizon)
+                decisions(stream, self.horizon, self.buckets)
                 .writeStream.option("checkpointLocation", f"{self.home}/checkpoint")
                 .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
                 .trigger(availableNow=True)
@@ -144,15 +164,15 @@ class Deduplicator:
         except AnalysisException:  # no batch was run: the source has no rows
             written = spark.createDataFrame([], DECISIONS)
         if self.dropped:
-            late = self._rows(source, key, order, ts, received).select("key", "id").join(written.select("id"), "id", "left_anti")
+            late = self._rows(source, key, order, ts, received).select("h", "l", "id").join(written.select("id"), "id", "left_anti")
             written = settle(late, written)
         return written.groupBy("id").agg(F.max("surplus").alias("surplus"))
 
 
 def settle(late: DataFrame, written: DataFrame) -> DataFrame:
-    """written with decisions on late (key, id): their identifiers are looked up among the deliveries kept so far."""
-    known = written.join(late.select("key").distinct(), "key", "left_semi").select("key", "id")
-    both = late.select("key", "id").unionByName(known)
-    least = both.groupBy("key").agg(F.min("id").alias("least"))
-    found = both.join(least, "key").select("key", "id", (F.col("id") > F.col("least")).alias("surplus"))
-    return written.select("key", "id", "surplus").unionByName(found)
+    """written with decisions on late (h, l, id): their identifiers are looked up among the deliveries seen so far."""
+    known = written.join(late.select("h", "l").distinct(), ["h", "l"], "left_semi").select("h", "l", "id")
+    both = late.select("h", "l", "id").unionByName(known)
+    least = both.groupBy("h", "l").agg(F.min("id").alias("least"))
+    found = both.join(least, ["h", "l"]).select("h", "l", "id", (F.col("id") > F.col("least")).alias("surplus"))
+    return written.select("h", "l", "id", "surplus").unionByName(found)
