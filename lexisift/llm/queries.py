@@ -6,7 +6,19 @@ from pyspark.sql import functions as F
 
 from lexisift.session import table
 
-from . import encoding, lookalike, parsing, pii, secrets
+from . import encoding, lookalike, parsing, pii, provenance, secrets
+
+
+def p1_found(spark, d):
+    files = table(spark, d, "files").select("file_id", "repo", "file_path", "content")
+    return provenance.classify(files).filter("reason is not null").select(F.col("file_key").alias("file_id"))
+
+
+def p1_reasons(spark, d):
+    """Per repository, how many files are hand-written and how many are not, by reason."""
+    files = table(spark, d, "files").select("file_id", "repo", "file_path", "content")
+    verdicts = provenance.classify(files).select(F.col("file_key").alias("file_id"), F.coalesce("reason", F.lit("hand-written")).alias("reason"))
+    return verdicts.join(files.select("file_id", "repo").dropDuplicates(["file_id"]), "file_id").groupBy("repo", "reason").agg(F.count("*").alias("n_files"))
 
 
 def p2_found(spark, d):
@@ -77,5 +89,5 @@ def p6_rates(spark, d):
     return parsing.rates(_checked_files(spark, d), "repo")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates)}
 ORACLE: dict[str, str] = {}
