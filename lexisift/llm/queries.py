@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexisift.session import table
+from lexisift.session import table, written
 
-from . import encoding, lookalike, parsing, pii, provenance, secrets
+from . import encoding, lookalike, mixing, packing, parsing, pii, provenance, quality, secrets, tokens
 
 
 def p1_found(spark, d):
@@ -89,5 +89,38 @@ def p6_rates(spark, d):
     return parsing.rates(_checked_files(spark, d), "repo")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates)}
+def _sized(spark, d):
+    """Documents with their tokens and the class of equal texts (but for case and white space)."""
+    docs = table(spark, d, "documents").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    same = F.xxhash64(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
+    return written(docs.select("doc_id", "source", same.alias("cluster"), tokens.count(F.col("text")).alias("tokens")), "sized")
+
+
+def p8_pack(spark, d):
+    return packing.pack(_sized(spark, d), table(spark, d, "pack_sizes")).select("pack_name", "bin", "doc_id", "piece", "tokens")
+
+
+def p8_report(spark, d):
+    return packing.report(packing.pack(_sized(spark, d), table(spark, d, "pack_sizes")))
+
+
+def p9_mix(spark, d):
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark, d):
+    stats = quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.not_prose(quality.outliers(stats)).select(F.col("key").alias("doc_id")).distinct()
+
+
+def p10_statistics(spark, d):
+    stats = quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.outliers(stats).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 ORACLE: dict[str, str] = {}
