@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisift.session import written
+
 from .grammar import Grammars
 
 _TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\W\d]\w*|\d[\w.]*|[^\w\s]")
@@ -186,7 +188,7 @@ def verdict(path: Column) -> Column:
 
 def classify(files: DataFrame, key: str = "file_id", path: str = "file_path", text: str = "content", repo: str = "repo") -> DataFrame:
     """(file_key, reason, features): reason is null for hand-written files."""
-    feats = features(files, key, text)
+    feats = written(features(files, key, text), "grammars")  # used several times, costly to make
     near = shared(feats, files, key, repo)
     paths = files.select(F.col(key).cast("long").alias("file_key"), F.coalesce(F.col(path), F.lit("")).alias("path")).filter("file_key is not null").dropDuplicates(["file_key"])
     unique = feats.drop("rules").dropDuplicates(["file_key"])
