@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexisift.plans import delivery
+from lexisift.plans import delivery, detection
 
-MODULES = (delivery,)
+MODULES = (delivery, detection)
 
 
 def core_queries() -> dict:

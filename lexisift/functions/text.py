@@ -95,7 +95,7 @@ def digits(c: Column) -> Column:
 def luhn(c: Column) -> Column:
     """Checksum of 12 to 19 digits; other characters don't count."""
     d = digits(c)
-    return F.length(d).between(12, 19) & F.luhn_check(d)
+    return F.length(d).between(12, 19) & F.call_function("luhn_check", d)
 
 
 #: First digits of card numbers, in order of precedence (fixed values).
