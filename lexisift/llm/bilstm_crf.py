@@ -32,9 +32,18 @@ def _char_id(c: str) -> int:
     return got
 
 
+class _Table(dict):
+    def __missing__(self, o: int) -> str:
+        got = self[o] = chr(_char_id(chr(o)))
+        return got
+
+
+_TABLE = _Table()
+
+
 def encode(text: str) -> np.ndarray:
-    """One id per character; offsets stay those of the text."""
-    return np.fromiter(map(_char_id, text), np.int16, len(text))
+    """One id (below 256) per character; offsets stay those of the text."""
+    return np.frombuffer(text.translate(_TABLE).encode("latin-1"), np.uint8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,6 +55,7 @@ class Tagger:
         self.w = weights
         self.hidden = weights["U"].shape[1]
         self.tags = weights["T"].shape[0]
+        self._ready: list | None = None
 
     @classmethod
     def new(cls, hidden: int, tags: int, seed: int) -> "Tagger":
@@ -55,59 +65,89 @@ class Tagger:
         x[:, :, hidden : 2 * hidden] += 0.5  # forget gates begin open
         return cls({"X": x, "U": f(2, hidden, 4 * hidden, k=hidden**-0.5), "O": f(2, hidden, tags, k=(2 * hidden) ** -0.5), "b": np.zeros(tags, np.float32), "T": f(tags, tags, k=0.1)})
 
+    def _prepared(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Weights with features first. Sigmoids run as tanh of half the sum, so the halves are taken into the weights; the
+        hidden state is kept doubled."""
+        if self._ready is None:
+            h_ = self.hidden
+            half = np.ones((4 * h_, 1), np.float32)
+            half[: 3 * h_] = 0.5
+            w = self.w
+            self._ready = [(np.ascontiguousarray(half * w["X"][d].T), np.ascontiguousarray(0.5 * half * w["U"][d].T), np.ascontiguousarray(0.5 * w["O"][d].T)) for d in (0, 1)]
+        return self._ready
+
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """ids (batch, steps), 0 where padded at the end -> scores (batch, steps, tags)."""
-        n, steps = ids.shape
-        h_, w = self.hidden, self.w
-        out = np.empty((n, steps, self.tags), np.float32)
-        h = np.zeros((n, h_), np.float32)
+        """ids (steps, rows), 0 where padded at the end -> scores (steps, tags, rows)."""
+        steps, n = ids.shape
+        h_ = self.hidden
+        out = np.empty((steps, self.tags, n), np.float32)
+        got = np.empty((self.tags, n), np.float32)
+        z, g = np.empty((4 * h_, n), np.float32), np.empty((4 * h_, n), np.float32)
+        i, f, o, a = (z[k * h_ : (k + 1) * h_] for k in range(4))
         for d in (0, 1):
-            table, u, o = w["X"][d], w["U"][d], w["O"][d]
-            h = np.zeros((n, h_), np.float32)
-            c = np.zeros((n, h_), np.float32)
+            table, u, weights = self._prepared()[d]
+            h, c = np.zeros((h_, n), np.float32), np.zeros((h_, n), np.float32)
             for k in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                col = ids[:, k]
-                z = h @ u
-                z += table[col]
-                s = z[:, : 3 * h_]
-                s *= 0.5
+                np.take(table, ids[k], axis=1, out=g, mode="clip")
+                np.matmul(u, h, out=z)
+                z += g
                 np.tanh(z, out=z)
-                s *= 0.5
-                s += 0.5
-                c *= z[:, h_ : 2 * h_]
-                c += z[:, :h_] * z[:, 3 * h_ :]
-                h = np.tanh(c)
-                h *= z[:, 2 * h_ : 3 * h_]
+                f += 1
+                f *= c
+                i += 1
+                i *= a
+                np.add(f, i, out=c)
+                c *= 0.5
+                np.tanh(c, out=h)
+                o += 1
+                h *= o
                 if d:  # padding lies before the text when read backwards
-                    pad = col == 0
+                    pad = ids[k] == 0
                     if pad.any():
-                        h[pad] = 0
-                        c[pad] = 0
+                        h[:, pad] = 0
+                        c[:, pad] = 0
                 if d == 0:
-                    out[:, k] = h @ o
+                    np.matmul(weights, h, out=out[k])
                 else:
-                    out[:, k] += h @ o
-        out += w["b"]
+                    np.matmul(weights, h, out=got)
+                    out[k] += got
+        out += self.w["b"][:, None]
         return out
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tag sequence of each row under the transitions."""
-        n, steps, tags = scores.shape
-        trans = self.w["T"]
-        best = scores[:, 0].copy()
-        back = np.empty((steps, n, tags), np.int8)
+        """Best tag sequence of each row under the transitions. scores: (steps, tags, rows), so rows are contiguous.
+
+        Only the best sums are kept; the way back picks each predecessor anew, for the one tag that was taken.
+        """
+        steps, tags, n = scores.shape
+        into = np.ascontiguousarray(self.w["T"].T)[:, :, None]  # to, from
+        sums = np.empty((steps, tags, n), np.float32)
+        sums[0] = scores[0]
+        # an inside tag follows its own kind's tags only, so two ways lead to it; to the others lead all
+        inside = np.arange(2, tags, 2)
+        open_ = np.concatenate([[0], np.arange(1, tags, 2)])
+        forced = bool((self.w["T"][:, inside].sum(0) < -1e4 * (tags - 2.5)).all())
+        wide = into[open_] if forced else into
+        via = np.empty((len(wide), tags, n), np.float32)
+        from_begin, from_inside = self.w["T"][inside - 1, inside][:, None], self.w["T"][inside, inside][:, None]
         for k in range(1, steps):
-            via = best[:, :, None] + trans[None]
-            back[k] = via.argmax(1)
-            best = np.where((k < lengths)[:, None], via.max(1) + scores[:, k], best)
+            before = sums[k - 1]
+            np.add(before[None], wide, out=via)
+            if forced:
+                sums[k, open_] = via.max(1)
+                sums[k, 2::2] = np.maximum(before[1::2] + from_begin, before[2::2] + from_inside)
+            else:
+                np.max(via, axis=1, out=sums[k])
+            sums[k] += scores[k]
         path = np.zeros((n, steps), np.int8)
-        last = best.argmax(1).astype(np.int8)
         rows = np.arange(n)
+        last = sums[lengths - 1, :, rows].argmax(1)
         for k in range(steps - 1, -1, -1):
-            inside = k < lengths
-            path[inside, k] = last[inside]
+            within = lengths > k
+            path[within, k] = last[within]
             if k:
-                last = np.where(inside, back[k, rows, last], last)
+                earlier = (sums[k - 1] + into[last, :, 0].T).argmax(0)
+                last = np.where(within, earlier, last)
         return path
 
 

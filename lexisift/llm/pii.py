@@ -24,9 +24,9 @@ from .bilstm_crf import Tagger, encode
 
 MODEL = str(Path(__file__).parent / "models" / "pii_tagger.npz")
 TAGS = ("O", *(f"{p}-{k}" for k in rules.KINDS for p in "BI"))
-WINDOW, STRIDE = 128, 96
+WINDOW, STRIDE = 384, 320
 #: Windows scored at once.
-CHUNK = 1024
+CHUNK = 512
 SPANS = "array<struct<start_pos:int,end_pos:int,kind:string,matched:string>>"
 
 
@@ -42,54 +42,52 @@ def _tagger(path: str) -> Tagger:
     return t
 
 
-def _scores(t: Tagger, ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Emission scores of each text, stitched from its windows."""
-    cuts = []  # text, start, length
-    for n, x in enumerate(ids):
-        at = 0
-        while True:
-            cuts.append((n, at, min(WINDOW, len(x) - at)))
-            if at + WINDOW >= len(x):
-                break
-            at += STRIDE
-    out = [np.empty((len(x), t.tags), np.float32) for x in ids]
-    order = sorted(range(len(cuts)), key=lambda k: cuts[k][2])
-    half = (WINDOW - STRIDE) // 2
-    for a in range(0, len(order), CHUNK):
-        part = order[a : a + CHUNK]
-        block = np.zeros((len(part), max(cuts[k][2] for k in part)), np.int16)
-        for row, k in enumerate(part):
-            n, at, size = cuts[k]
-            block[row, :size] = ids[n][at : at + size]
-        em = t.emissions(block)
-        for row, k in enumerate(part):
-            n, at, size = cuts[k]
-            lo = half if at else 0
-            hi = size if at + size == len(ids[n]) else STRIDE + half
-            out[n][at + lo : at + hi] = em[row, lo:hi]
-    return out
-
-
-def _paths(t: Tagger, scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Best tags of each text, by blocks of like length; a text that is O everywhere by far isn't worth the lattice."""
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
-    order = sorted(range(len(scores)), key=lambda k: len(scores[k]))
+def _blocks(lengths: list[int], limit: int = 400_000) -> Iterator[list[int]]:
+    """Numbers of texts, short ones first, in blocks of at most CHUNK texts and limit characters."""
+    order = sorted(range(len(lengths)), key=lengths.__getitem__)
     a = 0
     while a < len(order):
         b = a + 1
-        longest = len(scores[order[a]])
-        while b < len(order) and (b - a + 1) * len(scores[order[b]]) <= 400_000:
-            longest = len(scores[order[b]])
+        while b < len(order) and b - a < CHUNK and (b - a + 1) * lengths[order[b]] <= limit:
             b += 1
-        part = order[a:b]
-        block = np.zeros((len(part), longest, t.tags), np.float32)
-        lengths = np.array([len(scores[k]) for k in part])
-        for row, k in enumerate(part):
-            block[row, : lengths[row]] = scores[k]
-        path = t.decode(block, lengths)
-        for row, k in enumerate(part):
-            out[k] = path[row, : lengths[row]]
+        yield order[a:b]
         a = b
+
+
+def _emit(t: Tagger, ids: list[np.ndarray]) -> np.ndarray:
+    block = np.zeros((len(ids), max(map(len, ids))), np.uint8)
+    for row, x in enumerate(ids):
+        block[row, : len(x)] = x
+    return t.emissions(np.ascontiguousarray(block.T))
+
+
+def _paths(t: Tagger, ids: list[np.ndarray]) -> list[np.ndarray]:
+    """Best tags of each text, decoded whole. The scores of a text longer than a window are stitched from its windows."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ids)
+    short = [k for k, x in enumerate(ids) if len(x) <= WINDOW]
+    for part in _blocks([len(ids[k]) for k in short]):
+        own = [short[k] for k in part]
+        lengths = np.array([len(ids[k]) for k in own])
+        path = t.decode(_emit(t, [ids[k] for k in own]), lengths)
+        for row, k in enumerate(own):
+            out[k] = path[row, : lengths[row]]
+    long = [k for k, x in enumerate(ids) if len(x) > WINDOW]
+    half = (WINDOW - STRIDE) // 2
+    for part in _blocks([len(ids[k]) for k in long]):
+        own = [long[k] for k in part]
+        lengths = np.array([len(ids[k]) for k in own])
+        scores = np.zeros((int(lengths[-1]), t.tags, len(own)), np.float32)
+        cuts = [(row, at, min(WINDOW, int(n) - at)) for row, n in enumerate(lengths) for at in range(0, max(1, int(n) - WINDOW + STRIDE), STRIDE)]
+        for some in _blocks([c[2] for c in cuts]):
+            em = _emit(t, [ids[own[cuts[k][0]]][cuts[k][1] : cuts[k][1] + cuts[k][2]] for k in some])
+            for col, k in enumerate(some):
+                row, at, size = cuts[k]
+                lo = half if at else 0
+                hi = size if at + size == lengths[row] else STRIDE + half
+                scores[at + lo : at + hi, :, row] = em[lo:hi, :, col]
+        path = t.decode(scores, lengths)
+        for row, k in enumerate(own):
+            out[k] = path[row, : lengths[row]]
     return out
 
 
@@ -115,16 +113,13 @@ def _confirm(text: str, proposed: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     out: list[tuple[int, int, str]] = []
     near: list[tuple[int, int, str]] = []
-    seen_to = -1
-    for a, b, _ in proposed:  # formats are looked for around the proposals only
-        lo = max(seen_to, text.rfind("\n", 0, max(0, a - 60)) + 1, a - 120)
-        hi = min(len(text), b + 120)
-        if hi <= seen_to:
+    for a, b, kind in proposed:  # formats are looked for around the proposals only
+        if kind == "name":
             continue
-        for x, y, kind in rules.exact(text[max(0, lo) : hi]):
-            item = (x + max(0, lo), y + max(0, lo), kind)
-            if item not in near:
-                near.append(item)
+        lo = max(0, text.rfind("\n", 0, max(0, a - 40)) + 1, a - 60)
+        hi = min(len(text), b + 60)
+        if hi > lo:
+            near += [item for x, y, k in rules.exact(text[lo:hi]) if (item := (x + lo, y + lo, k)) not in near]
     taken: set = set()
     for a, b, kind in proposed:
         if kind == "name":
@@ -174,8 +169,7 @@ def find_spans(texts: list[str | None], model: str = MODEL) -> list[list[tuple[i
     part: list[str] = []
 
     def flush() -> None:
-        ids = [encode(x) for x in part]
-        paths = _paths(t, _scores(t, ids))
+        paths = _paths(t, [encode(x) for x in part])
         for x, p in zip(part, paths):
             found[x] = _confirm(x, _raw_spans(p))
 
@@ -198,7 +192,8 @@ def _spans_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def tag(df: DataFrame, text: str, into: str = "pii") -> DataFrame:
     """df with the spans of personal data in text (null for null text)."""
-    return df.withColumn(into, F.pandas_udf(_spans_series, SPANS)(F.col(text)))
+    # not deterministic, as the planner sees it: else a filter on the spans would have them made once more
+    return df.withColumn(into, F.pandas_udf(_spans_series, SPANS).asNondeterministic()(F.col(text)))
 
 
 def redact(df: DataFrame, text: str, spans: str = "pii", into: str = "redacted") -> DataFrame:
@@ -226,7 +221,7 @@ SNIPPET = 200
 
 def found(requests: DataFrame, events: DataFrame) -> DataFrame:
     """(field_name, rec_id, kind) of the fields that hold a complete item of the kind."""
-    tagged = tag(fields(requests, events), "text").filter(F.size("pii") > 0)
+    tagged = tag(fields(requests, events), "text")
     items = tagged.select("field_name", "rec_id", F.length("text").alias("size"), F.explode("pii").alias("item"))
     cut = (F.col("field_name") == "content_snippet") & (F.col("size") >= SNIPPET) & (F.col("item.end_pos") >= F.col("size"))
     return items.filter(~cut).select("field_name", "rec_id", "item.kind").distinct()
