@@ -356,4 +356,4 @@ def repair(df: DataFrame, text: str = "content", into: str = "repair") -> DataFr
     c: Column = F.col(text)
     ascii_only = c.isNull() | ~c.rlike("[^\\x00-\\x7f]")
     marked = df.withColumn(into, F.when(ascii_only, F.struct(F.lit(0).alias("n_garbled"), F.lit(0).alias("n_lost"), c.alias("restored"))))
-    return marked.withColumn(into, F.coalesce(F.col(into), F.pandas_udf(_restore_series, SPAN)(F.when(~ascii_only, c))))
+    return marked.withColumn(into, F.coalesce(F.col(into), F.pandas_udf(_restore_series, SPAN).asNondeterministic()(F.when(~ascii_only, c))))
