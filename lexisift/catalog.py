@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexisift.plans import delivery, detection
+from lexisift.plans import delivery, detection, review
 
-MODULES = (delivery, detection)
+MODULES = (delivery, detection, review)
 
 
 def core_queries() -> dict:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,8 +113,8 @@ def config_hits(files: DataFrame, text: str, patterns: list[tuple[str, str, str,
         if kind == "dockerfile":
             ok = F.upper(line).startswith(name.upper()) & _trim(F.substring(line, F.lit(len(name) + 1), F.length(line))).rlike(rx)
         elif kind == "keyvalue":
-            sep = F.when(F.contains(line, F.lit("=")), "=").otherwise(":")
-            k, v = _trim(F.substring_index(line, sep, 1)), _trim(F.regexp_replace(line, F.when(F.contains(line, F.lit("=")), "^[^=]*=").otherwise("^[^:]*:"), F.lit("")))
+            parts = F.when(F.contains(line, F.lit("=")), F.split(line, "=", 2)).otherwise(F.split(line, ":", 2))
+            k, v = _trim(parts[0]), _trim(F.get(parts, 1))
             v = F.regexp_replace(F.regexp_replace(v, "^\"+|\"+$", ""), "^'+|'+$", "")
             ok = ~line.rlike("^[#;]") & line.rlike("[=:]") & (F.upper(k) == name.upper()) & v.rlike(rx)
         else:
@@ -147,8 +148,6 @@ def yaml_paths(text: str | None) -> list[tuple[str, str, int, int]]:
 
 def yaml_hits(files: DataFrame, text: str, patterns: list[tuple[str, str, float]], key: list[str]) -> DataFrame:
     """patterns: (rule_id, 'a.b:regex', confidence) -> the hits as in config_hits."""
-    import pandas as pd
-
     def series(texts: pd.Series) -> pd.Series:
         return texts.map(yaml_paths)
 
