@@ -107,6 +107,10 @@ def _raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
     return spans
 
 
+#: Formats tried around a proposal: numbers of either sort may be taken for the other.
+_LOOKED_FOR = {"email": ("email",), "address": ("address",), "phone": ("email", "id_number", "phone"), "id_number": ("email", "id_number", "phone")}
+
+
 def _confirm(text: str, proposed: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The items whose formats stand where the model points; names by shape."""
     if not proposed:
@@ -119,7 +123,7 @@ def _confirm(text: str, proposed: list[tuple[int, int, str]]) -> list[tuple[int,
         lo = max(0, text.rfind("\n", 0, max(0, a - 40)) + 1, a - 60)
         hi = min(len(text), b + 60)
         if hi > lo:
-            near += [item for x, y, k in rules.exact(text[lo:hi]) if (item := (x + lo, y + lo, k)) not in near]
+            near += [item for x, y, k in rules.exact(text[lo:hi], _LOOKED_FOR[kind]) if (item := (x + lo, y + lo, k)) not in near]
     taken: set = set()
     for a, b, kind in proposed:
         if kind == "name":
@@ -160,11 +164,17 @@ def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def find_spans(texts: list[str | None], model: str = MODEL) -> list[list[tuple[int, int, str]]]:
-    """Spans of each text; texts that repeat are decoded once."""
+#: Characters of decoded texts that a worker remembers.
+REMEMBERED = 8_000_000
+
+
+def find_spans(texts: list[str | None], model: str = MODEL, known: dict | None = None) -> list[list[tuple[int, int, str]]]:
+    """Spans of each text; texts that repeat, here or among the known ones, are decoded once."""
     t = _tagger(model)
-    distinct = list(dict.fromkeys(x for x in texts if x and not x.isspace()))
-    found: dict[str, list] = {}
+    found: dict[str, list] = {} if known is None else known
+    if sum(map(len, found)) > REMEMBERED:
+        found.clear()
+    distinct = list(dict.fromkeys(x for x in texts if x and x not in found and not x.isspace()))
     size = 0
     part: list[str] = []
 
@@ -185,9 +195,10 @@ def find_spans(texts: list[str | None], model: str = MODEL) -> list[list[tuple[i
 
 
 def _spans_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict = {}
     for texts in batches:
         values = texts.tolist()
-        yield pd.Series([None if x is None else [(a, b, k, x[a:b]) for a, b, k in s] for x, s in zip(values, find_spans(values))])
+        yield pd.Series([None if x is None else [(a, b, k, x[a:b]) for a, b, k in s] for x, s in zip(values, find_spans(values, known=known))])
 
 
 def tag(df: DataFrame, text: str, into: str = "pii") -> DataFrame:

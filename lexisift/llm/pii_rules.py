@@ -103,24 +103,28 @@ def name_ok(s: str) -> bool:
     return len(long) >= (1 if title else 2)
 
 
-def exact(text: str) -> list[tuple[int, int, str]]:
-    """Spans of the four formatted kinds; earlier kinds win where they overlap."""
+def exact(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
+    """Spans of the formatted kinds that are asked for; earlier kinds win where they overlap."""
     out: list[tuple[int, int, str]] = []
 
     def put(a: int, b: int, kind: str) -> None:
         if all(b <= x or a >= y for x, y, _ in out):
             out.append((a, b, kind))
 
-    for m in EMAIL.finditer(text):
-        if not _NOT_MAIL.search(m[0]):
-            put(m.start(), m.end(), "email")
-    for m in ADDRESS.finditer(text):
-        put(m.start(), m.end(), "address")
-    for m in ID_NUMBER.finditer(text):
-        if not _NOT_ID_BEFORE.search(text[max(0, m.start() - 20) : m.start()]) and any(c.isdigit() for c in m[0]):
-            put(m.start(), m.end(), "id_number")
-    for m in PHONE.finditer(text):
-        digits = sum(c.isdigit() for c in m[1])
-        if 9 <= digits <= 15 and not _NOT_ID_BEFORE.search(text[max(0, m.start() - 20) : m.start()]):
-            put(m.start(1), m.end(), "phone")
+    if "email" in kinds:
+        for m in EMAIL.finditer(text):
+            if not _NOT_MAIL.search(m[0]):
+                put(m.start(), m.end(), "email")
+    if "address" in kinds:
+        for m in ADDRESS.finditer(text):
+            put(m.start(), m.end(), "address")
+    if "id_number" in kinds:
+        for m in ID_NUMBER.finditer(text):
+            if not _NOT_ID_BEFORE.search(text[max(0, m.start() - 20) : m.start()]) and any(c.isdigit() for c in m[0]):
+                put(m.start(), m.end(), "id_number")
+    if "phone" in kinds:
+        for m in PHONE.finditer(text):
+            digits = sum(c.isdigit() for c in m[1])
+            if 9 <= digits <= 15 and not _NOT_ID_BEFORE.search(text[max(0, m.start() - 20) : m.start()]):
+                put(m.start(1), m.end(), "phone")
     return sorted(out)
