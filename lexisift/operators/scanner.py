@@ -65,7 +65,7 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E/")), F.lit(""))
     files = raw.select(path.alias("file_path"), "content", "length", F.col("modificationTime").alias("modified"))
-    return files.filter(admitted(F.col("file_path"), F.col("length"))).withColumn("content", F.decode("content", "UTF-8"))
+    return files.filter(admitted(F.col("file_path"), F.col("length"))).withColumn("content", F.call_function("make_valid_utf8", F.col("content").cast("string")))
 
 
 def fingerprint(path: Column, modified: Column, size: Column, content: Column) -> Column:

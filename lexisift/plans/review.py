@@ -92,10 +92,10 @@ def scan_findings(spark, d):
     return scanner.scan(_files(spark, d)).drop("message")
 
 
-def scan_weak_random(spark, d):
-    """One of the scan's rules, which SQL can follow."""
-    found = scanner.scan(_files(spark, d), probes=[p for p in scanner.code_probes.PROBES if p.rule_id in ("SEC-15", "SEC-51")])
-    return found.select("file_id", "rule_id", "line_number", "column_no", "matched_text").filter("rule_id = 'SEC-15' and matched_text like 'innerHTML%'")
+def scan_commands(spark, d):
+    """One of the scan's probes, which SQL can follow."""
+    found = scanner.scan(_files(spark, d), probes=[p for p in scanner.code_probes.PROBES if p.rule_id == "SEC-51" and "subprocess" in p.pattern])
+    return found.select("file_id", "rule_id", "line_number", "column_no", "matched_text")
 
 
 _DOCKER = [("IAC-01", "dockerfile", r"FROM:.*:latest", 0.7), ("IAC-01", "dockerfile", r"USER:\s*root", 0.8)]
@@ -217,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_score, session_rules, prune_sessions, stream_cumulative_length, stream_assembled, boundary_line, boundary_paragraph, boundary_word, boundary_sentence, fast_rules, scan_admitted, scan_targets, scan_findings,
-        scan_weak_random, scan_dockerfile, scan_keyvalue, scan_yaml_paths, scan_null_dereference, scan_structural, findings_dedupe, findings_by_severity, incremental_manifest_diff, output_probe_hits, output_probe_summary,
+        scan_commands, scan_dockerfile, scan_keyvalue, scan_yaml_paths, scan_null_dereference, scan_structural, findings_dedupe, findings_by_severity, incremental_manifest_diff, output_probe_hits, output_probe_summary,
         language_detect, data_flow_taint, code_blocks, code_block_merge, domain_reputation, package_registry, cve_lookup,
     )
 }
@@ -234,8 +234,9 @@ ORACLE = {
         AND len(list_filter(string_split(file_path, '/')[1:-2], lambda x: starts_with(x, '.') AND length(x) > 1)) = 0
         AND (lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) NOT IN ({', '.join(repr(x) for x in scanner.SKIPPED_EXTENSIONS)}) OR regexp_matches(file_path, '(?i)(^|/)dockerfile[^/]*$')) AND file_size <= 1048576""",
     "scan_targets": "SELECT DISTINCT file_id FROM files WHERE regexp_matches(file_path, '(^|/)[^/]*\\.py$') OR regexp_matches(file_path, '(^|/)web/(.*/)?[^/]*\\.js$') OR regexp_matches(file_path, '(^|/)[^/]*\\.yml$')",
-    "scan_weak_random": f"""WITH l AS ({_LINES.format(src="(SELECT file_id, content FROM " + _F + " WHERE regexp_matches(file_path, '\\.(js|ts|jsx|tsx|vue|html|php|svelte)$'))")})
-        SELECT DISTINCT file_id, 'SEC-15' AS rule_id, CAST(no + 1 AS INTEGER) AS line_number, CAST(instr(line, 'innerHTML') AS INTEGER) AS column_no, regexp_extract(line, 'innerHTML\\s*=\\s*\\w+') AS matched_text FROM l WHERE regexp_matches(line, 'innerHTML\\s*=\\s*\\w+')""",
+    "scan_commands": f"""WITH l AS ({_LINES.format(src="(SELECT file_id, content FROM " + _F + " WHERE regexp_matches(lower(file_path), '\\.(py|js|ts|java|go|cs|php|rb|rs)$'))")})
+        SELECT DISTINCT file_id, 'SEC-51' AS rule_id, CAST(no + 1 AS INTEGER) AS line_number, CAST(instr(line, regexp_extract(line, 'subprocess\\.(?:call|Popen|run|check_output|check_call)\\s*\\(')) AS INTEGER) AS column_no,
+        regexp_extract(line, 'subprocess\\.(?:call|Popen|run|check_output|check_call)\\s*\\(') AS matched_text FROM l WHERE regexp_matches(line, 'subprocess\\.(?:call|Popen|run|check_output|check_call)\\s*\\(')""",
     "scan_dockerfile": f"""WITH l AS ({_LINES.format(src="(SELECT file_id, content FROM " + _F + " WHERE regexp_matches(file_path, '(?i)(^|/)dockerfile[^/]*$'))")})
         SELECT file_id, 'IAC-01' AS rule_id, start_pos, CAST(start_pos + length(line) AS INTEGER) AS end_pos, left(trim(line, ' ' || chr(9) || chr(13)), 200) AS matched FROM l WHERE starts_with(upper(trim(line, ' ' || chr(9) || chr(13))), 'FROM') AND regexp_matches(trim(line, ' ' || chr(9) || chr(13))[5:], '(?i).*:latest')
         UNION ALL SELECT file_id, 'IAC-01', start_pos, CAST(start_pos + length(line) AS INTEGER), left(trim(line, ' ' || chr(9) || chr(13)), 200) FROM l WHERE starts_with(upper(trim(line, ' ' || chr(9) || chr(13))), 'USER') AND regexp_matches(trim(trim(line, ' ' || chr(9) || chr(13))[5:]), '(?i)\\s*root')""",
