@@ -31,6 +31,8 @@ _CYR = [frozenset(a + a.upper()) for a in CYRILLIC.values()]
 _RU = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1)))
 #: Punctuation that stands next to letters in proper text.
 _FINE = frozenset("’‘“”„‚«»‹›–—…¿¡ºª°·§©®™€   ​‌‍﻿、。「」『』（）・：；，！？《》【】〜～")
+#: Fine ones that are seldom side by side with other signs.
+_ODD = frozenset("ºª°§©®™€¡¿…‚„‹›–—“”")
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8-r", "iso8859-2", "cp1254")
 TRUE = ("utf-8", "cp1251", "koi8-r", "cp1250", "iso8859-2", "gbk", "euc_jp", "shift_jis", "big5", "euc_kr", "cp1252", "mac_roman", "cp850", "cp437", "cp866", "iso8859-5")
 WIDE_WRONG = ("gbk", "shift_jis", "big5", "euc_kr")
@@ -95,7 +97,8 @@ def cost(text: str) -> int:
         if k == "c":
             total += 2
         elif k == "s":
-            if left in "alygsc" or right in "alygsc":
+            odd = (left == "f" and text[i - 1] in _ODD) or (right == "f" and text[i + 1] in _ODD)
+            if left in "alygsc" or right in "alygsc" or odd:
                 total += 1 + (left in "alyg" and right in "alyg")
         elif k == "f":
             if c in "‚„¿¡°§©®™€·…‹›" and left in "alyg" and right in "alyg":
@@ -139,11 +142,11 @@ def cost(text: str) -> int:
 def _candidates(word: str):
     """(rank, pair, text) of each pair of encodings under which the word decodes to proper text, or to less garbled UTF-8."""
     have = cost(word)
-    for wrong in WRONG:
+    for place, wrong in enumerate(WRONG):
         raw = _bytes(word, wrong)
         if raw is None:
             continue
-        for order, true in enumerate(TRUE):
+        for order, true in enumerate(TRUE, 100 * place):
             if true == wrong:
                 continue
             try:
@@ -167,7 +170,7 @@ def _candidates(word: str):
 
 def _decoded(word: str, votes: dict) -> str | None:
     """The word decoded back by the pair that most words of its text speak for, or None where no pair gives proper text."""
-    best = min(((-(votes.get(pair, 0)) if rank[0] else -1e9, rank, got) for rank, pair, got in _candidates(word)), default=None)
+    best = min(((rank[0] > 0, -votes.get(pair, 0), rank, got) for rank, pair, got in _candidates(word)), default=None)
     return best and best[-1]
 
 
