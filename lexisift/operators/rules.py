@@ -16,6 +16,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisift.functions.rows import exploded
 from lexisift.functions.text import luhn, unicode_form
 
 from . import spans as sp
@@ -172,8 +173,14 @@ def pattern_spans(p: Pattern, c: Column, limit: int) -> Column:
 RESULT = "struct<ord:int,rule_id:string,name:string,severity:string,action:string,pattern_idx:int,spans:array<struct<start_pos:int,end_pos:int,matched:string>>>"
 
 
-def rule_result(rule: Rule, order: int, c: Column, raw: Column, language: Column | None, certainty: Column | None) -> Column:
-    """The rule's result as a struct, null where it doesn't fire."""
+def _text_of(rule: Rule, c: Column, raw: Column) -> Column:
+    if rule.id in RAW_RULES:
+        return raw
+    return unicode_form(c, rule.form) if rule.form in ("NFC", "NFD", "NFKC", "NFKD") else c
+
+
+def rule_result(rule: Rule, order: int, c: Column, each: list[Column], language: Column | None, certainty: Column | None) -> Column:
+    """The rule's result as a struct, null where it doesn't fire. each: the spans of its patterns."""
 
     def result(idx: Column, found: Column) -> Column:
         return F.struct(F.lit(order).alias("ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("name"), F.lit(rule.severity).alias("severity"), F.lit(rule.action).alias("action"), idx.cast("int").alias("pattern_idx"), found.alias("spans"))
@@ -185,21 +192,14 @@ def rule_result(rule: Rule, order: int, c: Column, raw: Column, language: Column
         return F.when(F.length(c) > rule.max_length, result(F.lit(0), sp.none())).otherwise(nothing)
     if not rule.patterns:
         return nothing
-    text = raw if rule.id in RAW_RULES else unicode_form(c, rule.form) if rule.form in ("NFC", "NFD", "NFKC", "NFKD") else c
-    each = [pattern_spans(p, text, rule.max_matches) for p in rule.patterns]
-    if rule.luhn_check:
-        each_ok = lambda s: F.filter(s, lambda x: luhn(x["matched"]))
-    else:
-        each_ok = lambda s: s
+    valid = (lambda s: F.filter(s, lambda x: luhn(x["matched"]))) if rule.luhn_check else (lambda s: s)
     if rule.mode == "all":
-        found = sp.all_of(each, limit=rule.max_matches)
-        kept = each_ok(found)
-        out = F.when(F.size(kept) > 0, result(F.lit(0), kept)).otherwise(nothing)
-    else:
-        out = nothing
-        for i, s in reversed(list(enumerate(each))):  # the first pattern with hits decides, even if its hits fail the checksum
-            kept = each_ok(s)
-            out = F.when(F.size(s) > 0, F.when(F.size(kept) > 0, result(F.lit(i), kept)).otherwise(nothing)).otherwise(out)
+        found = valid(sp.all_of(each, limit=rule.max_matches))
+        idx = F.lit(0)
+    else:  # the first pattern with hits decides, even if its hits fail the checksum
+        hits = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), s.alias("s")) for i, s in enumerate(each)]), lambda x: F.size(x["s"]) > 0)
+        first = F.get(hits, 0)
+        found, idx = valid(first["s"]), first["i"]
     admitted = F.lit(True)
     if rule.min_length is not None:
         admitted = admitted & (F.length(c) >= rule.min_length)
@@ -212,21 +212,32 @@ def rule_result(rule: Rule, order: int, c: Column, raw: Column, language: Column
     if rule.languages and language is not None:
         sure = certainty >= 0.3 if certainty is not None else F.lit(True)
         admitted = admitted & (language.isNull() | ~sure | language.isin(list(rule.languages)))
-    return F.when(admitted, out).otherwise(nothing)
+    return F.when(admitted & (F.size(found) > 0), result(idx, found)).otherwise(nothing)
 
 
 def evaluate(df: DataFrame, rules: list[Rule], text: str, raw: str | None = None, language: str | None = None, certainty: str | None = None, into: str = "results") -> DataFrame:
-    """df with an array of the results of the rules that fired, in the order of the rules."""
+    """df with an array of the results of the rules that fired, in the order of the rules.
+
+    The spans of all patterns are one column of their own, so that each pattern runs once however often it is referred to.
+    """
     c, r = F.col(text), F.col(raw or text)
     lang = F.col(language) if language else None
     sure = F.col(certainty) if certainty else None
-    each = [rule_result(x, i, c, r, lang, sure) for i, x in enumerate(rules) if x.enabled]
+    active = [(i, x) for i, x in enumerate(rules) if x.enabled]
+    every = [pattern_spans(p, _text_of(x, c, r), x.max_matches) for _, x in active if not x.no_pattern for p in x.patterns]
+    found = F.array(*every) if every else F.array().cast(f"array<{sp.SPANS}>")
+    df = df.withColumn("_found", found)
+    each, at = [], 0
+    for i, x in active:
+        n = 0 if x.no_pattern else len(x.patterns)
+        each.append(rule_result(x, i, c, [F.get("_found", k) for k in range(at, at + n)], lang, sure))
+        at += n
     fired = F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast(f"array<{RESULT}>")
-    return df.withColumn(into, F.when(c.isNotNull(), fired))
+    return df.withColumn(into, F.when(c.isNotNull(), fired)).drop("_found")
 
 
 def matches(evaluated: DataFrame, key: str, results: str = "results") -> DataFrame:
     """One row per match: (key, rule_id, pattern_idx, match_no, start_pos, end_pos, matched)."""
-    r = evaluated.select(key, F.explode(results).alias("r"))
-    m = r.select(key, "r.rule_id", "r.pattern_idx", F.posexplode("r.spans").alias("match_no", "s"))
+    r = exploded(evaluated, results, "r", key)
+    m = exploded(r, "r.spans", "s", key, "r.rule_id", "r.pattern_idx", position="match_no")
     return m.select(key, "rule_id", "pattern_idx", "match_no", "s.start_pos", "s.end_pos", F.substring("s.matched", 1, 200).alias("matched"))

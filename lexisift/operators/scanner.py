@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexisift.functions.rows import exploded
 from lexisift.functions.text import column_of, line_of
 
 from . import code_probes
@@ -80,13 +81,6 @@ def changed(files: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame
 # Configuration patterns
 
 
-def _lines(c: Column) -> Column:
-    """(start, text) of each line."""
-    whole = F.split(c, "\n", -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    return F.aggregate(whole, begin, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), x.alias("text")))).alias("out")), lambda a: a["out"])
-
-
 def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -217,7 +211,7 @@ def scan(files: DataFrame, path: str = "file_path", text: str = "content", key:
     number = F.transform(every, lambda h, i: F.struct(i.alias("i"), h.alias("h")))
     same = lambda a, b: (a["h"]["rule_id"] == b["h"]["rule_id"]) & (a["h"]["start_pos"] == b["h"]["start_pos"]) & (a["h"]["end_pos"] == b["h"]["end_pos"])
     hit = hit.withColumn("_n", number).withColumn("_kept", F.filter("_n", lambda a: ~F.exists("_n", lambda b: (b["i"] < a["i"]) & same(a, b))))
-    rows = hit.select(key, F.col(path).alias("file_path"), F.col(text).alias("_text"), F.explode("_kept").alias("k"))
+    rows = exploded(hit, "_kept", "k", key, F.col(path).alias("file_path"), F.col(text).alias("_text"))
     h = F.col("k.h")
     names = F.create_map(*[F.lit(x) for kv in (code_probes.NAMES | {"IAC-18": "Health check missing", "IAC-20": "Network policy missing", "IAC-21": "Security context missing"}).items() for x in kv])
     name = F.coalesce(names[h["rule_id"]], h["rule_id"])

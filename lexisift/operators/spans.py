@@ -29,15 +29,12 @@ def none() -> Column:
     return F.array().cast(SPANS)
 
 
-def regex_spans(c: Column, pattern: str, limit: int | None = 10, ignore_case: bool = True, multiline: bool = False) -> Column:
-    """Spans from the texts matched and the gaps between them: a start is what lies before it."""
-    rx = java(pattern, ignore_case, multiline)
-    found = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
-    gaps = F.split(c, rx, -1)
-    if limit is not None:
-        found, gaps = F.slice(found, 1, limit), F.slice(gaps, 1, limit)
-    pairs = F.arrays_zip(gaps.alias("g"), found.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), none().alias("spans"))
+#: Spans that one pass gathers. Appending to an array copies it, so longer lists are made in runs of this length.
+RUN = 64
+
+
+def _walk(pairs: Column, start: Column) -> Column:
+    """Spans of (gap, match) pairs that follow one another from start on."""
 
     def step(acc: Column, p: Column) -> Column:
         a = acc["at"] + F.length(p["g"])
@@ -45,7 +42,27 @@ def regex_spans(c: Column, pattern: str, limit: int | None = 10, ignore_case: bo
         span = F.struct(a.cast("int").alias("start_pos"), b.cast("int").alias("end_pos"), F.substring(p["m"], 1, KEPT).alias("matched"))
         return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    walked = F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda acc: acc["spans"])
+    return F.aggregate(pairs, F.struct(start.cast("int").alias("at"), none().alias("spans")), step, lambda acc: acc["spans"])
+
+
+def _walk_in_runs(pairs: Column) -> Column:
+    size = F.size(pairs)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / RUN).cast("int"))), lambda k: F.slice(pairs, k * RUN + 1, F.lit(RUN)))
+    length = lambda ps: F.aggregate(ps, F.lit(0), lambda n, p: n + F.length(p["g"]) + F.length(p["m"]))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.transform(runs, length), begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+    return F.flatten(F.transform(F.arrays_zip(runs.alias("r"), starts.alias("s")), lambda x: _walk(x["r"], x["s"])))
+
+
+def regex_spans(c: Column, pattern: str, limit: int | None = 10, ignore_case: bool = True, multiline: bool = False) -> Column:
+    """Spans from the texts matched and the gaps between them: a start is what lies before it."""
+    rx = java(pattern, ignore_case, multiline)
+    found = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
+    gaps = F.split(c, rx, -1)
+    if limit is not None:
+        found, gaps = F.slice(found, 1, limit), F.slice(gaps, 1, limit)
+    pairs = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda p: p["m"].isNotNull())
+    walked = _walk(pairs, F.lit(0)) if limit is not None and limit <= RUN else _walk_in_runs(pairs)
     return F.when(c.isNull(), F.lit(None).cast(SPANS)).when(c.rlike(rx), walked).otherwise(none())
 
 

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisift.functions.rows import exploded
 from lexisift.functions.text import clean, severity_rank, truncate_at_boundary
 
+from . import spans as sp
 from .rules import Rule
 
 TOKEN = "[REDACTED]"
@@ -26,28 +28,35 @@ def closest(a: Column, b: Column) -> Column:
     return F.least(F.abs(a["end_pos"] - b["start_pos"]), F.abs(b["end_pos"] - a["start_pos"]), F.abs(a["start_pos"] - b["end_pos"]), F.abs(b["start_pos"] - a["end_pos"]))
 
 
+def _near(others: Column, window: int):
+    return lambda s: F.exists(others, lambda o: closest(s, o) <= window)
+
+
 def correlate(df: DataFrame, rules: list[Rule], results: str = "results") -> DataFrame:
     """Severities after proximity boosts and then reductions, in the order of the rules; adds the links between fired rules."""
-    boosts = [r for r in rules if r.boost]
-    out = F.col(results)
-    for rule in boosts:
-        b = rule.boost
-        others = F.flatten(F.transform(F.filter(out, lambda x: x["rule_id"].isin(list(b.rules))), lambda x: x["spans"]))
-        near = lambda r: F.exists(r["spans"], lambda s: F.exists(others, lambda o: closest(s, o) <= b.window))  # noqa: E731, B023
-        out = F.transform(out, lambda r: _with_severity(r, F.when((r["rule_id"] == rule.id) & near(r), F.lit(b.severity)).otherwise(r["severity"])))  # noqa: B023
-    df = df.withColumn(results, out)
+    r = F.col(results)
+    of = lambda ids: F.flatten(F.transform(F.filter(r, lambda x: x["rule_id"].isin(ids)), lambda x: x["spans"]))
+    # whether each boost applies is settled first, outside of the pass over the results
+    raised = [F.when(F.exists(F.coalesce(of([x.id]), sp.none()), _near(of(list(x.boost.rules)), x.boost.window)), F.struct(F.lit(x.id).alias("id"), F.lit(x.boost.severity).alias("to"))) for x in rules if x.boost]
+    if raised:
+        df = df.withColumn("_raised", F.map_from_entries(F.filter(F.array(*raised), lambda x: x.isNotNull())))
+        df = df.withColumn(results, F.transform(results, lambda x: _with_severity(x, F.coalesce(F.col("_raised")[x["rule_id"]], x["severity"])))).drop("_raised")
     df = df.withColumn("worst_boosted", F.array_min(F.transform(results, _rank)))
     ids = F.transform(results, lambda r: r["rule_id"])
     pairs = [F.when(F.array_contains(ids, r.id) & F.array_contains(ids, o), F.struct(F.lit(r.id).alias("rule_id"), F.lit(o).alias("linked"))) for r in rules for o in r.links]
     links = F.filter(F.array(*pairs), lambda x: x.isNotNull()) if pairs else F.array().cast("array<struct<rule_id:string,linked:string>>")
     df = df.withColumn("links", links)
-    out = F.col(results)
-    for rule in rules:
-        for target, severity in rule.reductions.items():
-            on = F.exists(out, lambda x: x["rule_id"] == rule.id)  # noqa: B023
-            less = lambda r: on & (r["rule_id"] == target) & (severity_rank(F.lit(severity)) > _rank(r))  # noqa: E731, B023
-            out = F.transform(out, lambda r: _with_severity(r, F.when(less(r), F.lit(severity)).otherwise(r["severity"])))  # noqa: B023
-    return df.withColumn(results, out)
+    # of the reductions of a rule that fired, the last that makes it less severe holds
+    lowered = [F.when(F.array_contains(F.transform(results, lambda x: x["rule_id"]), rule.id), F.struct(F.lit(t).alias("id"), F.lit(s).alias("to"))) for rule in rules for t, s in rule.reductions.items()]
+    if lowered:
+        df = df.withColumn("_lowered", F.filter(F.array(*lowered), lambda x: x.isNotNull()))
+
+        def least(x: Column) -> Column:
+            own = F.filter(F.col("_lowered"), lambda y: y["id"] == x["rule_id"])
+            return F.aggregate(own, x["severity"], lambda a, y: F.when(severity_rank(y["to"]) > severity_rank(a), y["to"]).otherwise(a))
+
+        df = df.withColumn(results, F.transform(results, lambda x: _with_severity(x, least(x)))).drop("_lowered")
+    return df
 
 
 def verdict(df: DataFrame, rules: list[Rule], results: str = "results") -> DataFrame:
@@ -103,7 +112,7 @@ def apply_action(action: str, c: Column, spans: Column, blocked: Column, suspici
 
 def audit_events(df: DataFrame, key: str, stage: str, results: str = "results", context: tuple[str, ...] = ()) -> DataFrame:
     """One event per fired rule: snippet of the first match, all spans, the action taken."""
-    rows = df.select(key, *context, "overall_action", F.explode(results).alias("r"))
+    rows = exploded(df, results, "r", key, *context, "overall_action")
     first = F.when(F.size("r.spans") > 0, F.substring(F.element_at("r.spans", 1)["matched"], 1, 200)).otherwise("")
     spans = F.transform("r.spans", lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), F.substring(s["matched"], 1, 100).alias("matched")))
     return rows.select(

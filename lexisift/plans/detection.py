@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as tx
+from lexisift.functions.rows import exploded
 from lexisift.operators import spans as sp
 from lexisift.operators import verdicts
 from lexisift.operators.rules import Pattern, Rule, evaluate, matches, pattern_spans
@@ -27,7 +28,7 @@ def _docs(spark, d):
 
 
 def _long(df, key, spans: Column):
-    rows = df.select(key, F.posexplode(spans).alias("match_no", "s"))
+    rows = exploded(df, spans, "s", key, position="match_no")
     return rows.select(key, "match_no", "s.start_pos", "s.end_pos", "s.matched")
 
 
@@ -116,7 +117,7 @@ def _one_rule(spark, d, rule: Rule, language: str | None = None):
 
 def rule_any_first_pattern(spark, d):
     rule = Rule("O-31", "First pattern", "P1", "warn", (packs.keyword("certificate warning"), packs.keyword("policy draft")))
-    return _one_rule(spark, d, rule).select("doc_id", F.explode("results").alias("r")).select("doc_id", "r.pattern_idx", F.size("r.spans").alias("n_spans"))
+    return exploded(_one_rule(spark, d, rule), "results", "r", "doc_id").select("doc_id", "r.pattern_idx", F.size("r.spans").alias("n_spans"))
 
 
 def rule_all_mode(spark, d):
@@ -159,31 +160,31 @@ def verdict_per_doc(spark, d):
 
 def context_boost(spark, d):
     df = verdicts.correlate(evaluate(_docs(spark, d), packs.PROSE, "text"), packs.PROSE)
-    return df.select("doc_id", F.explode("results").alias("r")).filter("r.rule_id = 'O-22'").select("doc_id", "r.severity")
+    return exploded(df, "results", "r", "doc_id").filter("r.rule_id = 'O-22'").select("doc_id", "r.severity")
 
 
 def link_rules(spark, d):
     df = verdicts.correlate(evaluate(_docs(spark, d), packs.PROSE, "text"), packs.PROSE)
-    return df.select("doc_id", F.explode("links").alias("k")).select("doc_id", "k.rule_id", "k.linked")
+    return exploded(df, "links", "k", "doc_id").select("doc_id", "k.rule_id", "k.linked")
 
 
 def severity_reduction(spark, d):
     df = verdicts.correlate(evaluate(_docs(spark, d), packs.PROSE, "text"), packs.PROSE)
-    return df.select("doc_id", F.explode("results").alias("r")).filter("r.rule_id = 'O-23'").select("doc_id", "r.severity")
+    return exploded(df, "results", "r", "doc_id").filter("r.rule_id = 'O-23'").select("doc_id", "r.severity")
 
 
 def severity_histogram(spark, d):
     df = verdicts.correlate(evaluate(_docs(spark, d), packs.PROSE, "text"), packs.PROSE)
-    return df.select(F.explode("results").alias("r")).groupBy("r.rule_id", "r.severity").agg(F.count("*").alias("n"))
+    return exploded(df, "results", "r").groupBy("r.rule_id", "r.severity").agg(F.count("*").alias("n"))
 
 
 def top_triggered_rules(spark, d):
-    fired = evaluate(_docs(spark, d), packs.PROSE, "text").select(F.explode("results").alias("r")).groupBy("r.rule_id").agg(F.count("*").alias("n_triggered"))
+    fired = exploded(evaluate(_docs(spark, d), packs.PROSE, "text"), "results", "r").groupBy("r.rule_id").agg(F.count("*").alias("n_triggered"))
     return fired.orderBy(F.desc("n_triggered"), "rule_id").limit(20)
 
 
 def warnings_list(spark, d):
-    return _judged(spark, d).select("doc_id", F.explode("warnings").alias("warning")).groupBy("doc_id", "warning").agg(F.count("*").alias("n"))
+    return exploded(_judged(spark, d), "warnings", "warning", "doc_id").groupBy("doc_id", "warning").agg(F.count("*").alias("n"))
 
 
 def action_block_warn(spark, d):
@@ -208,14 +209,14 @@ def dynamic_action(spark, d):
 
 def surrounding_context(spark, d):
     docs = _docs(spark, d)
-    hits = docs.select("doc_id", "text", F.explode(sp.keyword_spans(F.col("text"), "certificate warning", 10)).alias("s"))
+    hits = exploded(docs, sp.keyword_spans(F.col("text"), "certificate warning", 10), "s", "doc_id", "text")
     before, after = tx.surrounding(F.col("text"), F.col("s.start_pos"), F.col("s.end_pos"), 40)
     return hits.select("doc_id", "s.start_pos", before.alias("before"), after.alias("after"))
 
 
 def line_column(spark, d):
     docs = _docs(spark, d)
-    hits = docs.select("doc_id", "text", F.explode(sp.keyword_spans(F.col("text"), "policy", 10)).alias("s"))
+    hits = exploded(docs, sp.keyword_spans(F.col("text"), "policy", 10), "s", "doc_id", "text")
     return hits.select("doc_id", "s.start_pos", tx.line_of(F.col("text"), F.col("s.start_pos")).alias("line_number"), tx.column_of(F.col("text"), F.col("s.start_pos")).alias("column_no"))
 
 

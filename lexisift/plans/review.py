@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexisift.functions.rows import exploded
 from lexisift.operators import analyzers, lookups, output_probes, scanner, sessions
 from lexisift.operators.probes import probe
 from lexisift.operators.rules import evaluate
@@ -29,7 +30,7 @@ def session_score(spark, d):
 
 
 def session_rules(spark, d):
-    return _tracked(spark, d).select("request_id", F.explode("session_rules").alias("rule_id"))
+    return exploded(_tracked(spark, d), "session_rules", "rule_id", "request_id")
 
 
 def prune_sessions(spark, d):
@@ -48,7 +49,7 @@ def stream_assembled(spark, d):
 
 def _boundary(spark, d, mode: str):
     docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
-    return docs.select("doc_id", F.explode(chunks.boundaries(F.col("text"), mode)).alias("position"))
+    return exploded(docs, chunks.boundaries(F.col("text"), mode), "position", "doc_id")
 
 
 def boundary_line(spark, d):
@@ -71,7 +72,7 @@ def fast_rules(spark, d):
     """The first phase over output chunks: only rules without entropy or composite patterns."""
     fast = [r for r in packs.FLAGSHIP if all(p.type in ("regex", "keyword") for p in r.patterns)]
     fired = evaluate(_messages(spark, d), fast, "content")
-    return fired.select("request_id", F.explode("results").alias("r")).groupBy("r.rule_id").agg(F.count("*").alias("n"))
+    return exploded(fired, "results", "r", "request_id").groupBy("r.rule_id").agg(F.count("*").alias("n"))
 
 
 def _files(spark, d):
@@ -146,7 +147,7 @@ def incremental_manifest_diff(spark, d):
 
 def output_probe_hits(spark, d):
     f = probe(_files(spark, d).select("file_id", "content"), "content", output_probes.PROBES, adjust=True)
-    return f.select("file_id", F.explode("hits").alias("h")).select("file_id", "h.rule_id", "h.start_pos", "h.end_pos", "h.matched", "h.confidence")
+    return exploded(f, "hits", "h", "file_id").select("file_id", "h.rule_id", "h.start_pos", "h.end_pos", "h.matched", "h.confidence")
 
 
 def output_probe_summary(spark, d):
@@ -160,7 +161,7 @@ def language_detect(spark, d):
 
 def data_flow_taint(spark, d):
     f = analyzers.data_flow(_files(spark, d).select("file_id", "content", F.lower("language").alias("language")), "content", "language")
-    return f.select("file_id", F.explode("flows").alias("x")).select("file_id", "x.sink", "x.position", "x.flow", "x.confidence")
+    return exploded(f, "flows", "x", "file_id").select("file_id", "x.sink", "x.position", "x.flow", "x.confidence")
 
 
 def code_blocks(spark, d):

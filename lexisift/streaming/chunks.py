@@ -24,8 +24,8 @@ def boundaries(c: Column, mode: str = "sentence", least: int = LEAST_CHARS) -> C
     elif mode == "paragraph":
         at = F.transform(regex_spans(c, r"\n\s*\n", None, ignore_case=False), lambda s: s["end_pos"])
     elif mode in ("line", "word"):
-        pattern = "\n" if mode == "line" else r"\s"
-        at = F.transform(regex_spans(c, pattern, None, ignore_case=False), lambda s: s["start_pos"])
+        stop = (lambda x: x == "\n") if mode == "line" else (lambda x: x.rlike(r"(?U)^\s$"))
+        at = F.filter(F.transform(F.split(c, ""), lambda x, i: F.when(stop(x), i)), lambda i: i.isNotNull())
     else:
         raise ValueError(f"unknown mode {mode}")
     return F.filter(at, lambda x: x >= least)
