@@ -180,7 +180,7 @@ def verdict(path: Column) -> Column:
         F.when(path.rlike(LOCK_FILES), "lock file")
         .when(minified_path | dense, "minified")
         .when(blob, "data")
-        .when(c("marker") | (code & repeats) | (generated_path & ((c("grammar_ratio") < 0.6) | (c("n_tokens") < 80))), "generated")
+        .when(c("marker") | (code & repeats) | (generated_path & ((c("grammar_ratio") < 0.6) | (c("n_tokens") < 160))), "generated")
         .when(vendor_dir | c("notice"), "vendored")
         .when(code & (c("copies") >= 1) & (c("shared_share") > 0.5), "copied")
     )
