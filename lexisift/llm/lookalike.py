@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexisift.session import written
+
 #: Letters of other scripts that look like a Latin letter, by that letter (fixed values).
 LETTERS = {
     "a": "аɑα", "c": "сϲᴄ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іıɩι", "j": "јϳյ", "k": "", "l": "ӏǀ", "n": "ո", "o": "оοօᴏ", "p": "рρ", "q": "ԛզ", "s": "ѕꜱ",
@@ -125,6 +127,7 @@ def equal_looking_pairs(forms: DataFrame) -> DataFrame:
     one content aren't compared with each other.
     """
     keyed = forms.filter("id is not null and form is not null").select("id", F.sha2("form", 256).alias("f"), F.sha2("content", 256).alias("c"))
+    keyed = written(keyed, "forms")  # used several times: the forms are made once
     classes = keyed.groupBy("f", "c").agg(F.count("*").alias("n"))
     several = classes.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f")
     keyed = keyed.join(several, "f", "left_semi").distinct()
