@@ -15,7 +15,7 @@ from lexisift.functions.rows import exploded
 from lexisift.functions.text import column_of, line_of
 
 from . import code_probes
-from .probes import Probe, probe
+from .probes import HITS, Probe, probe
 from .spans import java
 
 #: What a scan passes over (fixed values).
@@ -181,6 +181,45 @@ def structural_hits(path: Column, c: Column) -> Column:
     return F.filter(F.array(docker, network, helm), lambda x: x.isNotNull())
 
 
+def functions_without_network(text: str | None) -> list[tuple[str, int, int, str, float, str]]:
+    """Serverless functions of a template that name no network, each at the line of its type."""
+    if not text or ("AWS::Lambda::Function" not in text and "AWSTemplateFormatVersion" not in text):
+        return []
+    out, at = [], 0
+    open_: tuple[int, int, str, int] | None = None  # start, line number, line, indentation
+
+    def close() -> None:
+        if open_ is not None:
+            out.append(("IAC-19", open_[0], open_[0] + len(open_[2]), f"Function without VpcConfig: {open_[2].strip()[:80]}", 0.7, "absent"))
+
+    for number, line in enumerate(text.split("\n")):
+        body, start, at = line.strip(), at, at + len(line) + 1
+        if body.startswith("#"):
+            continue
+        if "AWS::Lambda::Function" in body:
+            close()
+            open_ = (start, number, line, len(line) - len(line.lstrip()))
+        elif open_ is not None and body:
+            if body.startswith("VpcConfig"):
+                open_ = None
+            elif len(line) - len(line.lstrip()) <= open_[3] and ":" in body and not body.startswith("-") and number > open_[1] + 2:
+                close()
+                open_ = None
+    close()
+    return out
+
+
+def template_hits(files: DataFrame, path: str, text: str, key: list[str]) -> DataFrame:
+    """Hits of functions_without_network in YAML files."""
+
+    def series(texts: pd.Series) -> pd.Series:
+        return texts.map(functions_without_network)
+
+    own = files.filter(extension(F.col(path)).isin("yaml", "yml"))
+    hits = F.pandas_udf(series, HITS)(F.col(text))
+    return exploded(own.select(*key, hits.alias("_h")), "_h", "h", *key).select(*key, "h.rule_id", "h.start_pos", "h.end_pos", "h.matched", "h.confidence")
+
+
 def dependency_hits(files: DataFrame, path: str, text: str, key: list[str], known: list[str] = ()) -> DataFrame:
     """Packages that another source could take over: loose or local versions, and unknown names in requirement lists."""
     name = F.element_at(F.split(F.col(path), "/"), -1)

@@ -140,3 +140,11 @@ def test_flush_segments(spark, tmp_path):
     q.awaitTermination()
     got = [r["text"] for r in spark.sql("select * from segments order by segment").collect()]
     assert "".join(got) == text and len(got) == 2
+
+
+def test_functions_without_network(spark):
+    text = "AWSTemplateFormatVersion: x\nResources:\n  A:\n    Type: AWS::Lambda::Function\n    Properties:\n      Handler: h\n  B:\n    Type: AWS::Lambda::Function\n    Properties:\n      VpcConfig:\n        SubnetIds: [a]\n"
+    got = scanner.functions_without_network(text)
+    assert len(got) == 1 and text[got[0][1] : got[0][2]].strip() == "Type: AWS::Lambda::Function" and got[0][1] < text.index("  B:")
+    df = spark.createDataFrame([(1, "t.yml", text), (2, "t.py", text), (3, "u.yml", None)], "k int, p string, t string")
+    assert [r["k"] for r in scanner.template_hits(df, "p", "t", ["k"]).collect()] == [1]
