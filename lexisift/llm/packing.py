@@ -76,7 +76,7 @@ def _pack(conflicts: list[tuple[str, str]]):
 def pieces(docs: DataFrame, packs: DataFrame) -> DataFrame:
     """docs (doc_id, tokens, source, cluster) x packs -> one row per item; only what exceeds a capacity is cut."""
     p = packs.select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0 and pack_name is not null").distinct()
-    both = docs.filter("tokens > 0").join(F.broadcast(p))
+    both = docs.filter("tokens > 0").select("doc_id", "tokens", "source", "cluster").join(F.broadcast(p))
     n = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
     cut = both.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     return cut.withColumn("tokens", F.least(F.col("capacity").cast("long"), F.col("tokens") - F.col("piece") * F.col("capacity").cast("long")))
