@@ -106,7 +106,7 @@ class Engine:
     def act(self, df: DataFrame, action: str, text: str = "content", suspicion: str | None = None) -> DataFrame:
         """df with processed_content after an action on the verdicts."""
         s = F.col(suspicion) if suspicion else F.lit(0)
-        return df.withColumn("processed_content", verdicts.apply_action(action, F.col(text), F.col("redact_spans"), F.col("blocked"), s))
+        return df.withColumn("processed_content", verdicts.apply_action(action, F.col(text), F.col("redact_spans"), F.col("blocked"), s, templates=True))
 
     def audit(self, judged: DataFrame, key: str, stage: str, context: tuple[str, ...] = ()) -> DataFrame:
         return verdicts.audit_events(judged, key, stage, context=context)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions.rows import exploded
-from lexisift.functions.text import clean, severity_rank, truncate_at_boundary
+from lexisift.functions.text import clean, severity_rank, surrounding, truncate_at_boundary
 
 from . import spans as sp
 from .rules import Rule
@@ -70,6 +70,8 @@ def verdict(df: DataFrame, rules: list[Rule], results: str = "results") -> DataF
     worst = F.least(F.lit(2), given, F.col("worst_boosted")) if "worst_boosted" in df.columns else F.least(F.lit(2), given)
     warn = lambda x: F.transform(F.filter(x["spans"], lambda s: s["matched"] != ""), lambda s: F.concat(F.lit("["), x["rule_id"], F.lit("] "), x["name"], F.lit(": "), F.substring(s["matched"], 1, 100)))
     blocked = fired(hard)
+    templates = [(x.id, x.redact_template) for x in rules if x.redact_template]
+    template = (lambda i: F.create_map(*[F.lit(v) for kv in templates for v in kv])[i]) if templates else (lambda i: F.lit(None).cast("string"))
     return (
         df.withColumn("n_triggered", F.coalesce(F.size(r), F.lit(0)))
         .withColumn("match_count", F.coalesce(F.aggregate(r, F.lit(0), lambda a, x: a + F.size(x["spans"])), F.lit(0)))
@@ -77,39 +79,50 @@ def verdict(df: DataFrame, rules: list[Rule], results: str = "results") -> DataF
         .withColumn("overall_severity", F.concat(F.lit("P"), worst.cast("string")))
         .withColumn("overall_action", F.when(F.col("blocked"), "block").otherwise("warn"))
         .withColumn("warnings", F.flatten(F.transform(F.filter(r, lambda x: x["action"] == "warn"), warn)))
-        .withColumn("redact_spans", F.flatten(F.transform(r, lambda x: x["spans"])))
+        .withColumn("redact_spans", F.flatten(F.transform(r, lambda x: F.transform(x["spans"], lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), s["matched"].alias("matched"), template(x["rule_id"]).alias("redacted"))))))
         .withColumn("admin_alert", F.coalesce(fired(flagged("admin_alert")), F.lit(False)))
         .withColumn("compliance_audit", F.coalesce(fired(flagged("compliance_audit")), F.lit(False)))
         .withColumn("gdpr_audit", F.coalesce(fired(flagged("gdpr_audit")), F.lit(False)))
     )
 
 
-def redact(c: Column, spans: Column, token: str | Column = TOKEN) -> Column:
+def redact(c: Column, spans: Column, token: str = TOKEN, templates: bool = False) -> Column:
     """Each span replaced by the token, the last first; of equal starts the earlier given first. Spans may overlap or end
-    behind the text."""
-    t = F.lit(token) if isinstance(token, str) else token
-    numbered = F.transform(spans, lambda s, i: F.struct((-s["start_pos"]).alias("k"), i.alias("i"), s["start_pos"].alias("a"), s["end_pos"].alias("b")))
-    return F.aggregate(F.array_sort(numbered), c, lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["a"]), t, F.substring(acc, s["b"] + 1, F.length(acc))))
+    behind the text. With templates, spans carry ``redacted``, which stands for the token where it isn't null."""
+    own = (lambda s: F.coalesce(s["redacted"], F.lit(token))) if templates else (lambda s: F.lit(token))
+    numbered = F.transform(spans, lambda s, i: F.struct((-s["start_pos"]).alias("k"), i.alias("i"), s["start_pos"].alias("a"), s["end_pos"].alias("b"), own(s).alias("t")))
+    return F.aggregate(F.array_sort(numbered), c, lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["a"]), s["t"], F.substring(acc, s["b"] + 1, F.length(acc))))
 
 
-def apply_action(action: str, c: Column, spans: Column, blocked: Column, suspicion: Column, limit: int = 1000) -> Column:
+def apply_action(action: str, c: Column, spans: Column, blocked: Column, suspicion: Column, limit: int = 1000, templates: bool = False) -> Column:
     """The text after an action; null where it is blocked."""
     gone = F.lit(None).cast("string")
     if action == "block":
         return gone
     if action == "redact":
-        return redact(c, spans)
+        return redact(c, spans, templates=templates)
     if action == "clean":
         return clean(c)
     if action == "truncate":
         return truncate_at_boundary(c, limit)
     if action == "dynamic":
-        return F.when(blocked | (suspicion > 50), gone).when(F.size(spans) > 0, redact(c, spans)).otherwise(c)
+        return F.when(blocked | (suspicion > 50), gone).when(F.size(spans) > 0, redact(c, spans, templates=templates)).otherwise(c)
     if action in ("warn", "soft_allow"):
         return c
     raise ValueError(f"unknown action {action}")
 
 
+def evidence(df: DataFrame, key: str, text: str, results: str = "results", width: int = 200) -> DataFrame:
+    """Why each rule fired: one row per match with what stands before and behind it, and one per link between fired rules."""
+    m = exploded(exploded(df, results, "r", key, F.col(text).alias("_text")), "r.spans", "s", key, "_text", F.col("r.rule_id").alias("rule_id"), F.col("r.severity").alias("severity"))
+    before, after = surrounding(F.col("_text"), F.col("s.start_pos"), F.col("s.end_pos"), width)
+    lexical = m.select(key, "rule_id", "severity", F.lit("lexical").alias("source_layer"), F.substring("s.matched", 1, 200).alias("matching_text"), before.alias("text_before"), after.alias("text_after"))
+    if "links" not in df.columns:
+        return lexical
+    linked = exploded(df, "links", "k", key).select(key, "k.rule_id", F.lit(None).cast("string").alias("severity"), F.lit("correlation").alias("source_layer"), F.col("k.linked").alias("matching_text"), F.lit("").alias("text_before"), F.lit("").alias("text_after"))
+    return lexical.unionByName(linked)
+
+
 def audit_events(df: DataFrame, key: str, stage: str, results: str = "results", context: tuple[str, ...] = ()) -> DataFrame:
     """One event per fired rule: snippet of the first match, all spans, the action taken."""
     rows = exploded(df, results, "r", key, *context, "overall_action")

@@ -137,3 +137,13 @@ def test_files_of_rules_and_settings():
     assert r.mode == "all" and r.boost.window == 500
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert from_environment("X", {"X_A__B": "1", "Y": "2"}) == {"a": {"b": "1"}}
+
+
+def test_templates_and_evidence(spark):
+    rules = [Rule("I-01", "a", "P1", "redact", (key("secret"),), redact_template="<S>", links=("I-02",)), Rule("I-02", "b", "P1", "warn", (key("hot"),))]
+    df = spark.createDataFrame([(1, "my secret is hot"), (2, None)], "i int, t string")
+    v = verdicts.verdict(verdicts.correlate(evaluate(df, rules, "t"), rules), rules)
+    out = v.select("i", verdicts.redact(F.col("t"), F.col("redact_spans"), templates=True).alias("x")).collect()
+    assert {r["i"]: r["x"] for r in out} == {1: "my <S> is [REDACTED]", 2: None}
+    rows = {(r["rule_id"], r["source_layer"], r["matching_text"], r["text_before"], r["text_after"]) for r in verdicts.evidence(v, "i", "t").collect()}
+    assert rows == {("I-01", "lexical", "secret", "my", "is hot"), ("I-02", "lexical", "hot", "my secret is", ""), ("I-01", "correlation", "I-02", "", "")}
