@@ -219,7 +219,7 @@ def _from_wide(run: str) -> str | None:
     return None
 
 
-_WORD = re.compile(r"[A-Za-z0-9'’]*[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z0-9'’?](?=[^\x00-\x7f]|[A-Za-z]|$)|[A-Za-z0-9])*")
+_WORD = re.compile(r"(?:(?<![A-Za-z0-9'’])[A-Za-z0-9'’]*)?[^\x00-\x7f](?:[^\x00-\x7f]|[A-Za-z0-9'’?](?=[^\x00-\x7f]|[A-Za-z]|$)|[A-Za-z0-9])*")
 _WIDE = re.compile(r"[　-ヿ㐀-鿿가-힯豈-﫿＀-￯]{2,}")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile("�|[\x80-\x84\x86-\x9f]|锟斤拷|ï¿½")
@@ -270,8 +270,13 @@ def restore(text: str | None) -> tuple[int, int, str | None]:
     at = 0
     a = automaton()
     votes: dict | None = None
-    for m in re.finditer(r"[^\r\n]*[^\x00-\x7f\r\n][^\r\n]*", text):
-        line = m[0]
+    end = -1
+    while end < len(text):
+        start, end = end + 1, text.find("\n", end + 1)
+        end = len(text) if end < 0 else end
+        line = text[start:end]
+        if line.isascii():
+            continue
         suspect = _LOST.search(line) or next(a.iter(line), None) is not None or _WIDE.search(line)
         if not suspect:
             suspect = any(cost(w[0]) for w in _WORD.finditer(line)) or cost(line)
@@ -281,8 +286,8 @@ def restore(text: str | None) -> tuple[int, int, str | None]:
             votes = _votes([w for w in dict.fromkeys(_WORD.findall(text)) if "\ufffd" not in w and cost(w)])
         new, n, gone = _line(line, votes)
         if n:
-            out += [text[at : m.start()], new]
-            at = m.end()
+            out += [text[at:start], new]
+            at = end
             found += n
             lost += gone
     out.append(text[at:])

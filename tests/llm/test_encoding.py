@@ -40,3 +40,12 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "GrÃ¶ÃŸe"), (2, None), (3, ""), (4, "x" * 100_000), (5, "Größe")], "i int, content string")
     got = {r["i"]: (r["n"], r["t"]) for r in en.repair(df).select("i", F.col("repair.n_garbled").alias("n"), F.col("repair.restored").alias("t")).collect()}
     assert got == {1: (1, "Größe"), 2: (0, None), 3: (0, ""), 4: (0, "x" * 100_000), 5: (0, "Größe")}
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("x" * 300_000 + "\nGrÃ¶ÃŸe", "é" + "x" * 300_000 + " ÃŸ", "a1" * 200_000 + " é\r\nok"):
+        en.restore(text)
+    assert time.time() - began < 10
