@@ -25,6 +25,8 @@ from .bilstm_crf import Tagger, encode
 MODEL = str(Path(__file__).parent / "models" / "pii_tagger.npz")
 TAGS = ("O", *(f"{p}-{k}" for k in rules.KINDS for p in "BI"))
 WINDOW, STRIDE = 384, 320
+#: Characters gathered before they are decoded: fewer and fuller blocks.
+FLUSH = 300_000
 #: Windows scored at once.
 CHUNK = 512
 SPANS = "array<struct<start_pos:int,end_pos:int,kind:string,matched:string>>"
@@ -133,13 +135,17 @@ def _confirm(text: str, proposed: list[tuple[int, int, str]]) -> list[tuple[int,
                 taken.add((x, y))
                 out.append((x, y, real))
     for a, b, kind in proposed:
-        if kind != "name":
-            continue
+        if kind != "name" and not (kind == "address" and b - a > 5 and not any(c.isdigit() for c in text[a:b])):
+            continue  # names and addresses are made of the same words: one without a number is tried as a name
         a, b = _whole_words(text, a, b)
+        if not rules.name_ok(text[a:b]):  # one half of a name may be all that was proposed
+            more = re.search(r"(?:^|(?<=[\s:=(—,;]))[^\W\d_]{3,}\s+$", text[max(0, a - 24) : a])
+            if more and more[0].strip().lower() not in rules.NOT_NAME and rules.name_ok(text[a - len(more[0]) : b]):
+                a -= len(more[0])
         if any(a < y and b > x for x, y, _ in out):
             continue
         if rules.name_ok(text[a:b]) and not (a and text[a - 1] in "@./_-") and not text[b : b + 1] in ("@", "_"):
-            out.append((a, b, kind))
+            out.append((a, b, "name"))
     return sorted(out)
 
 
@@ -186,7 +192,7 @@ def find_spans(texts: list[str | None], model: str = MODEL, known: dict | None =
     for x in distinct:
         part.append(x)
         size += len(x)
-        if size >= 300_000:
+        if size >= FLUSH:
             flush()
             part, size = [], 0
     if part:

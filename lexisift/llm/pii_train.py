@@ -123,10 +123,10 @@ def windows(texts: list[str]):
         for k in range(batch):
             text, spans = vary(*r.choice(has if r.random() < 0.72 else none), r)
             way = r.random()
-            if spans and way < 0.62:
+            if spans and way < 0.70:
                 a, b, _ = r.choice(spans)
-                if way < 0.15:  # as in a matched span: the item alone, or with little around it
-                    lo, hi = max(0, a - r.choice((0, 0, 8, 20))), min(len(text), b + r.choice((0, 0, 6)))
+                if way < 0.30:  # as in a matched span: the item alone, or with little around it
+                    lo, hi = max(0, a - r.choice((0, 0, 8, 20))), min(len(text), b + r.choice((0, 0, 0, 6)))
                     text, spans = text[lo:hi], [(x - lo, y - lo, s) for x, y, s in spans if lo <= x and y <= hi]
                     lo = 0
                 else:
