@@ -26,7 +26,7 @@ MODEL = str(Path(__file__).parent / "models" / "pii_tagger.npz")
 TAGS = ("O", *(f"{p}-{k}" for k in rules.KINDS for p in "BI"))
 WINDOW, STRIDE = 384, 320
 #: Characters gathered before they are decoded: fewer and fuller blocks.
-FLUSH = 300_000
+FLUSH = 1_500_000
 #: Windows scored at once.
 CHUNK = 512
 SPANS = "array<struct<start_pos:int,end_pos:int,kind:string,matched:string>>"
