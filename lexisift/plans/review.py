@@ -114,7 +114,7 @@ def scan_keyvalue(spark, d):
 
 def scan_yaml_paths(spark, d):
     f = _files(spark, d).filter(F.col("file_path").rlike(r"\.(?:yaml|yml)$")).select("file_id", "content")
-    return scanner.yaml_hits(f, "content", [("IAC-04", "replicas:^[1-9]$", 0.6), ("IAC-04", "env:.*", 0.5)], ["file_id"])
+    return scanner.yaml_hits(f, "content", [("IAC-04", "label_0.replicas:^[1-9]$", 0.6), ("IAC-04", "policy_0.env.- name:MODE$", 0.5)], ["file_id"])
 
 
 def scan_null_dereference(spark, d):
