@@ -25,6 +25,11 @@ def java(pattern: str, ignore_case: bool = True, multiline: bool = False) -> str
     return f"(?dU{'i' if ignore_case else ''}{'u' if ignore_case else ''}{'m' if multiline else ''}){pattern}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value made once, however often the body and its inner functions refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def none() -> Column:
     return F.array().cast(SPANS)
 
@@ -46,12 +51,20 @@ def _walk(pairs: Column, start: Column) -> Column:
 
 
 def _walk_in_runs(pairs: Column) -> Column:
+    return let(pairs, _runs)
+
+
+def _runs(pairs: Column) -> Column:
     size = F.size(pairs)
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / RUN).cast("int"))), lambda k: F.slice(pairs, k * RUN + 1, F.lit(RUN)))
     length = lambda ps: F.aggregate(ps, F.lit(0), lambda n, p: n + F.length(p["g"]) + F.length(p["m"]))
+    return let(runs, lambda rs: F.flatten(F.transform(F.arrays_zip(rs.alias("r"), _starts(F.transform(rs, length)).alias("s")), lambda x: _walk(x["r"], x["s"]))))
+
+
+def _starts(lengths: Column) -> Column:
+    """Where each run begins: the lengths before it."""
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(F.transform(runs, length), begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
-    return F.flatten(F.transform(F.arrays_zip(runs.alias("r"), starts.alias("s")), lambda x: _walk(x["r"], x["s"])))
+    return F.aggregate(lengths, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
 
 
 def regex_spans(c: Column, pattern: str, limit: int | None = 10, ignore_case: bool = True, multiline: bool = False) -> Column:
@@ -86,12 +99,17 @@ def hit(spans: Column) -> Column:
 
 def all_of(parts: list[Column], negative: list[Column] = (), limit: int = 10) -> Column:
     """Spans of all parts if each has some and no negative part has any."""
-    ok = F.lit(True)
-    for p in parts:
-        ok = ok & hit(p)
-    for n in negative:
-        ok = ok & ~hit(n)
-    return F.when(ok, F.slice(F.concat(*parts), 1, limit)).otherwise(none())
+
+    def joined(st: Column) -> Column:
+        ok = F.lit(True)
+        for i in range(len(parts)):
+            ok = ok & hit(st[f"p{i}"])
+        for i in range(len(negative)):
+            ok = ok & ~hit(st[f"n{i}"])
+        return F.when(ok, F.slice(F.concat(*[st[f"p{i}"] for i in range(len(parts))]), 1, limit)).otherwise(none())
+
+    fields = [p.alias(f"p{i}") for i, p in enumerate(parts)] + [n.alias(f"n{i}") for i, n in enumerate(negative)]
+    return let(F.struct(*fields), joined)
 
 
 def first_of(parts: list[tuple[Column, bool]]) -> Column:
@@ -116,10 +134,13 @@ def _bare(s: Column) -> Column:
 def near(parts: list[Column], distance: int, negative: list[Column] = ()) -> Column:
     """The first two spans (in order of parts) that lie within distance, if all parts match; as one span each."""
     every = all_of(parts, negative, 1000)
-    indexed = F.transform(every, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     close = lambda a, b: F.least(F.abs(a["end_pos"] - b["start_pos"]), F.abs(b["end_pos"] - a["start_pos"])) <= distance
-    pairs = F.flatten(F.transform(indexed, lambda a: F.transform(F.filter(indexed, lambda b: (b["i"] > a["i"]) & close(a["s"], b["s"])), lambda b: F.array(_bare(a["s"]), _bare(b["s"])))))
-    return F.when(F.size(pairs) > 0, F.element_at(pairs, 1)).otherwise(none())
+
+    def first(indexed: Column) -> Column:
+        pairs = F.flatten(F.transform(indexed, lambda a: F.transform(F.filter(indexed, lambda b: (b["i"] > a["i"]) & close(a["s"], b["s"])), lambda b: F.array(_bare(a["s"]), _bare(b["s"])))))
+        return F.coalesce(F.get(pairs, F.lit(0)), none())
+
+    return let(F.transform(every, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), first)
 
 
 def mode_of(text: str) -> tuple[str, int]:
