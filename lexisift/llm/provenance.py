@@ -2,8 +2,9 @@
 
 Every file's token sequence gets a Re-Pair grammar. Names count without their numbers, strings and numbers as such, so the
 repeating parts of generated code become few rules with long expansions; a hand-written file reuses short rules at most.
-Literals that stay incompressible mark blobs. Rules and whole files that occur in several repositories mark copies. What the
-grammar says is weighed with what the path and the first comment say: a marker counts only as a comment at the head of the
+Literals that stay incompressible mark blobs. Whole files, and runs of phrases, that occur in several repositories mark copies:
+phrases end where the tokens themselves say so, hence also a file that repeats nothing inside, or was edited here and there,
+shares them. A comment at the head, such as a licence, is not part of them. What the grammar says is weighed with what the path and the first comment say: a marker counts only as a comment at the head of the
 file, a folder only as a whole name, and the owner's own notices not at all.
 
 Null or empty content is no case (unless the path names a lock file), and binary files have empty content. Equal file_ids are
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisift.session import written
 
-from .grammar import Grammars
+from .grammar import Grammars, _mix
 
 _TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _DIGITS = re.compile(r"\d+")
@@ -53,10 +54,14 @@ CODE = r"(?i)\.(?:py|js|mjs|cjs|jsx|ts|tsx|java|go|c|cc|cpp|h|hpp|cs|rb|php|rs|k
 FEATURES = (
     "file_key long, n_chars long, n_tokens long, grammar_ratio double, long_share double, covered_share double, longest_rule long, max_uses long, root_hash long, "
     "literal_share double, literal_noise double, number_share double, chars_per_line double, longest_line long, short_name_share double, space_share double, "
-    "marker boolean, notice boolean, rules array<struct<hash:long,covered:long>>"
+    "marker boolean, notice boolean, n_phrased long, phrases array<struct<hash:long,start:int,stop:int>>"
 )
-#: Rules this long are looked for in other repositories.
+#: Tokens that a file must have, without the comment at its head, to be looked for in other repositories.
 SHARED_LENGTH = 24
+#: A phrase begins at a token that marks the smallest hash of GRAM tokens within REACH on both sides; RUN phrases in a row are
+#: looked for together (about 85 tokens), as shorter runs are the common stock of hand-written code.
+GRAM, REACH, RUN = 4, 8, 5
+_HEAD = re.compile(r"\A(?:\s|#(?!\[|include|define|if|pragma|import)[^\n]*|//[^\n]*|/\*.*?\*/|<!--.*?-->|--[^\n]*)+", re.S)
 
 
 def _stable(token: str) -> int:
@@ -97,36 +102,77 @@ def _surface(text: str, toks: list[str]) -> tuple:
     )
 
 
+def _phrases(hashes: np.ndarray, sizes: np.ndarray) -> list[list]:
+    """Per file the runs of phrases: (hash, start, stop), in order; a shorter file is one run."""
+    out: list[list] = [[] for _ in sizes]
+    if not len(hashes):
+        return out
+    files = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(files)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams = hashes
+    for d in range(1, GRAM):
+        ahead = np.zeros_like(hashes)
+        ahead[:-d] = np.where(files[d:] == files[:-d], hashes[d:], 0)
+        grams = _mix(grams, ahead)
+    cut = np.ones(len(files), bool)
+    for d in range(1, REACH + 1):
+        same = files[d:] == files[:-d]
+        cut[d:] &= ~same | (grams[d:] < grams[:-d])
+        cut[:-d] &= ~same | (grams[:-d] < grams[d:])
+    at = np.flatnonzero(cut | (place == 0))
+    stop = np.append(at[1:], len(files))
+    inside = np.arange(len(files)) - np.repeat(at, stop - at)
+    whole = np.add.reduceat(_mix(hashes, inside.astype(np.uint64)), at)
+    owner, n = files[at], len(at)
+    run, last, width = whole.copy(), np.arange(n), np.ones(n, np.int64)
+    for d in range(1, RUN):
+        more = np.flatnonzero(owner[d:] == owner[:-d])
+        run[more] = _mix(run[more], whole[more + d])
+        last[more], width[more] = more + d, d + 1
+    for i in np.flatnonzero((width == RUN) | (place[at] == 0)):
+        out[owner[i]].append((int(run[i].astype(np.int64)), int(place[at[i]]), int(place[stop[last[i]] - 1]) + 1))
+    return out
+
+
 def _features(batch: list[tuple[int, str]]) -> pd.DataFrame:
     ids: dict[str, int] = {}
+    seen: dict[str, int] = {}
     hashes: list[int] = []
-    sequences, surface = [], []
+    normal, verbatim = [], []  # by the token as it stands
+    sequences, surface, bodies = [], [], []
     for _, text in batch:
         toks = _TOKEN.findall(text)
         s = []
         for t in toks:
-            n = _normal(t)
-            i = ids.get(n)
-            if i is None:
-                i = ids[n] = len(ids)
-                hashes.append(_stable(n))
-            s.append(i)
+            k = seen.get(t)
+            if k is None:
+                k = seen[t] = len(seen)
+                n = _normal(t)
+                i = ids.get(n)
+                if i is None:
+                    i = ids[n] = len(ids)
+                    hashes.append(_stable(n))
+                normal.append(i)
+                verbatim.append(_stable(t))
+            s.append(k)
         sequences.append(np.array(s, np.int64))
         surface.append(_surface(text, toks))
+        head = _HEAD.match(text)
+        body = sequences[-1][len(_TOKEN.findall(head[0])) :] if head else sequences[-1]
+        bodies.append(body if len(body) >= SHARED_LENGTH else body[:0])
+    normal, verbatim = np.array(normal, np.int64), np.array(verbatim, np.uint64)
+    sequences = [normal[s] for s in sequences]
     g = Grammars(sequences, np.array(hashes, np.uint64))
     n = len(batch)
     size = np.maximum(g.sizes, 1)
     longest, uses = np.zeros(n, np.int64), np.zeros(n, np.int64)
     np.maximum.at(longest, g.rule_file, g.rule_length)
     np.maximum.at(uses, g.rule_file, g.rule_uses)
-    rules: list[list] = [[] for _ in batch]
-    wide = np.flatnonzero((g.rule_length >= SHARED_LENGTH) & (g.rule_top > 0))
-    for k in wide:
-        rules[g.rule_file[k]].append((int(g.rule_hash[k]), int(g.rule_length[k] * g.rule_top[k])))
     out = pd.DataFrame({"file_key": [k for k, _ in batch], "n_chars": [len(t) for _, t in batch], "n_tokens": g.sizes, "grammar_ratio": (g.left + 2 * g.rules) / size, "long_share": g.long_covered / size, "covered_share": g.covered / size, "longest_rule": longest, "max_uses": uses, "root_hash": g.root})
     for name, column in zip(("literal_share", "literal_noise", "number_share", "chars_per_line", "longest_line", "short_name_share", "space_share", "marker", "notice"), zip(*surface)):
         out[name] = column
-    out["rules"] = rules
+    out["n_phrased"] = [len(b) for b in bodies]
+    out["phrases"] = _phrases(verbatim[np.concatenate(bodies)], out["n_phrased"].to_numpy())
     return out
 
 
@@ -151,20 +197,22 @@ def features(files: DataFrame, key: str = "file_id", text: str = "content") -> D
 
 
 def shared(feats: DataFrame, files: DataFrame, key: str, repo: str) -> DataFrame:
-    """(file_key, shared_share, copies): share of the tokens under rules that several repositories have, and the number of
-    other repositories with a file of the very same tokens. The counts come from all files; a rule's rows are reduced to its
-    repositories before they meet."""
+    """(file_key, shared_share, copies): share of the tokens in runs of phrases that other repositories have too, and the
+    number of other repositories with a file of the same tokens but for names' numbers and literals. The counts come from all
+    files; a run's rows are reduced to whether they lie in several repositories before they meet."""
     where = files.select(F.col(key).cast("long").alias("file_key"), F.coalesce(F.col(repo), F.lit("")).alias("repo")).dropDuplicates(["file_key"])
-    base = feats.select("file_key", "n_tokens", "root_hash", "rules").join(where, "file_key")
-    rules = base.select("file_key", "repo", F.explode("rules").alias("r")).select("file_key", "repo", "r.hash", "r.covered")
-    common = rules.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos")).filter("repos >= 3").select("hash")
-    by_file = rules.join(common, "hash").groupBy("file_key").agg(F.sum("covered").alias("covered"))
+    base = feats.select("file_key", "n_tokens", "n_phrased", "root_hash", "phrases").join(where, "file_key")
+    runs = base.select("file_key", "repo", F.explode("phrases").alias("r")).select("file_key", "repo", "r.hash", "r.start", "r.stop")
+    common = runs.groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a < b").select("hash")
+    # runs overlap: each counts from where the one before it ends
+    before = F.coalesce(F.lag("stop").over(Window.partitionBy("file_key").orderBy("start")), F.lit(0))
+    by_file = runs.drop("repo").distinct().join(common, "hash").withColumn("covered", F.col("stop") - F.greatest("start", before)).groupBy("file_key").agg(F.sum("covered").alias("covered"))
     roots = base.filter("n_tokens >= 150")
     twice = roots.select("root_hash", "repo").distinct().groupBy("root_hash").agg(F.count("*").alias("repos")).filter("repos >= 2")
     copies = roots.select("file_key", "root_hash").join(twice, "root_hash").select("file_key", (F.col("repos") - 1).alias("copies"))
     return (
-        base.select("file_key", "n_tokens").join(by_file, "file_key", "left").join(copies, "file_key", "left")
-        .select("file_key", F.round(F.coalesce(F.least(F.col("covered") / F.col("n_tokens"), F.lit(1.0)), F.lit(0.0)), 6).alias("shared_share"), F.coalesce("copies", F.lit(0)).alias("copies"))
+        base.select("file_key", "n_phrased").join(by_file, "file_key", "left").join(copies, "file_key", "left")
+        .select("file_key", F.round(F.coalesce(F.col("covered") / F.col("n_phrased"), F.lit(0.0)), 6).alias("shared_share"), F.coalesce("copies", F.lit(0)).alias("copies"))
     )
 
 
@@ -182,7 +230,7 @@ def verdict(path: Column) -> Column:
         .when(blob, "data")
         .when(c("marker") | (code & repeats) | (generated_path & ((c("grammar_ratio") < 0.6) | (c("n_tokens") < 160))), "generated")
         .when(vendor_dir | c("notice"), "vendored")
-        .when(code & (c("copies") >= 1) & (c("shared_share") > 0.5), "copied")
+        .when(code & ((c("copies") >= 1) | (c("shared_share") > 0.5)), "copied")
     )
 
 
@@ -191,6 +239,6 @@ def classify(files: DataFrame, key: str = "file_id", path: str = "file_path", te
     feats = written(features(files, key, text), "grammars")  # used several times, costly to make
     near = shared(feats, files, key, repo)
     paths = files.select(F.col(key).cast("long").alias("file_key"), F.coalesce(F.col(path), F.lit("")).alias("path")).filter("file_key is not null").dropDuplicates(["file_key"])
-    unique = feats.drop("rules").dropDuplicates(["file_key"])
+    unique = feats.drop("phrases", "n_phrased").dropDuplicates(["file_key"])
     joined = paths.join(unique, "file_key", "left").join(near.dropDuplicates(["file_key"]), "file_key", "left")
     return joined.withColumn("reason", F.when(F.col("n_tokens").isNotNull() | F.col("path").rlike(LOCK_FILES), verdict(F.col("path"))))

@@ -61,5 +61,27 @@ def test_copies_over_repositories(spark):
     assert [got[i] for i in range(4)] == ["copied"] * 4 and got[9] is None
 
 
+def written_by_hand(seed, lines):
+    """Nothing in it repeats."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    return "".join(f"{word()} = {word()}({word()}, {word()}.{word()})\n" for _ in range(lines))
+
+
+def test_copies_that_repeat_nothing_inside(spark):
+    lib, small = written_by_hand(3, 60), written_by_hand(4, 8)
+    edited = lib.splitlines(keepends=True)
+    edited[30] = "changed = here(1)\n"
+    licence = "".join(f"# {w}\n" for w in written_by_hand(5, 30).split("\n"))
+    rows = [
+        (1, "a", "src/l.py", lib), (2, "b", "app/l.py", "".join(edited)), (3, "a", "src/s.py", small), (4, "b", "app/s.py", small),
+        (5, "a", "src/h.py", licence + written_by_hand(6, 9)), (6, "b", "app/h.py", licence + written_by_hand(7, 9)),  # share the licence alone
+        (7, "c", "src/m.py", written_by_hand(8, 60)), (8, "c", "app/m.py", written_by_hand(8, 60)),  # in one repository
+        (9, "d", "src/t.py", "x = 1\n"), (10, "e", "src/t.py", "x = 1\n"), (11, "f", "src/p.py", written_by_hand(9, 60) + small), (2, "b", "app/l.py", "".join(edited)),
+    ]
+    got = reasons(spark, rows)
+    assert [i for i in sorted(got) if got[i] == "copied"] == [1, 2, 3, 4] and set(got.values()) == {"copied", None}
+
+
 def test_empty(spark):
     assert reasons(spark, []) == {}
