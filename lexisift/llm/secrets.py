@@ -71,6 +71,18 @@ _GIVEN = re.compile(
     r"""\b(?:\w*(?:login|connect|auth|credentials?|sign_?in)\w*\(\s*(?:(?P<p>["'`])[\w.@-]*(?P=p))\s*,\s*|identified\s+by\s+|password\s+(?=['"`])|(?:with|using|password|passphrase|token)\s+(?=`))(?P<q>["'`])(?P<v>[^"'`\s]{4,200})(?P=q)""",
     re.I,
 )
+#: What may follow a name, in turn: a separator, the second of a pair, words at the end of a line, the value of a flag.
+_AFTER = re.compile(r"""["'`]?\s*\]?\s*(?:(:=|=>|=(?!=)|:\s*(?:str|string|String|&str|const char\*?|Optional\[str\])\s*=|:(?![:/])|\s+(?:string|String)\s*=)\s*|(/?>)|\s+(value|content)\s*=\s*)""")
+_PAIR = re.compile(r"""(["'`])\s*,\s*(?=["'`])""")
+_SAID = re.compile(r"\s+(?:is\s+|was\s+|on \w+ is\s+|for \w+ is\s+|equals\s+)?([\"'`]?)([^\s\"'`]{4,})\1[.;,]?\s*(?:\*/|-->)?\s*$")
+_FLAG = re.compile(r"[ =]([\"'`]?)([^\s\"'`]{3,})\1")
+_SET = re.compile(r"[=#]")
+_HERE = re.compile(r"\S*\s*<<-?\s*['\"]?(\w+)['\"]?")
+_BARE = re.compile(r"[^\s\"'`]+")
+_TAIL = re.compile(r"\s*(?:$|#|//|\*/|-->)")
+_ENTRY = re.compile(r"""\bvalue["']?\s*[:=]\s*(["']?)([^"'\s,}]{6,})\1""", re.I)
+_COLUMNS = re.compile(r"\(([^()]*)\)\s*values\s*(?=\()", re.I)
+_SQL = re.compile(r"'(?:[^']|'')*+'|[(),;]")
 _NAME = re.compile(r"[A-Za-z_][\w.-]*")
 _MARK = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|>)")
 
@@ -176,6 +188,7 @@ class _Scan:
     def __init__(self, text: str, path: str = ""):
         self.text, self.path = text, (path or "").lower()
         self.hits: dict[int, tuple[int, int]] = {}
+        self.bare = (0, 0)
 
     def put(self, a: int, b: int) -> None:
         while a < b and self.text[a] in " \t\r\n":
@@ -197,19 +210,9 @@ class _Scan:
             b = t.find("\n", m.start())
             b = len(t) if b < 0 else b
             done = b
-            if b - a > 4000:  # one line of a bundle: the known formats and assignments near each word
-                self._long(a, b)
-            else:
-                self._line(a, b)
+            self._line(a, b)
         return sorted(self.hits.values())
 
-    def _long(self, a: int, b: int) -> None:
-        part = self.text[a:b]
-        self._formats(a, part)
-        for m in re.finditer(r"""([A-Za-z_][\w.-]{2,60})["']?\s*[:=]\s*(["'`])([^"'`\n]{4,300})\2""", part):
-            if live(m[3], name_kind(m[1])):
-                self.put(a + m.start(3), a + m.end(3))
-
     def _formats(self, a: int, line: str) -> None:
         for m in KNOWN.finditer(line):
             self.put(a + m.start(), a + m.end())
@@ -229,8 +232,9 @@ class _Scan:
             kind = name_kind(m[0])
             if kind in ("secret", "licence", "connection"):
                 self._value(a, b, m, kind, line)
-        if "value" in line.lower() and (m := re.search(r"""\bvalue["']?\s*[:=]\s*(["']?)([^"'\s,}]{6,})\1""", line, re.I)):
-            before = self.text[max(0, a - 160) : a + m.start()]
+        lower = line.lower()
+        for m in _ENTRY.finditer(line) if "value" in lower else ():
+            before = self.text[max(0, a - 160, a + m.start() - 4000) : a + m.start()]
             named = re.findall(r"""(?:name|key|id)["']?\s*[:=]\s*["']?([A-Za-z_][\w.-]*)""", before)
             if named and name_kind(named[-1]) == "secret" and live(m[2], "secret"):
                 self.put(a + m.start(2), a + m.end(2))
@@ -238,36 +242,54 @@ class _Scan:
             v = m["v"]
             if live(v, "secret") and (re.search(r"\d|[!~^=+]", v) or chars_per_subword(v) < UNNATURAL):
                 self.put(a + m.start("v"), a + m.end("v"))
-        if "values" in line.lower() and "(" in line:
+        if "values" in lower and "(" in line:
             self._sql(a, line)
 
     def _sql(self, a: int, line: str) -> None:
-        m = re.search(r"\(([^()]*)\)\s*values\s*\((.*)\)", line, re.I)
-        if not m:
-            return
-        names = [x.strip().strip('"`[]') for x in m[1].split(",")]
-        values = list(re.finditer(r"\s*(?:'((?:[^']|'')*)'|[^,]+)", m[2]))
-        for n, v in zip(names, values):
-            if v[1] and live(v[1], name_kind(n)):
-                self.put(a + m.start(2) + v.start(1), a + m.start(2) + v.end(1))
+        for m in _COLUMNS.finditer(line):
+            names = [x.strip().strip('"`[]') for x in m[1].split(",")]
+            depth = k = 0
+            begin = m.end()
+            for x in _SQL.finditer(line, begin):  # rows of values, and what is nested in them
+                c = x[0]
+                if depth == 0 and (c not in "(," or line[begin : x.start()].strip()):
+                    break
+                if depth == 1 and c[0] == "'" and k < len(names) and not line[begin : x.start()].strip() and live(c[1:-1], name_kind(names[k])):
+                    self.put(a + x.start() + 1, a + x.end() - 1)
+                if c == "(":
+                    depth += 1
+                    k = k if depth > 1 else 0
+                elif c == ")":
+                    depth -= 1
+                elif c == "," and depth == 1:
+                    k += 1
+                if depth == 0 or depth == 1 and c in "(,":
+                    begin = x.end()
+
+    def _back(self, p: int, a: int) -> int:
+        """Before the white space that ends at p."""
+        while p > a and self.text[p - 1].isspace():
+            p -= 1
+        return p
 
     def _value(self, a: int, b: int, name: re.Match, kind: str, line: str) -> None:
         """What stands behind a name: in quotes, bare, on the next line, in pieces, in a tag, in words."""
         t = self.text
-        rest = line[name.end() :]
+        # lines can be long: everything is matched where it stands
+        at, e = a + name.start(), a + name.end()
         # name = value, "name": value, name := value, name: type = value, <name>value, key="name">value, ("name", value)
-        m = re.match(r"""["'`]?\s*\]?\s*(?:(:=|=>|=(?!=)|:\s*(?:str|string|String|&str|const char\*?|Optional\[str\])\s*=|:(?![:/])|\s+(?:string|String)\s*=)\s*|(/?>)|\s+(value|content)\s*=\s*)""", rest)
-        pair = None if m else re.match(r"""(["'`])\s*,\s*(?=["'`])""", rest)
-        if pair and re.search(rf"[(\[{{]\s*{pair[1]}$", line[: name.start()]):
-            self._literal(a + name.end() + pair.end(), b, kind, line)
+        m = _AFTER.match(t, e, b)
+        pair = None if m else _PAIR.match(t, e, b)
+        if pair and at > a and t[at - 1] == pair[1] and (p := self._back(at - 1, a)) > a and t[p - 1] in "([{":
+            self._literal(pair.end(), b, kind, line)
             return
         if m:
-            start = a + name.end() + m.end()
+            start = m.end()
             if m[2]:
-                if m[2] == "/>" or line[: name.start()].rstrip().endswith("</"):
+                if m[2] == "/>" or t.endswith("</", a, self._back(at, a)):
                     return
-                end = t.find("<", start)
-                if 0 <= end < start + 6000 and live(t[start:end], kind):
+                end = t.find("<", start, start + 6000)
+                if end >= 0 and live(t[start:end], kind):
                     self.put(start, start + len(t[start:end].rstrip()))
                 return
             self._literal(start, b, kind, line)
@@ -275,17 +297,14 @@ class _Scan:
         if kind not in ("secret", "licence"):
             return
         # --password 'x', password x
-        m = re.match(r"\s+(?:is\s+|was\s+|on \w+ is\s+|for \w+ is\s+|equals\s+)?([\"'`]?)([^\s\"'`]{4,})\1[.;,]?\s*(?:\*/|-->)?\s*$", rest)
-        flag = line[: name.start()].endswith("--")
-        if flag:
-            m = re.match(r"[ =]([\"'`]?)([^\s\"'`]{3,})\1", rest)
-        if m and (flag or _MARK.match(line) or re.search(r"[=#]", rest) is None):
+        flag = t.endswith("--", a, at)
+        m = (_FLAG if flag else _SAID).match(t, e, b)
+        if m and (flag or _MARK.match(line) or _SET.search(t, e, b) is None):
             v = m[2].rstrip(".,;") if not flag else m[2]
             odd = re.search(r"\d", v) or re.search(r"[!~^=+_]", v)
             if live(v, "secret") and (flag or (odd and ("_" in name[0] or re.search(r"[a-z][A-Z]", name[0]) or _MARK.match(line)) and (_MARK.match(line)))):
-                s = a + name.end() + m.start(2)
-                self.put(s, s + len(v))
-        m = re.match(r"\S*\s*<<-?\s*['\"]?(\w+)['\"]?", rest)
+                self.put(m.start(2), m.start(2) + len(v))
+        m = _HERE.match(t, e, b) if t.find("<<", e, min(b, e + 4000)) >= 0 else None
         if m:  # a here-document
             end = re.compile(rf"^\s*{m[1]}\s*$", re.M).search(t, b)
             if end and live(t[b + 1 : end.start()].strip().split("\n")[0], "secret"):
@@ -333,13 +352,17 @@ class _Scan:
             if live(v.strip(), kind):
                 self.put(nxt, nxt + len(v.rstrip()))
             return
-        bare = re.match(r"[^\s\"'`]+", t[s:b])
-        if not bare:
-            return
-        v = bare[0].rstrip(";,")
-        tail = t[s + bare.end() : b].strip()
         config = re.search(r"(?:\.env(?:\.\w+)?|\.ya?ml|\.sh|dockerfile|\.toml|\.ini|\.cfg|\.properties|\.conf|\.md|\.txt)$", self.path) or _MARK.match(line) or not self.path
-        if not config or (tail and not tail.startswith(("#", "//", "*/", "-->")) and not re.match(r"^\s*(?:export|ENV|ARG)\b", line)):
+        if not config:
+            return
+        if not self.bare[0] <= s < self.bare[1]:  # names inside a long run share its end
+            bare = _BARE.match(t, s, b)
+            self.bare = (s, bare.end()) if bare else (s, s)
+        end = self.bare[1]
+        if not s < end < s + 6000:
+            return
+        v = t[s:end].rstrip(";,")
+        if (not _TAIL.match(t, end, b) and not re.match(r"^\s*(?:export|ENV|ARG)\b", line)):
             return
         if re.search(r"[(){}\[\]<>]|^[A-Za-z_][\w.]*$(?<!\d)", v) and not re.search(r"\d", v):
             return
@@ -352,7 +375,7 @@ class _Scan:
             end = t.find(q, at)
             if end < 0 and len(t) <= CUT and "\n" not in t[at:]:
                 return len(t)  # the text is an excerpt that ends inside the literal
-            if end < 0 or (len(q) == 1 and q != "`" and (nl := t.find("\n", at)) >= 0 and nl < end):
+            if end < 0 or (len(q) == 1 and q != "`" and t.find("\n", at, end) >= 0):
                 return -1
             back = 0
             while t[end - 1 - back] == "\\":

@@ -59,3 +59,27 @@ def test_no_line_is_passed_over_in_which_a_rule_could_fire():
     for word in sorted(sec.SECRET_WORDS | sec.CONNECTION_WORDS):
         assert sec._GATE.search(f"my_{word} = 1"), word
     assert len(sec.find('mdp = "Xk29!fooBar7"\n', "a.py")) == 1
+
+
+LONG = [
+    ("a.xml", "<password>Xk29!fooBar7</password>", "Xk29!fooBar7"), ("a.sql", "INSERT INTO c (label, service_password) VALUES ('a', 'Harb0ur!Kaffee753'), ('b', 'Tasse!Nebula8841');", "Harb0ur!Kaffee753", "Tasse!Nebula8841"),
+    ("a.js", 'f(("password", "Xk29!fooBar7"));', "Xk29!fooBar7"), ("a.js", 'login("svc", "Xk29!fooBar7");', "Xk29!fooBar7"), ("a.js", "h('Authorization: Bearer Tasse!Kettle2337');", "Tasse!Kettle2337"), ("a.json", '{"name": "db_password", "value": "Xk29!fooBar7"}', "Xk29!fooBar7"),
+    ("a.js", 'token = "AKIA" + "Y5SPE7MPAIOVYJE5";', 'AKIA" + "Y5SPE7MPAIOVYJE5'), ("a.js", f'password = "{"Xk29!fooBar7" * 40}";', "Xk29!fooBar7" * 40),
+]
+
+
+@pytest.mark.parametrize("path, text, values", [(p, t, v) for p, t, *v in LONG])
+def test_long_lines_are_read_as_short_ones(path, text, values):
+    for before, behind in ((0, 0), (800, 0), (800, 800), (0, 800)):
+        line = "f(a); " * before + text + " g(b);" * behind
+        assert [line[a:b] for a, b in sec.find(line, path)] == values
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for part in ('{"password": "changeme", "n": 1}, ', "a.password=b;", "<password>x</password>", "key_", '"secret",'):
+        line = part * (200_000 // len(part))
+        began = time.process_time()
+        sec.find(line, "a.json")
+        assert time.process_time() - began < 20
