@@ -1,9 +1,10 @@
 """Credentials embedded in source code and configuration: finding them and blanking them out in place.
 
-Every literal value is weighed by its characters per subword under a public tokenizer: words of a language or of programs
+Literal values, under any name, are weighed by its characters per subword under a public tokenizer: words of a language or of programs
 take few subwords, keys and passwords many. The context decides what is enough: under a name that says secret any literal
 that is no placeholder, reference or plain word; under a name of a connection only an unnatural one; known token formats,
-URLs with a password and private-key blocks anywhere. Digests, ids, certificates and public keys are never taken.
+URLs with a password and private-key blocks anywhere; under any other name, or none, an unnatural literal in which capitals,
+small letters and digits mix as only chance does it. Digests, ids, certificates and public keys are never taken.
 
 Redaction keeps every offset: each character of the value but line ends and quotes becomes ``x``, so the code around it, its
 columns and its line numbers stay as they were.
@@ -184,6 +185,24 @@ def live(value: str, kind: str) -> bool:
     return False
 
 
+#: Values of 16 to 512 characters, in quotes or bare behind a separator up to the end of the line, that mix three kinds of characters.
+_MIXED = r"""(?=[^\s"'`]{0,511}[0-9])(?=[^\s"'`]{0,511}[A-Z])(?=[^\s"'`]{0,511}[a-z])(?P<v>[\w!@$%^&*+/=~.-]{16,512})"""
+_WEIGHED = re.compile(rf"""(?P<q>["'`]){_MIXED}(?P=q)|(?:[:=]\s*){_MIXED.replace("<v>", "<w>")}(?=[;,]?[^\S\n]*$)""", re.M)
+_BEFORE = re.compile(r"""([A-Za-z_][\w.-]*)["'`]?\s*\]?\s*(?::=|=>|[:=,(])\s*["'`]?$""")
+#: Words beside a literal that say it is drawn by chance but no secret: ids, digests, data, alphabets.
+_OTHER = NEVER_WORDS | frozenset("id ids uuid guid uid nonce sri sum data image icon svg png blob payload alphabet charset chars letters digits pattern regex re format sitekey sample example fixture mock expected want".split())
+
+
+def chance(v: str) -> bool:
+    """Whether a value, whatever its name, can only be drawn by chance: unnatural, mixed, and no digest, id, path or format."""
+    if chars_per_subword(v) >= 2.0 or dead(v) or _UUID.match(v) or re.search(r"[A-Z]{3,}[a-z]{0,2}[0-9]*$", v) and "_" in v or re.search(r"0123|abcd|ABCD|(.)\1{3}", v):
+        return False
+    if v.startswith(("sha1-", "sha256-", "sha384-", "sha512-", "h1:", "iVBOR", "data:", "MII", "AAAA", "/", "./", "../", "http", "R0lGOD", "UEsDB", "H4sI")) or "%" in v or "$" in v or "//" in v:
+        return False
+    # of parts, one must be mixed by itself
+    return any(len(x) >= 16 and re.search("[0-9]", x) and re.search("[A-Z]", x) and re.search("[a-z]", x) and len(re.findall(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])", x)) >= len(x) / 4 for x in re.split(r"[./=_-]", v))
+
+
 class _Scan:
     def __init__(self, text: str, path: str = ""):
         self.text, self.path = text, (path or "").lower()
@@ -211,8 +230,27 @@ class _Scan:
             b = len(t) if b < 0 else b
             done = b
             self._line(a, b)
+        odd = [m.span("v" if m["v"] else "w") for m in _WEIGHED.finditer(t)]
+        odd = [x for x in odd if chance(t[x[0] : x[1]])]
+        # several in a row are the lines of a blob
+        joined = [bool(re.fullmatch(r"[\s\"'`+,;.\\()\[\]]{0,200}", t[x[1] : y[0]])) for x, y in zip(odd, odd[1:])]
+        for x, before, behind in zip(odd, [False, *joined], [*joined, False]):
+            if not before and not behind:
+                self._weigh(*x)
         return sorted(self.hits.values())
 
+    def _weigh(self, a: int, b: int) -> None:
+        """A literal that looks drawn by chance, under any name: what stands around it."""
+        # base64 of more than 48 bytes, or a piece that nothing takes, is data
+        if b - a > 64 and re.fullmatch(r"[A-Za-z0-9+/]+=*", self.text[a:b]) or not re.search(r"[\w\])>-]\s*[=:(,>]\s*[([{]*\s*[\"'`]?$|[\w\])]\s+[\"'`]$|[\"'`]\s*[:=,]\s*[\"'`]?$|^\s*return\s*[\"'`]$", self.text[max(0, a - 200) : a]):
+            return
+        name = _BEFORE.search(self.text[max(self.text.rfind("\n", 0, a) + 1, a - 120) : a])
+        if name and set(_words(name[1])) & _OTHER:
+            return
+        if re.search(r"BEGIN (?!.*PRIVATE)|-----END", self.text[max(0, a - 80) : b + 80]):
+            return
+        self.put(a, b)
+
     def _formats(self, a: int, line: str) -> None:
         for m in KNOWN.finditer(line):
             self.put(a + m.start(), a + m.end())
@@ -387,7 +425,7 @@ class _Scan:
 
 def find(text: str | None, path: str | None = "") -> list[tuple[int, int]]:
     """Offsets of the secret values."""
-    if not text or not _GATE.search(text) and "PRIVATE KEY" not in text:
+    if not text or not _GATE.search(text) and "PRIVATE KEY" not in text and not _WEIGHED.search(text):
         return []
     return _Scan(text, path or "").run()
 

@@ -83,3 +83,11 @@ def test_long_lines_take_linear_time():
         began = time.process_time()
         sec.find(line, "a.json")
         assert time.process_time() - began < 20
+
+
+def test_literals_are_weighed_under_any_name():
+    v = "q7RzT4mKp2XvB9sLw8NdY3hJ"
+    for path, text in (("a.py", f'SIGNING = "{v}"'), ("a.py", f"hmac = '{v}'"), ("a.js", f'setup(1, "{v}");'), ("a.yml", f"signing: {v}")):
+        assert [text[a:b] for a, b in sec.find(text, path)] == [v], text
+    for path, text in (("a.py", f'checksum = "{v}"'), ("a.py", f'request_id = "{v}"'), ("a.py", 'x = "getHTTP2ResponseCodeForUser"'), ("a.py", 'x = "ABCDEFGHabcdefgh01234567"'), ("a.py", 'x = "2024-01-05T10:00:00Z-Release2"'), ("a.js", f'x = "sha256-{v}"')):
+        assert sec.find(text, path) == [], text
