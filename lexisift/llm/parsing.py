@@ -11,6 +11,7 @@ Java (an empty unit), and invalid JSON, XML and Go. Texts are read whole.
 from __future__ import annotations
 
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .syntax import data, golang, java, javascript, python
-from .syntax.base import conflict
+from .syntax.base import MAX_DEPTH, conflict
 
 PARSERS = {"python": python.parse, "javascript": javascript.parse, "java": java.parse, "go": golang.parse, "json": data.json, "yaml": data.yaml, "xml": data.xml, "toml": data.toml}
 EXTENSIONS = {"py": "python", "js": "javascript", "mjs": "javascript", "java": "java", "go": "go", "json": "json", "yaml": "yaml", "yml": "yaml", "xml": "xml", "toml": "toml"}
@@ -54,10 +55,14 @@ def errors_of(text: str | None, language: str | None) -> list[tuple[int, str]] |
     if text is None or language not in PARSERS:
         return None
     text = text.removeprefix("﻿")
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 40 * MAX_DEPTH))
     try:
         errors = sorted(set(PARSERS[language](text)))
     except RecursionError:
         errors = [(1, "nested too deeply")]
+    finally:
+        sys.setrecursionlimit(limit)
     mark = conflict(text)
     if mark and errors:
         errors = [(mark, "merge conflict"), *(e for e in errors if e[0] != mark)]

@@ -17,8 +17,8 @@ class Bad(Exception):
         self.line, self.cause = line, cause
 
 
-#: Deeper nesting than this counts as an error, so that no text can exhaust the stack.
-MAX_DEPTH = 150
+#: Deeper nesting than this counts as an error, so that no text can exhaust the stack; JSON has a stack of its own.
+MAX_DEPTH = 1000
 
 
 class Parser:

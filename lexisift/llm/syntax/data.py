@@ -17,10 +17,13 @@ _JWORD = re.compile(r"(?:true|false|null)(?!\w)")
 class Json:
     def __init__(self, text: str):
         self.s, self.at = text, 0
+        self.line, self.counted = 1, 0
         self.errors: list[tuple[int, str]] = []
 
     def bad(self, cause: str) -> Bad:
-        return Bad(self.s.count("\n", 0, self.at) + 1, cause if self.at < len(self.s) else "end of text")
+        self.line += self.s.count("\n", self.counted, self.at)  # errors come in order
+        self.counted = self.at
+        return Bad(self.line, cause if self.at < len(self.s) else "end of text")
 
     def space(self) -> str:
         self.at = _SPACE.match(self.s, self.at).end()
@@ -28,7 +31,7 @@ class Json:
 
     def run(self) -> list[tuple[int, str]]:
         try:
-            self.value(0)
+            self.value()
             if self.space():
                 raise self.bad("text behind the value")
         except Bad as e:
@@ -38,7 +41,7 @@ class Json:
 
     def recover(self) -> None:
         """Panic mode: go on behind the next line end with a fresh member or value, to find further errors."""
-        for _ in range(20):
+        while True:
             end = self.s.find("\n", self.at)
             if end < 0:
                 return
@@ -59,56 +62,52 @@ class Json:
                     self.errors.append((e.line, e.cause))
 
     def member_or_value(self) -> None:
-        self.value(0)
+        self.value()
         if self.space() == ":":
             self.at += 1
-            self.value(0)
+            self.value()
 
-    def value(self, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            raise self.bad("nested too deeply")
-        c = self.space()
-        if c == "{":
-            self.at += 1
-            if self.space() == "}":
+    def name(self) -> None:
+        self.space()
+        m = _JSTRING.match(self.s, self.at)
+        if not m:
+            raise self.bad("expected a name in quotes")
+        self.at = m.end()
+        if self.space() != ":":
+            raise self.bad("expected :")
+        self.at += 1
+
+    def value(self) -> None:
+        """With a stack of its own: JSON nests as deep as it likes."""
+        open_: list[str] = []
+        while True:
+            c = self.space()
+            if c == "{" or c == "[":
                 self.at += 1
-                return
-            while True:
-                self.space()
-                m = _JSTRING.match(self.s, self.at)
+                closer = "}" if c == "{" else "]"
+                if self.space() != closer:
+                    open_.append(closer)
+                    if c == "{":
+                        self.name()
+                    continue
+                self.at += 1
+            else:
+                m = _JSTRING.match(self.s, self.at) or _JNUMBER.match(self.s, self.at) or _JWORD.match(self.s, self.at)
                 if not m:
-                    raise self.bad("expected a name in quotes")
+                    raise self.bad("no value" if c != '"' else "string without end")
                 self.at = m.end()
-                if self.space() != ":":
-                    raise self.bad("expected :")
-                self.at += 1
-                self.value(depth + 1)
+            while open_:
                 c = self.space()
+                if c != open_[-1] and c != ",":
+                    raise self.bad(f"expected , or {open_[-1]}")
                 self.at += 1
-                if c == "}":
-                    return
-                if c != ",":
-                    self.at -= 1
-                    raise self.bad("expected , or }")
-        elif c == "[":
-            self.at += 1
-            if self.space() == "]":
-                self.at += 1
+                if c == ",":
+                    if open_[-1] == "}":
+                        self.name()
+                    break
+                open_.pop()
+            else:
                 return
-            while True:
-                self.value(depth + 1)
-                c = self.space()
-                self.at += 1
-                if c == "]":
-                    return
-                if c != ",":
-                    self.at -= 1
-                    raise self.bad("expected , or ]")
-        else:
-            m = _JSTRING.match(self.s, self.at) or _JNUMBER.match(self.s, self.at) or _JWORD.match(self.s, self.at)
-            if not m:
-                raise self.bad("no value" if c != '"' else "string without end")
-            self.at = m.end()
 
 
 def json(text: str) -> list[tuple[int, str]]:
@@ -471,7 +470,7 @@ class Yaml:
         return k
 
     def node(self, level: int) -> None:
-        if level > 400:
+        if level > MAX_DEPTH:
             raise self.bad("nested too deeply")
         body = self.lines[self.n][level:]
         if body.startswith("- ") or body.rstrip() == "-":
@@ -672,8 +671,6 @@ class Yaml:
                 if not fresh:
                     raise self.bad("missing ,", start)
                 stack.append("]" if c == "[" else "}")
-                if len(stack) > 100:
-                    raise self.bad("nested too deeply", start)
                 fresh = True
             elif c in "]}":
                 if not stack or stack.pop() != c:

@@ -312,21 +312,22 @@ class Go(Parser):
 
     def branch(self) -> None:
         self.deeper()
-        self.need("if")
-        held, self.level = self.level, -1
-        if self.at("{"):
-            raise self.fail("if without a condition")
-        if not self.at(";"):
-            self.simple()
-        if self.eat(";"):
-            self.simple()
-        self.level = held
-        self.block()
-        if self.eat("else"):
-            if self.at("if"):
-                self.branch()
-            else:
+        while True:  # arms of a chain lie beside each other, however many
+            self.need("if")
+            held, self.level = self.level, -1
+            if self.at("{"):
+                raise self.fail("if without a condition")
+            if not self.at(";"):
+                self.simple()
+            if self.eat(";"):
+                self.simple()
+            self.level = held
+            self.block()
+            if not self.eat("else"):
+                break
+            if not self.at("if"):
                 self.block()
+                break
         self.depth -= 1
 
     def switch(self) -> None:

@@ -325,11 +325,15 @@ class Java(Parser):
         elif v == ";":
             self.next()
         elif v == "if":
-            self.next()
-            self.head()
-            self.statement()
-            if self.eat("else"):
+            while True:  # arms of a chain lie beside each other, however many
+                self.next()
+                self.head()
                 self.statement()
+                if not self.eat("else"):
+                    break
+                if not self.at("if"):
+                    self.statement()
+                    break
         elif v == "while":
             self.next()
             self.head()

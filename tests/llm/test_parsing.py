@@ -58,6 +58,25 @@ def test_all_errors_are_kept():
     assert [e[0] for e in several] == [1, 3]
 
 
+@pytest.mark.parametrize("language, head, arm, tail", [("javascript", "", "if (a == 1) { f() }", "else f()"), ("java", "class A { void f() { ", "if (a == 1) { f(); }", "else f(); } }"), ("go", "package a\nfunc f() { ", "if a == 1 { f() }", "else { f() } }")])
+def test_long_chains_of_else_if_are_no_errors(language, head, arm, tail):
+    assert pa.errors_of(f"{head}{' else '.join([arm] * 2000)} {tail}\n", language) == []
+
+
+def test_json_has_no_bound_of_depth_or_errors():
+    n = 20_000
+    assert pa.errors_of("[" * n + "]" * n, "json") == [] and pa.errors_of('{"a":[' * n + "]}" * n, "json") == []
+    # line 1 is open to the end; each of the further lines is wrong, but the one in the middle
+    text = "{x}\n" + '{"a" 1},\n' * 60 + '"ok": 1,\n' + '{"a" 1},\n' * 60
+    lines = [e[0] for e in pa.errors_of(text, "json")]
+    assert set(range(2, 62)) | set(range(63, 123)) <= set(lines) and 62 not in lines
+
+
+@pytest.mark.parametrize("language, head, tail", [("javascript", "x = ", "\n"), ("java", "class A { int x = ", "; }"), ("go", "package a\nvar x = ", "\n"), ("yaml", "a: ", "")])
+def test_nesting_of_400_is_no_error(language, head, tail):
+    assert pa.errors_of(f"{head}{'(['[language == 'yaml'] * 400}1{')]'[language == 'yaml'] * 400}{tail}", language) == []
+
+
 def test_columns_and_rates(spark):
     rows = [(1, "r", "a.py", "x = 1\n"), (2, "r", "b.py", "x = (\n"), (3, "r", "c.txt", "("), (4, "q", "d.JSON", None), (5, "q", "e.mjs", ""), (6, None, "f.json", "{}"), (7, "r", None, "x")]
     df = pa.check(spark.createDataFrame(rows, "i int, repo string, p string, t string"), "t", "p")
