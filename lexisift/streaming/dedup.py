@@ -2,12 +2,17 @@
 
 Keyed state of seen identifiers, in Spark's state store, with expiry by event-time watermark. State and output advance
 together: the stream's checkpoint holds the state of each micro-batch, and each batch writes its decisions under its own
-number, so a batch that is run again replaces what it wrote. Every delivery with an identifier gets a decision; those that
-the watermark shuts out of the state are looked up in the decisions written so far.
+number, so a batch that is run again replaces what it wrote. Every delivery with an identifier gets a decision.
+
+What the state can't know is looked up in the decisions written so far: deliveries that the watermark shut out, and
+identifiers that came again after they had expired. Whether there are any is read from what was written, never from the
+progress of a running query: a row short of the source's tells of shut-out deliveries, a marker of expired identifiers. Without
+either nothing is looked up.
 
 Identifiers are kept in buckets, a bucket being one entry of the state store: sorted arrays of identifier, smallest delivery
-and latest event time, merged with a batch's rows at once rather than key by key. ``buckets`` sets the entry's size; a few
-hundred identifiers each is a good choice. Expired identifiers leave whenever their bucket is touched or times out.
+and latest event time, merged with a batch's rows at once rather than key by key. There are as many buckets as the source's
+rows ask for (``PER_BUCKET`` each); a home folder keeps the number of its first run. Expired identifiers leave whenever
+their bucket is touched or times out.
 
 Before the shuffle each Arrow batch is reduced to the smallest delivery of each identifier, so that an identifier with a
 third of all rows sends a few rows per batch to its task.
@@ -32,7 +37,11 @@ from lexisift.session import work_dir
 
 EARLY = "1970-01-01 00:00:00"
 LOCAL = "h bigint, l bigint, id bigint, ts bigint, surplus boolean"
-DECISIONS = "h bigint, l bigint, id bigint, surplus boolean"
+#: kind: FIRST word on a delivery, LATER word on one that was kept before, or that identifiers EXPIRED.
+DECISIONS = "h bigint, l bigint, id bigint, surplus boolean, kind tinyint"
+FIRST, LATER, EXPIRED = 0, 1, 2
+#: Identifiers of a bucket, and the fewest buckets.
+PER_BUCKET, FEWEST = 256, 64
 
 
 def uuid_key(c: Column) -> Column:
@@ -67,7 +76,7 @@ def _decide(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
     """State: the bucket's identifiers with the smallest delivery seen and the latest event time."""
     if slot[0] < 0:
         for part in parts:
-            yield part[["h", "l", "id", "surplus"]]
+            yield part[["h", "l", "id", "surplus"]].assign(kind=np.int8(FIRST))
         return
     kept = np.frombuffer(state.get[0], _ENTRY) if state.exists else np.empty(0, _ENTRY)
     if not state.hasTimedOut:
@@ -84,11 +93,14 @@ def _decide(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
             keeper = both["id"][first][group]
             surplus = both["id"] > keeper
             said = surplus | ~old  # what was kept before and is kept still needs no word
-            yield pd.DataFrame({"h": both["h"][said], "l": both["l"][said], "id": both["id"][said], "surplus": surplus[said]})
+            yield pd.DataFrame({"h": both["h"][said], "l": both["l"][said], "id": both["id"][said], "surplus": surplus[said], "kind": np.where(old[said], LATER, FIRST).astype(np.int8)})
             last = np.maximum.reduceat(both["last"], np.flatnonzero(first)) if len(both) else both["last"]
             kept = both[first].copy()
             kept["last"] = last
-    kept = kept[kept["last"] >= state.getCurrentWatermarkMs()]
+    alive = kept["last"] >= state.getCurrentWatermarkMs()
+    if not alive.all():
+        kept = kept[alive]
+        yield pd.DataFrame({"h": [0], "l": [0], "id": [0], "surplus": [False], "kind": np.array([EXPIRED], np.int8)})
     if len(kept):
         state.update((kept.tobytes(),))
         state.setTimeoutTimestamp(max(int(kept["last"].min()), state.getCurrentWatermarkMs()) + 1)
@@ -114,12 +126,14 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 class Deduplicator:
-    """Runs the stream over a folder of parquet files until all that is there is read; a later run goes on from there."""
+    """Runs the stream over a folder of parquet files until all that is there is read; a later run goes on from there.
+
+    buckets: null for as many as the source's rows ask for. A home that has its number keeps it.
+    """
 
-    def __init__(self, spark: SparkSession, home: str | None = None, horizon: str = "7 days", files_per_batch: int | None = None, buckets: int = 2048):
+    def __init__(self, spark: SparkSession, home: str | None = None, horizon: str = "7 days", files_per_batch: int | None = None, buckets: int | None = None):
         self.spark, self.home, self.horizon, self.files = spark, home or work_dir(spark, "dedup"), horizon, files_per_batch
         self.buckets = buckets
-        self.dropped = 0
 
     def _rows(self, df: DataFrame, key: str, order: str, ts: str, received: str | None) -> DataFrame:
         when = F.coalesce(F.col(ts), F.col(received) if received else F.lit(None), F.lit(EARLY).cast("timestamp"))
@@ -127,9 +141,22 @@ class Deduplicator:
         h, l = halves(F.col("key"))
         return keyed.filter("key is not null and id is not null").select(h.alias("h"), l.alias("l"), "id", "ts")
 
-    def run(self, path: str, key: str = "event_id", order: str = "delivery_id", ts: str = "event_timestamp", received: str | None = "received_at") -> DataFrame:
+    def _number_of_buckets(self, source: DataFrame) -> int:
+        """What the home has written, else the parameter, else by the rows of the source."""
+        path = f"{self.home}/buckets"
+        try:
+            return self.spark.read.parquet(path).first()[0]
+        except AnalysisException:
+            n = self.buckets or max(FEWEST, 1 << (max(source.count(), 1) // PER_BUCKET).bit_length())
+            self.spark.createDataFrame([(n,)], "buckets bigint").coalesce(1).write.parquet(path)
+            return n
+
+    def run(self, path: str, key: str = "event_id", order: str = "delivery_id", ts: str = "event_timestamp", received: str | None = "received_at", only_surplus: bool = False) -> DataFrame:
+        """(id, surplus) of every delivery with an identifier, or of the surplus ones alone, which spares a shuffle."""
         spark = self.spark
-        reader = spark.readStream.schema(spark.read.parquet(path).schema)
+        source = spark.read.parquet(path)
+        buckets = self._number_of_buckets(source)
+        reader = spark.readStream.schema(source.schema)
         if self.files:
             reader = reader.option("maxFilesPerTrigger", self.files)
         folder = path
@@ -143,36 +170,42 @@ class Deduplicator:
         spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         try:
             query = (
-                decisions(stream, self.horizon, self.buckets)
+                decisions(stream, self.horizon, buckets)
                 .writeStream.option("checkpointLocation", f"{self.home}/checkpoint")
                 .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
                 .trigger(availableNow=True)
                 .start()
             )
             query.awaitTermination()
-            self.dropped = sum(int(o.numRowsDroppedByWatermark) for p in query.recentProgress for o in p.stateOperators)
         finally:
             for k, v in set_before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        return self.result(spark.read.parquet(path), key, order, ts, received)
+        return self.result(source, key, order, ts, received, only_surplus)
 
-    def result(self, source: DataFrame, key: str, order: str, ts: str, received: str | None) -> DataFrame:
-        """(id, surplus) of every delivery with an identifier."""
+    def result(self, source: DataFrame, key: str, order: str, ts: str, received: str | None, only_surplus: bool = False) -> DataFrame:
         spark = self.spark
         try:
-            written = spark.read.option("basePath", f"{self.home}/decisions").schema(DECISIONS).parquet(f"{self.home}/decisions/batch=*")
+            said = spark.read.option("basePath", f"{self.home}/decisions").schema(DECISIONS).parquet(f"{self.home}/decisions/batch=*")
         except AnalysisException:  # no batch was run: the source has no rows
-            written = spark.createDataFrame([], DECISIONS)
-        if self.dropped:
-            late = self._rows(source, key, order, ts, received).select("h", "l", "id").join(written.select("id"), "id", "left_anti")
-            written = settle(late, written)
-        return written.groupBy("id").agg(F.max("surplus").alias("surplus"))
-
-
-def settle(late: DataFrame, written: DataFrame) -> DataFrame:
-    """written with decisions on late (h, l, id): their identifiers are looked up among the deliveries seen so far."""
-    known = written.join(late.select("h", "l").distinct(), ["h", "l"], "left_semi").select("h", "l", "id")
-    both = late.select("h", "l", "id").unionByName(known)
-    least = both.groupBy("h", "l").agg(F.min("id").alias("least"))
-    found = both.join(least, ["h", "l"]).select("h", "l", "id", (F.col("id") > F.col("least")).alias("surplus"))
-    return written.select("h", "l", "id", "surplus").unionByName(found)
+            said = spark.createDataFrame([], DECISIONS)
+        firsts, expired = said.agg(F.count(F.when(F.col("kind") == FIRST, 1)), F.max(F.col("kind") == EXPIRED)).first()
+        said = said.filter(F.col("kind") != EXPIRED)
+        shut_out = source.filter(F.col(key).rlike(r"\S") & F.col(order).isNotNull()).count() != firsts
+        words = said.select("id", "surplus")
+        if expired or shut_out:
+            late = self._rows(source, key, order, ts, received).select("h", "l", "id")
+            late = late.join(said.select("id"), "id", "left_anti") if shut_out else late.filter("false")
+            words = words.unionByName(settle(late, said))
+        if only_surplus:
+            return words.filter("surplus").distinct()
+        return words.groupBy("id").agg(F.max("surplus").alias("surplus"))
+
+
+def settle(late: DataFrame, said: DataFrame) -> DataFrame:
+    """Words (id, surplus) on the late deliveries (h, l, id), and on those that were kept though an identifier was kept before:
+    the identifiers are looked up among all that were kept. Surplus ones need no lookup."""
+    kept = late.select("h", "l", "id").unionByName(said.filter("not surplus").select("h", "l", "id"))
+    # the few that were kept twice; their rows are reduced before they meet
+    twice = kept.groupBy("h", "l").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h", "l", "least")
+    again = kept.join(twice, ["h", "l"]).filter("id > least").select("id", F.lit(True).alias("surplus"))
+    return again.unionByName(late.select("id", F.lit(False).alias("surplus")))

@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexisift.streaming.dedup import Deduplicator, settle, uuid_key
+from lexisift.streaming.dedup import DECISIONS, Deduplicator, settle, uuid_key
 
 SCHEMA = "delivery_id long, event_id string, event_timestamp timestamp, received_at timestamp"
 
@@ -80,7 +80,36 @@ def test_empty_and_clashing_columns(spark, tmp_path):
 
 
 def test_settle(spark):
-    written = spark.createDataFrame([(1, 1, 10, False), (2, 2, 11, False)], "h long, l long, id long, surplus boolean")
+    said = spark.createDataFrame([(1, 1, 10, False, 0), (2, 2, 11, False, 0), (1, 1, 12, True, 0)], DECISIONS)
     late = spark.createDataFrame([(1, 1, 5)], "h long, l long, id long")
-    got = settle(late, written).groupBy("id").agg(F.max("surplus").alias("s")).collect()
-    assert {r["id"]: r["s"] for r in got} == {5: False, 10: True, 11: False}
+    got = said.select("id", "surplus").unionByName(settle(late, said)).groupBy("id").agg(F.max("surplus").alias("s")).collect()
+    assert {r["id"]: r["s"] for r in got} == {5: False, 10: True, 11: False, 12: True}
+
+
+def test_identifier_delivered_again_after_it_expired(spark, tmp_path):
+    a, b, c = (str(uuid.UUID(int=k)) for k in (1, 2, 3))
+    path = str(tmp_path / "in")
+    day = lambda n: f"2025-0{1 + n // 28}-{1 + n % 28:02} 00:00:00"
+    for n, (i, e, at, got) in enumerate([(1, a, day(0), day(0)), (2, b, day(30), day(30)), (3, c, day(31), day(31)), (4, a, None, day(32)), (5, a, day(33), day(33))]):
+        frame(spark, [(i, e, at, got)]).coalesce(1).write.mode("append").parquet(path)
+    d = Deduplicator(spark, str(tmp_path / "home"), "7 days", files_per_batch=1, buckets=1)
+    assert {r["id"]: r["surplus"] for r in d.run(path).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True}
+    # a second object on the same home knows no progress of the first, and needs none
+    again = Deduplicator(spark, str(tmp_path / "home"), "7 days")
+    assert {r["id"] for r in again.run(path, only_surplus=True).collect()} == {4, 5}
+
+
+def test_drops_older_than_the_kept_progress(spark, tmp_path):
+    """Shut-out deliveries count though the query forgets its early batches (here all but the last)."""
+    a = str(uuid.UUID(int=1))
+    path = str(tmp_path / "in")
+    late, now = "2025-01-01 00:00:00", "2025-06-01 00:00:00"
+    data = [(2, a, late, late), (3, str(uuid.UUID(int=2)), now, now), (4, str(uuid.UUID(int=3)), now, now), (1, a, late, late), *((10 + k, str(uuid.UUID(int=10 + k)), now, now) for k in range(3))]
+    for row in data:
+        frame(spark, [row]).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        got = Deduplicator(spark, str(tmp_path / "home"), "1 day", files_per_batch=1, buckets=2).run(path)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert {r["id"]: r["surplus"] for r in got.collect()} == {1: False, 2: True, 3: False, 4: False, 10: False, 11: False, 12: False}
