@@ -1,7 +1,7 @@
-"""Character-level bidirectional LSTM with CRF transitions, in numpy.
+"""Character-level bidirectional LSTM with CRF transitions, in numpy. The gates of input and forgetting are coupled: what comes in
+replaces what is forgotten.
 
-The input projection of a character is a row of a table, so a step costs one small matrix product. Both directions run as
-one batch. ``Tagger`` holds the weights; ``train`` fits them by stochastic gradient descent (Adam) on labelled windows.
+Characters have embeddings; a step is one matrix product over the state before, the embedding and a constant. ``Tagger`` holds the weights; ``train`` fits them by stochastic gradient descent (Adam) on labelled windows.
 """
 
 from __future__ import annotations
@@ -32,18 +32,19 @@ def _char_id(c: str) -> int:
     return got
 
 
-class _Table(dict):
-    def __missing__(self, o: int) -> str:
-        got = self[o] = chr(_char_id(chr(o)))
-        return got
-
-
-_TABLE = _Table()
+_ASCII = bytes(_char_id(chr(o)) for o in range(256))
+_LOW = np.array([_char_id(chr(o)) for o in range(0x3000)], np.uint8)
 
 
 def encode(text: str) -> np.ndarray:
     """One id (below 256) per character; offsets stay those of the text."""
-    return np.frombuffer(text.translate(_TABLE).encode("latin-1"), np.uint8)
+    if text.isascii():
+        return np.frombuffer(text.encode().translate(_ASCII), np.uint8)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _LOW[np.minimum(points, len(_LOW) - 1)]
+    for k in np.flatnonzero(points >= len(_LOW)):
+        out[k] = _char_id(text[k])
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,64 +52,73 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
+    """E: embedding of each character, W: from embedding (and a constant) to the gates, U: from the state before, O and b: to the
+    scores of the tags, T: transitions. W, U and O hold both directions."""
+
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         self.hidden = weights["U"].shape[1]
         self.tags = weights["T"].shape[0]
-        self._ready: list | None = None
+        self._ready: tuple | None = None
 
     @classmethod
-    def new(cls, hidden: int, tags: int, seed: int) -> "Tagger":
+    def new(cls, hidden: int, tags: int, seed: int, width: int = 16) -> "Tagger":
         r = np.random.default_rng(seed)
         f = lambda *s, k=1.0: (r.standard_normal(s) * k).astype(np.float32)
-        x = f(2, VOCAB, 4 * hidden, k=0.3)
-        x[:, :, hidden : 2 * hidden] += 0.5  # forget gates begin open
-        return cls({"X": x, "U": f(2, hidden, 4 * hidden, k=hidden**-0.5), "O": f(2, hidden, tags, k=(2 * hidden) ** -0.5), "b": np.zeros(tags, np.float32), "T": f(tags, tags, k=0.1)})
+        w = f(2, width + 1, 3 * hidden, k=width**-0.5)
+        w[:, -1] = 0
+        w[:, -1, :hidden] = -1.0  # the state begins by lasting
+        return cls({"E": f(VOCAB, width, k=0.5), "W": w, "U": f(2, hidden, 3 * hidden, k=hidden**-0.5), "O": f(2, hidden, tags, k=(2 * hidden) ** -0.5), "b": np.zeros(tags, np.float32), "T": f(tags, tags, k=0.1)})
 
-    def _prepared(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _prepared(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Weights with features first. Sigmoids run as tanh of half the sum, so the halves are taken into the weights; the
         hidden state is kept doubled."""
         if self._ready is None:
             h_ = self.hidden
-            half = np.ones((4 * h_, 1), np.float32)
-            half[: 3 * h_] = 0.5
+            half = np.ones((3 * h_, 1), np.float32)
+            half[: 2 * h_] = 0.5
             w = self.w
-            self._ready = [(np.ascontiguousarray(half * w["X"][d].T), np.ascontiguousarray(0.5 * half * w["U"][d].T), np.ascontiguousarray(0.5 * w["O"][d].T)) for d in (0, 1)]
+            both = [(np.ascontiguousarray(half * np.concatenate([0.5 * w["U"][d].T, w["W"][d].T], 1)), np.ascontiguousarray(0.5 * w["O"][d].T)) for d in (0, 1)]
+            self._ready = (np.ascontiguousarray(w["E"].T), both)
         return self._ready
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """ids (steps, rows), 0 where padded at the end -> scores (steps, tags, rows)."""
         steps, n = ids.shape
         h_ = self.hidden
+        embedding, both = self._prepared()
+        width = len(embedding)
         out = np.empty((steps, self.tags, n), np.float32)
         got = np.empty((self.tags, n), np.float32)
-        z, g = np.empty((4 * h_, n), np.float32), np.empty((4 * h_, n), np.float32)
-        i, f, o, a = (z[k * h_ : (k + 1) * h_] for k in range(4))
+        z = np.empty((3 * h_, n), np.float32)
+        i, o, a = (z[k * h_ : (k + 1) * h_] for k in range(3))
+        ids = ids.astype(np.intp)
+        padded = (ids == 0).any(1)
+        fed = np.ones((h_ + width + 1, n), np.float32)  # the state before, the embedding, a constant
+        h, x = fed[:h_], fed[h_ : h_ + width]
         for d in (0, 1):
-            table, u, weights = self._prepared()[d]
-            h, c = np.zeros((h_, n), np.float32), np.zeros((h_, n), np.float32)
+            gates, weights = both[d]
+            h[:] = 0
+            c = np.zeros((h_, n), np.float32)
             for k in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                np.take(table, ids[k], axis=1, out=g, mode="clip")
-                np.matmul(u, h, out=z)
-                z += g
+                np.take(embedding, ids[k], axis=1, out=x, mode="clip")
+                np.matmul(gates, fed, out=z)
                 np.tanh(z, out=z)
-                f += 1
-                f *= c
+                a -= c
                 i += 1
                 i *= a
-                np.add(f, i, out=c)
-                c *= 0.5
+                i *= 0.5
+                c += i
                 np.tanh(c, out=h)
                 o += 1
                 h *= o
-                if d:  # padding lies before the text when read backwards
-                    pad = ids[k] == 0
-                    if pad.any():
-                        h[:, pad] = 0
-                        c[:, pad] = 0
                 if d == 0:
                     np.matmul(weights, h, out=out[k])
                 else:
+                    if padded[k]:  # padding lies before the text when read backwards
+                        pad = ids[k] == 0
+                        h[:, pad] = 0
+                        c[:, pad] = 0
                     np.matmul(weights, h, out=got)
                     out[k] += got
         out += self.w["b"][:, None]
@@ -117,37 +127,53 @@ class Tagger:
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tag sequence of each row under the transitions. scores: (steps, tags, rows), so rows are contiguous.
 
-        Only the best sums are kept; the way back picks each predecessor anew, for the one tag that was taken.
+        Odd tags begin an item and follow tag 0 only or open the text; even ones go on with their own item, or open a text that
+        begins inside one. So three ways lead on: into 0 from any tag, into a begin from 0, and inside from its own two tags.
         """
         steps, tags, n = scores.shape
-        into = np.ascontiguousarray(self.w["T"].T)[:, :, None]  # to, from
+        t = self.w["T"]
+        stay, out, begin = t[0, 0], t[1:, 0][:, None], t[0, 1::2][:, None]
+        first, on = t[np.arange(1, tags, 2), np.arange(2, tags, 2)][:, None], t[np.arange(2, tags, 2), np.arange(2, tags, 2)][:, None]
         sums = np.empty((steps, tags, n), np.float32)
+        left = np.zeros((steps, n), bool)  # 0 is best reached from an item
+        opened = np.zeros((steps, len(first), n), bool)  # an inside is best reached from its begin
         sums[0] = scores[0]
-        # an inside tag follows its own kind's tags only, so two ways lead to it; to the others lead all
-        inside = np.arange(2, tags, 2)
-        open_ = np.concatenate([[0], np.arange(1, tags, 2)])
-        forced = bool((self.w["T"][:, inside].sum(0) < -1e4 * (tags - 2.5)).all())
-        wide = into[open_] if forced else into
-        via = np.empty((len(wide), tags, n), np.float32)
-        from_begin, from_inside = self.w["T"][inside - 1, inside][:, None], self.w["T"][inside, inside][:, None]
+        ways, going = np.empty((tags - 1, n), np.float32), np.empty((len(first), n), np.float32)
         for k in range(1, steps):
-            before = sums[k - 1]
-            np.add(before[None], wide, out=via)
-            if forced:
-                sums[k, open_] = via.max(1)
-                sums[k, 2::2] = np.maximum(before[1::2] + from_begin, before[2::2] + from_inside)
-            else:
-                np.max(via, axis=1, out=sums[k])
-            sums[k] += scores[k]
+            before, now = sums[k - 1], sums[k]
+            zero = before[0] + stay
+            np.add(before[1:], out, out=ways)
+            best = ways.max(0)
+            np.greater(best, zero, out=left[k])
+            np.maximum(best, zero, out=now[0])
+            np.add(before[0], begin, out=now[1::2])
+            start = before[1::2] + first
+            np.add(before[2::2], on, out=going)
+            np.greater(start, going, out=opened[k])
+            np.maximum(start, going, out=now[2::2])
+            now += scores[k]
         path = np.zeros((n, steps), np.int8)
         rows = np.arange(n)
-        last = sums[lengths - 1, :, rows].argmax(1)
+        ends = (sums[lengths - 1, :, rows] + t[:, 0]).argmax(1)  # behind the text nothing goes on
+        last = np.zeros(n, np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        alive = 0  # rows in falling order of length: those that the way back has reached
         for k in range(steps - 1, -1, -1):
-            within = lengths > k
-            path[within, k] = last[within]
-            if k:
-                earlier = (sums[k - 1] + into[last, :, 0].T).argmax(0)
-                last = np.where(within, earlier, last)
+            while alive < n and lengths[order[alive]] > k:
+                last[order[alive]] = ends[order[alive]]
+                alive += 1
+            path[:, k] = last
+            if not k:
+                break
+            turn = np.flatnonzero(last + left[k])  # whoever is in an item, or enters 0 from one
+            if len(turn):
+                tag = last[turn]
+                back = np.where(tag % 2 == 1, 0, np.where(opened[k, np.maximum(tag // 2 - 1, 0), turn], tag - 1, tag))
+                close = tag == 0
+                if close.any():
+                    back[close] = 1 + (sums[k - 1, 1:, turn[close]] + out.T).argmax(1)
+                last[turn] = back
+        path[np.arange(steps) >= lengths[:, None]] = 0
         return path
 
 
@@ -159,38 +185,44 @@ def _forward_backward(t: Tagger, ids: np.ndarray, gold: np.ndarray) -> tuple[flo
     order = np.stack([np.arange(steps), np.arange(steps - 1, -1, -1)])
     hs = np.zeros((steps + 1, 2, n, h_), np.float32)
     cs = np.zeros_like(hs)
-    gates = np.empty((steps, 2, n, 4 * h_), np.float32)
+    gates = np.empty((steps, 2, n, 3 * h_), np.float32)
+    width = w["E"].shape[1]
+    real = (ids != 0).astype(np.float32)[:, :, None]
+    fed = np.ones((2, steps * n, width + 1), np.float32)  # embeddings in the order of each direction, and a constant
+    for d in (0, 1):
+        fed[d, :, :width] = w["E"][ids[:, order[d]].T.reshape(-1)]
+    came = (fed @ w["W"]).reshape(2, steps, n, 3 * h_)
     for k in range(steps):
         z = hs[k] @ w["U"]
-        z[0] += w["X"][0][ids[:, order[0, k]]]
-        z[1] += w["X"][1][ids[:, order[1, k]]]
-        z[..., : 3 * h_] = _sigmoid(z[..., : 3 * h_])
-        z[..., 3 * h_ :] = np.tanh(z[..., 3 * h_ :])
+        z += came[:, k]
+        z[..., : 2 * h_] = _sigmoid(z[..., : 2 * h_])
+        z[..., 2 * h_ :] = np.tanh(z[..., 2 * h_ :])
         gates[k] = z
-        cs[k + 1] = cs[k] * z[..., h_ : 2 * h_] + z[..., :h_] * z[..., 3 * h_ :]
-        hs[k + 1] = np.tanh(cs[k + 1]) * z[..., 2 * h_ : 3 * h_]
+        cs[k + 1] = cs[k] + z[..., :h_] * (z[..., 2 * h_ :] - cs[k])
+        hs[k + 1] = np.tanh(cs[k + 1]) * z[..., h_ : 2 * h_]
+        # read backwards, the text begins where its padding ends
+        cs[k + 1, 1] *= real[:, steps - 1 - k]
+        hs[k + 1, 1] *= real[:, steps - 1 - k]
     hf, hb = hs[1:, 0], hs[1:, 1][::-1]
     em = hf @ w["O"][0] + hb @ w["O"][1] + w["b"]  # steps, n, tags
-    # CRF: forward and backward sums in log space
+    # CRF: forward and backward sums, each step scaled to add up to 1
     trans = w["T"]
-    lse = lambda x, ax: (m := x.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(x - m).sum(ax))
-    alpha = np.empty_like(em)
-    alpha[0] = em[0]
-    for k in range(1, steps):
-        alpha[k] = lse(alpha[k - 1][:, :, None] + trans, 1) + em[k]
-    z = lse(alpha[-1], 1)
-    beta = np.zeros_like(em)
+    top, most = em.max(2, keepdims=True), trans.max()
+    e, move = np.exp(em - top), np.exp(trans - most)
+    alpha, beta, sums = np.empty_like(em), np.ones_like(em), np.empty((steps, n, 1), em.dtype)
+    for k in range(steps):
+        alpha[k] = e[k] * (alpha[k - 1] @ move if k else 1)
+        sums[k] = alpha[k].sum(1, keepdims=True)
+        alpha[k] /= sums[k]
     for k in range(steps - 2, -1, -1):
-        beta[k] = lse(trans[None] + (em[k + 1] + beta[k + 1])[:, None, :], 2)
+        beta[k] = (e[k + 1] * beta[k + 1] / sums[k + 1]) @ move.T
+    z = np.log(sums).sum((0, 2)) + top.sum((0, 2)) + (steps - 1) * most
     g = gold.T
-    score = em[0][rows, g[0]].astype(np.float64)
-    d_trans = np.zeros_like(trans)
-    for k in range(1, steps):
-        score += em[k][rows, g[k]] + trans[g[k - 1], g[k]]
-        d_trans += np.exp(alpha[k - 1][:, :, None] + trans + (em[k] + beta[k])[:, None, :] - z[:, None, None]).sum(0)
-        np.add.at(d_trans, (g[k - 1], g[k]), -1)
+    score = np.take_along_axis(em, g[:, :, None], 2).sum((0, 2)) + trans[g[:-1], g[1:]].sum(0)
+    d_trans = move * np.tensordot(alpha[:-1], e[1:] * beta[1:] / sums[1:], ((0, 1), (0, 1)))
+    np.subtract.at(d_trans, (g[:-1], g[1:]), 1)
     loss = float((z - score).sum() / (n * steps))
-    d_em = np.exp(alpha + beta - z[None, :, None])
+    d_em = alpha * beta
     d_em[np.arange(steps)[:, None], rows[None], g] -= 1
     scale = 1.0 / (n * steps)
     d_em = (d_em * scale).astype(np.float32)
@@ -202,42 +234,57 @@ def _forward_backward(t: Tagger, ids: np.ndarray, gold: np.ndarray) -> tuple[flo
     ut = w["U"].transpose(0, 2, 1)
     for k in range(steps - 1, -1, -1):
         gk, th = gates[k], np.tanh(cs[k + 1])
-        i, f, o, a = gk[..., :h_], gk[..., h_ : 2 * h_], gk[..., 2 * h_ : 3 * h_], gk[..., 3 * h_ :]
+        i, o, a = gk[..., :h_], gk[..., h_ : 2 * h_], gk[..., 2 * h_ :]
         dh = dh + dh_out[k]
+        dh[1] *= real[:, steps - 1 - k]
         dc = dc + dh * o * (1 - th * th)
+        dc[1] *= real[:, steps - 1 - k]
         q = dz[k]
-        q[..., :h_] = dc * a * i * (1 - i)
-        q[..., h_ : 2 * h_] = dc * cs[k] * f * (1 - f)
-        q[..., 2 * h_ : 3 * h_] = dh * th * o * (1 - o)
-        q[..., 3 * h_ :] = dc * i * (1 - a * a)
+        q[..., :h_] = dc * (a - cs[k]) * i * (1 - i)
+        q[..., h_ : 2 * h_] = dh * th * o * (1 - o)
+        q[..., 2 * h_ :] = dc * i * (1 - a * a)
         dh = q @ ut
-        dc = dc * f
+        dc = dc * (1 - i)
     grads["U"] = np.stack([np.tensordot(hs[:-1, d], dz[:, d], ((0, 1), (0, 1))) for d in (0, 1)])
-    gx = np.zeros_like(w["X"])
+    flat = dz.transpose(1, 0, 2, 3).reshape(2, steps * n, -1)
+    grads["W"] = fed.transpose(0, 2, 1) @ flat
+    ge = np.zeros_like(w["E"])
     for d in (0, 1):
-        flat = ids[:, order[d]].T.reshape(-1)
-        one = np.zeros((flat.size, VOCAB), np.float32)
-        one[np.arange(flat.size), flat] = 1
-        gx[d] = one.T @ dz[:, d].reshape(flat.size, -1)
-    grads["X"] = gx
+        one = np.zeros((steps * n, VOCAB), np.float32)
+        one[np.arange(steps * n), ids[:, order[d]].T.reshape(-1)] = 1
+        ge += one.T @ (flat[d] @ w["W"][d, :width].T)
+    grads["E"] = ge
     return loss, grads
 
 
-def train(windows, hidden: int, tags: int, steps: int, batch: int, seed: int, rate: float = 8e-3, log=None) -> Tagger:
-    """windows(rng, batch) -> (ids, gold), both (batch, length)."""
+def _job(args: tuple) -> tuple[float, dict[str, np.ndarray]]:
+    weights, seed, size = args
+    return _forward_backward(Tagger(weights), *_WINDOWS[0](np.random.default_rng(seed), size))
+
+
+_WINDOWS: list = []
+
+
+def train(windows, hidden: int, tags: int, steps: int, batch: int, seed: int, rate: float = 8e-3, workers: int = 1, log=None) -> Tagger:
+    """windows(rng, rows) -> (ids, gold), both (rows, length). A step adds up the gradients of ``workers`` processes."""
+    from multiprocessing import get_context
+
     t = Tagger.new(hidden, tags, seed)
-    r = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in t.w.items()}
     v = {k: np.zeros_like(x) for k, x in t.w.items()}
-    for k in range(1, steps + 1):
-        loss, grads = _forward_backward(t, *windows(r, batch))
-        norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads.values())))
-        lr = rate * min(1, k / 100) * (0.5 * (1 + np.cos(np.pi * k / steps)) + 0.02)
-        for name, g in grads.items():
-            g = g * min(1, 0.5 / max(norm, 1e-9))
-            m[name] = 0.9 * m[name] + 0.1 * g
-            v[name] = 0.99 * v[name] + 0.01 * g * g
-            t.w[name] = (t.w[name] - lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-7)).astype(np.float32)
-        if log and k % 50 == 0:
-            log(k, loss)
+    _WINDOWS[:] = [windows]
+    with get_context("fork").Pool(workers) as pool:
+        for k in range(1, steps + 1):
+            parts = pool.map(_job, [(t.w, (seed, k, j), batch // workers) for j in range(workers)], 1)
+            loss = sum(p[0] for p in parts) / workers
+            grads = {name: sum(p[1][name] for p in parts) / workers for name in t.w}
+            norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads.values())))
+            lr = rate * min(1, k / 100) * (0.5 * (1 + np.cos(np.pi * k / steps)) + 0.02)
+            for name, g in grads.items():
+                g = g * min(1, 0.5 / max(norm, 1e-9))
+                m[name] = 0.9 * m[name] + 0.1 * g
+                v[name] = 0.99 * v[name] + 0.01 * g * g
+                t.w[name] = (t.w[name] - lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.99**k)) + 1e-7)).astype(np.float32)
+            if log and k % 200 == 0:
+                log(k, loss)
     return t

@@ -24,24 +24,18 @@ from .bilstm_crf import Tagger, encode
 
 MODEL = str(Path(__file__).parent / "models" / "pii_tagger.npz")
 TAGS = ("O", *(f"{p}-{k}" for k in rules.KINDS for p in "BI"))
-WINDOW, STRIDE = 384, 320
+WINDOW, STRIDE = 768, 704
 #: Characters gathered before they are decoded: fewer and fuller blocks.
 FLUSH = 1_500_000
-#: Windows scored at once.
-CHUNK = 512
+#: Windows scored at once, and how many before only those of about one length join them.
+CHUNK, FEW = 512, 96
 SPANS = "array<struct<start_pos:int,end_pos:int,kind:string,matched:string>>"
 
 
 @lru_cache(2)
 def _tagger(path: str) -> Tagger:
     with np.load(path) as f:
-        t = Tagger({k: f[k].astype(np.float32) for k in f.files})
-    # A span may only go on inside its own kind.
-    for i, a in enumerate(TAGS):
-        for j, b in enumerate(TAGS):
-            if b[0] == "I" and a[2:] != b[2:]:
-                t.w["T"][i, j] = -1e4
-    return t
+        return Tagger({k: f[k].astype(np.float32) for k in f.files})
 
 
 def _blocks(lengths: list[int], limit: int = 400_000) -> Iterator[list[int]]:
@@ -50,7 +44,8 @@ def _blocks(lengths: list[int], limit: int = 400_000) -> Iterator[list[int]]:
     a = 0
     while a < len(order):
         b = a + 1
-        while b < len(order) and b - a < CHUNK and (b - a + 1) * lengths[order[b]] <= limit:
+        most = lengths[order[a]] * 5 // 4 + 16  # of about one length
+        while b < len(order) and b - a < CHUNK and (lengths[order[b]] <= most or b - a < FEW) and (b - a + 1) * lengths[order[b]] <= limit:
             b += 1
         yield order[a:b]
         a = b
@@ -63,16 +58,25 @@ def _emit(t: Tagger, ids: list[np.ndarray]) -> np.ndarray:
     return t.emissions(np.ascontiguousarray(block.T))
 
 
-def _paths(t: Tagger, ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Best tags of each text, decoded whole. The scores of a text longer than a window are stitched from its windows."""
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ids)
+def _spans(t: Tagger, ids: list[np.ndarray]) -> list[list[tuple[int, int, str]]]:
+    """Spans of each text, decoded whole. The scores of a text longer than a window are stitched from its windows."""
+    out: list[list[tuple[int, int, str]]] = [[] for _ in ids]
+
+    def put(own: list[int], path: np.ndarray) -> None:
+        row, at = np.nonzero(path)
+        tag = path[row, at].astype(np.int64)
+        kind = (tag - 1) // 2
+        goes_on = np.zeros(len(row), bool)  # an inside tag behind a tag of its kind
+        goes_on[1:] = (tag[1:] % 2 == 0) & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (kind[1:] == kind[:-1])
+        first = np.flatnonzero(~goes_on)
+        last = np.append(first[1:], len(row)) - 1
+        for a, b in zip(first.tolist(), last.tolist()):
+            out[own[row[a]]].append((int(at[a]), int(at[b]) + 1, rules.KINDS[kind[a]]))
+
     short = [k for k, x in enumerate(ids) if len(x) <= WINDOW]
     for part in _blocks([len(ids[k]) for k in short]):
         own = [short[k] for k in part]
-        lengths = np.array([len(ids[k]) for k in own])
-        path = t.decode(_emit(t, [ids[k] for k in own]), lengths)
-        for row, k in enumerate(own):
-            out[k] = path[row, : lengths[row]]
+        put(own, t.decode(_emit(t, [ids[k] for k in own]), np.array([len(ids[k]) for k in own])))
     long = [k for k, x in enumerate(ids) if len(x) > WINDOW]
     half = (WINDOW - STRIDE) // 2
     for part in _blocks([len(ids[k]) for k in long]):
@@ -87,53 +91,51 @@ def _paths(t: Tagger, ids: list[np.ndarray]) -> list[np.ndarray]:
                 lo = half if at else 0
                 hi = size if at + size == lengths[row] else STRIDE + half
                 scores[at + lo : at + hi, :, row] = em[lo:hi, :, col]
-        path = t.decode(scores, lengths)
-        for row, k in enumerate(own):
-            out[k] = path[row, : lengths[row]]
+        put(own, t.decode(scores, lengths))
     return out
 
 
-def _raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
-    spans = []
-    hot = np.flatnonzero(path)
-    k = 0
-    while k < len(hot):
-        a = hot[k]
-        kind = (path[a] - 1) // 2
-        b = a + 1
-        while b < len(path) and path[b] == 2 + 2 * kind:
-            b += 1
-        spans.append((int(a), int(b), rules.KINDS[kind]))
-        while k < len(hot) and hot[k] < b:
-            k += 1
-    return spans
+#: Formats tried on the lines of a proposal: numbers of either sort may be taken for the other.
+_LOOKED_FOR = {"email": ("email",), "address": ("address",), "phone": ("email", "id_number", "phone"), "id_number": ("email", "id_number", "phone")}
 
 
-#: Formats tried around a proposal: numbers of either sort may be taken for the other.
-_LOOKED_FOR = {"email": ("email",), "address": ("address",), "phone": ("email", "id_number", "phone"), "id_number": ("email", "id_number", "phone")}
+#: What a proposal may lack of its item before and behind it, not counting the rest of a word: a label, a part of a name.
+AROUND = 60
+_WORD_END = re.compile(r"\s|$")
+
+
+def _around(text: str, a: int, b: int) -> tuple[int, int]:
+    """The proposal's line, or of a longer one what lies around the proposal, in whole words."""
+    lo, hi = max(a - AROUND, text.rfind("\n", 0, a) + 1), min(b + AROUND, len(text))
+    while lo > 0 and not text[lo - 1].isspace():
+        lo -= 1
+    hi = _WORD_END.search(text, hi).start()
+    stop = text.find("\n", b, hi)
+    return lo, hi if stop < 0 else stop
 
 
 def _confirm(text: str, proposed: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The items whose formats stand where the model points; names by shape."""
+    """The proposed items: widened to the whole item and typed by the format that stands there, else as they are if they have
+    what any item of their kind has; names by shape."""
     if not proposed:
         return []
     out: list[tuple[int, int, str]] = []
-    near: list[tuple[int, int, str]] = []
-    for a, b, kind in proposed:  # formats are looked for around the proposals only
-        if kind == "name":
-            continue
-        lo = max(0, text.rfind("\n", 0, max(0, a - 40)) + 1, a - 60)
-        hi = min(len(text), b + 60)
-        if hi > lo:
-            near += [item for x, y, k in rules.exact(text[lo:hi], _LOOKED_FOR[kind]) if (item := (x + lo, y + lo, k)) not in near]
     taken: set = set()
     for a, b, kind in proposed:
         if kind == "name":
             continue
-        for x, y, real in near:
-            if x < b and y > a and (x, y) not in taken:
-                taken.add((x, y))
-                out.append((x, y, real))
+        lo, hi = _around(text, a, b)
+        met = False
+        for x, y, real in rules.exact(text[lo:hi], _LOOKED_FOR[kind]):
+            x, y = x + lo, y + lo
+            if x < b and y > a:
+                met = True
+                if (x, y) not in taken:
+                    taken.add((x, y))
+                    out.append((x, y, real))
+        if not met and rules.plausible(text[a:b], kind):
+            taken.add((a, b))
+            out.append((a, b, kind))
     for a, b, kind in proposed:
         if kind != "name" and not (kind == "address" and b - a > 5 and not any(c.isdigit() for c in text[a:b])):
             continue  # names and addresses are made of the same words: one without a number is tried as a name
@@ -185,9 +187,8 @@ def find_spans(texts: list[str | None], model: str = MODEL, known: dict | None =
     part: list[str] = []
 
     def flush() -> None:
-        paths = _paths(t, [encode(x) for x in part])
-        for x, p in zip(part, paths):
-            found[x] = _confirm(x, _raw_spans(p))
+        for x, spans in zip(part, _spans(t, [encode(x) for x in part])):
+            found[x] = _confirm(x, spans)
 
     for x in distinct:
         part.append(x)

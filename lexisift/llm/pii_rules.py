@@ -34,7 +34,7 @@ _ID_LABEL = (
     r"|DNI|NIE|NIF|número de pasaporte|pasaporte(?: n[º.o]+)?|número de la seguridad social)"
 )
 ID_NUMBER = re.compile(
-    rf"(?<![\w-])(?:{_ID_LABEL}[:#]? ?(?:[A-Z]?\d[\d .-]{{6,19}}\d(?:-?[A-Z])?|[A-Z0-9]{{8,10}}|[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D])"
+    rf"(?<![\w+-])(?:{_ID_LABEL}[:#]? ?(?:[A-Z]?\d[\d .-]{{6,19}}\d(?:-?[A-Z])?|[A-Z0-9]{{8,10}}|[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D])"
     r"|\d{3}-\d{2}-\d{4}"
     r"|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]"
     r"|\d{8}-?[A-HJ-NP-TV-Z]|\d{2}\.\d{3}\.\d{3}-?[A-HJ-NP-TV-Z]|[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z]"
@@ -59,7 +59,7 @@ ADDRESS = re.compile(
     rf"(?:(?:Flat|Apt|Unit|Suite) \d+[A-Za-z]?, )?\d{{1,4}}[a-z]? (?:{_CAP} ){{1,3}}{_EN_ST}\b\.?(?!\s+cluster)"
     rf"|\d{{1,4}}(?: ?(?:bis|ter|[a-dA-D]))?,? {_FR_ST} (?:de la |de l[’']|du |des |de |d[’']|aux? |à la )?{_CAP}"
     rf"|(?:{_CAP} )?(?:{_CAP}(?:straße|strasse|weg|gasse|platz|allee|ufer|damm|ring|steig|str\.)|{_CAP} (?:Str\.|Straße|Strasse|Weg|Gasse|Platz|Allee)"
-    rf"|(?:Am|An der|Im|Zum|Zur|Auf der|Auf dem|Unter den|In der) (?:[a-zäöü]+ )?{_CAP}) \d{{1,4}} ?[a-z]?(?!\w)"
+    rf"|(?:Am|An der|An den|Im|Zum|Zur|Auf der|Auf dem|Unter den|In der|In den|Hinterm|Hinter der|Hinter dem|Vorm|Vor dem|Vor der|Beim|Bei der|Überm) (?:[a-zäöü]+ )?{_CAP}) \d{{1,4}} ?[a-z]?(?!\w)"
     rf"|{_ES_ST} ?(?:del |de la |de los |de las |de )?{_CAP}(?: {_CAP})*,? ?(?:n[º°o.]+ ?|núm\. ?)?\d{{1,4}}(?!\w|[.]\d)"
     rf")",
     re.I | re.U,
@@ -103,6 +103,27 @@ def name_ok(s: str) -> bool:
     return len(long) >= (1 if title else 2)
 
 
+#: Words that count or measure, beside a number no street.
+NOT_ADDRESS = frozenset("page pages section line lines port version build run batch step room item items file files times attempts seconds minutes hours days percent seite seiten zeile artikel version als nach versuchen dateien treffern millisekunden sekunden minuten stunden tagen einträgen página línea artículo intentos ficheros segundos minutos horas días ligne article fichiers secondes tentatives heures jours".split())
+_SEPARATORS = str.maketrans("", "", " .-/()+\u00a0\u2007\u202f")
+
+
+def plausible(s: str, kind: str) -> bool:
+    """What every item of a kind has, whatever its format."""
+    digits = sum(c.isdigit() for c in s)
+    if kind == "email":
+        return bool(re.search(r"\w\s?(?:@|\W?\b(?:at|arroba|arobase)\b\W?)\s?\w.*(?:\.|\b(?:dot|punto|point|punkt)\b)\W*[^\W\d]{2,}", s, re.I))
+    if kind == "address":  # words and a number, or a number and words
+        words = re.findall(r"[^\W\d_]+", s)
+        if 2 * sum(w[0].isupper() for w in words) <= len(words) and len(words) > 1 or any(w.lower() in NOT_ADDRESS for w in words):
+            return False
+        return bool(re.fullmatch(r"\W*(?:(?:[^\W\d_][\w’'.-]*\s+){1,6}\d{1,4} ?[a-zA-Z]?|\d{1,4} ?[a-zA-Z]?,?(?:\s+[^\W\d_][\w’'.-]*){2,6})\W*", s))
+    bare = s.translate(_SEPARATORS)
+    if kind == "phone":
+        return 9 <= digits <= 15 and bare.isdigit()
+    return 7 <= digits <= 15 and 1 <= len(bare) - digits <= 4 and bare.isalnum() or 10 <= digits <= 15 and bare.isdigit()
+
+
 def exact(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
     """Spans of the formatted kinds that are asked for; earlier kinds win where they overlap."""
     out: list[tuple[int, int, str]] = []

@@ -1,6 +1,7 @@
-"""Fits the tagger of personal data: ``python -m lexisift.llm.pii_train REQUESTS.parquet OUT.npz [STEPS]``.
+"""Fits the tagger of personal data: ``python -m lexisift.llm.pii_train REQUESTS.parquet OUT.npz [STEPS [WIDTH [PROCESSES]]]``.
 
-Labelled spans come from the formats of ``pii_rules`` and, for names, from the words around them; each epoch sees the names
+Half of the windows are made from ``pii_frames``: items and names of many shapes in sentences of four languages, between words
+of the texts. The others are texts labelled by the formats of ``pii_rules`` and, for names, by the words around them, with names
 and digits replaced by others, other letter cases, and cut-outs as they occur in matched spans. The sample of texts is
 bounded by MAX_TEXTS (a documented bound: only training reads a sample; every text is decoded).
 """
@@ -13,6 +14,7 @@ import sys
 
 import numpy as np
 
+from . import pii_frames as frames
 from . import pii_rules as rules
 from .bilstm_crf import encode, train
 
@@ -56,33 +58,6 @@ CUES = [
         r"(?:(?<=[.?!\n] )|^)N aprobó la excepción",
     )
 ]
-GIVEN = """James John Robert Michael David William Mary Linda Susan Sarah Karen Emma Olivia Daniel Thomas George Henry Alice Grace
-Victor Colin Stuart Gordon Hannah Ellen Wendy Fiona Ivy Mei Kwame Zainab Priya Leroy Omar Fatima Chen Ravi Sven Lars Anna Peter
-Wolfgang Jürgen Dieter Matthias Björn Lukas Torsten Sabine Silke Ursula Gudrun Annika Heike Petra Klaus Uwe Günter Hans Ingrid Stefan
-Yves Luc Benoît Thierry Fabrice Gérard Loïc Camille Noémie Inès Maëlle Élodie Solène Amélie Chloé Jean Pierre Marie Sophie Julien
-Emilio Joaquín Sergio Andrés Álvaro Iñigo Begoña Belén Lucía Nuria Rocío Carmen Beatriz Javier Pablo Diego Marta Elena José Luis""".split()
-_A = "Thorn Wend Quill Mar Ash Hol Vel Kes Pen Bram Linden Wolken Stein Ober Krumm Grün Hasel Mont Beau Roch Duch La Fontval Cerra Robl Val Quint Zald Monte Hart West Brook Fair Schwarz Berg Kohl Lang Bel Clair Dur Per San Mor Car Gar".split()
-_Z = "gate drake dale wick ley by stead field combe mere low worth ton man müller hofer bruch acker rath brecht mann bach rieux mont gnon clair nac tier ares ueta illo dero verde anza ez ero ado".split()
-
-
-def random_name(r: random.Random) -> str:
-    given, sur = r.choice(GIVEN), r.choice(_A) + r.choice(_Z)
-    if r.random() < 0.15:
-        sur += "-" + r.choice(_A) + r.choice(_Z)
-    k = r.random()
-    if k < 0.12:
-        return r.choice("Mr Mrs Ms Dr. Herr Frau Monsieur Madame Don Doña Señora Prof.".split()) + " " + sur
-    if k < 0.24:
-        return f"{sur}, {given}"
-    if k < 0.36:
-        return f"{given} {r.choice('ABCDEFGHKLMNPRSTVWXZ')}. {sur}"
-    if k < 0.48:
-        return f"{given} {sur.upper()}"
-    if k < 0.60:
-        return f"{given} {sur}".lower()
-    return f"{given} {sur}"
-
-
 def label(text: str) -> list[tuple[int, int, str]]:
     spans = rules.exact(text)
     for cue in CUES:
@@ -99,7 +74,7 @@ def vary(text: str, spans, r: random.Random) -> tuple[str, list[tuple[int, int,
     for a, b, kind in spans:
         part, piece = text[at:a], text[a:b]
         if kind == "name" and r.random() < 0.6:
-            piece = random_name(r)
+            piece = frames.name(r)
         elif kind in ("phone", "id_number") and r.random() < 0.5:
             piece = re.sub(r"\d", lambda _: r.choice("0123456789"), piece)
         out += [part, piece]
@@ -116,28 +91,58 @@ def windows(texts: list[str]):
     has = [x for x in labelled if x[1]]
     none = [x for x in labelled if not x[1]]
 
+    def made(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
+        """Pieces of frames, alone or between words of a text."""
+        out, spans, at = [], [], 0
+        for _ in range(r.choice((1, 1, 2, 3))):
+            text, own = frames.piece(r)
+            if own and r.random() < 0.3:  # as in a matched span: the item alone, or a few characters around it
+                x, y, kind = own[0]
+                lo, hi = max(0, x - r.choice((0, 0, 0, 6, 12))), min(len(text), y + r.choice((0, 0, 0, 1, 5)))
+                text, own = text[lo:hi], [(x - lo, y - lo, kind)]
+            if r.random() < 0.7:
+                if r.random() < 0.5:
+                    around = frames.words(r)
+                else:
+                    words = r.choice(none)[0].split(" ")
+                    k = r.randrange(len(words))
+                    around = " ".join(words[k : k + r.randrange(1, 8)])
+                text, own = (around + " " + text, [(x + len(around) + 1, y + len(around) + 1, s) for x, y, s in own]) if r.random() < 0.5 else (text + " " + around, own)
+            if out:
+                out.append(r.choice((" ", " ", "\n", ". ")))
+                at += len(out[-1])
+            spans += [(x + at, y + at, s) for x, y, s in own]
+            out.append(text)
+            at += len(text)
+            if r.random() < 0.35:
+                break
+        return "".join(out), spans
+
+    def drawn(r: random.Random) -> tuple[str, list[tuple[int, int, str]], int]:
+        """A text, its spans and where the window begins."""
+        if r.random() < 0.5:
+            text, spans = made(r)
+            return text, spans, r.randrange(max(1, len(text) - WINDOW + 1))
+        text, spans = vary(*r.choice(has if r.random() < 0.65 else none), r)
+        way = r.random()
+        if spans and way < 0.70:
+            a, b, _ = r.choice(spans)
+            if way < 0.30:  # as in a matched span: the item alone, or with little around it
+                lo, hi = max(0, a - r.choice((0, 0, 8, 20))), min(len(text), b + r.choice((0, 0, 0, 6)))
+                return text[lo:hi], [(x - lo, y - lo, s) for x, y, s in spans if lo <= x and y <= hi], 0
+            return text, spans, max(0, a - r.randrange(WINDOW - 8))
+        if way > 0.9:  # a few words of prose
+            lo = r.randrange(max(1, len(text)))
+            hi = lo + r.randrange(5, 60)
+            return text[lo:hi], [(x - lo, y - lo, s) for x, y, s in spans if lo <= x and y <= hi], 0
+        return text, spans, r.randrange(max(1, len(text) - WINDOW + 1))
+
     def make(rng: np.random.Generator, batch: int):
         r = random.Random(int(rng.integers(1 << 60)))
         ids = np.zeros((batch, WINDOW), np.int16)
         gold = np.zeros((batch, WINDOW), np.int64)
         for k in range(batch):
-            text, spans = vary(*r.choice(has if r.random() < 0.72 else none), r)
-            way = r.random()
-            if spans and way < 0.70:
-                a, b, _ = r.choice(spans)
-                if way < 0.30:  # as in a matched span: the item alone, or with little around it
-                    lo, hi = max(0, a - r.choice((0, 0, 8, 20))), min(len(text), b + r.choice((0, 0, 0, 6)))
-                    text, spans = text[lo:hi], [(x - lo, y - lo, s) for x, y, s in spans if lo <= x and y <= hi]
-                    lo = 0
-                else:
-                    lo = max(0, a - r.randrange(WINDOW - 8))
-            elif way > 0.9:  # a few words of prose
-                lo = r.randrange(max(1, len(text)))
-                hi = lo + r.randrange(5, 60)
-                text, spans = text[lo:hi], [(x - lo, y - lo, s) for x, y, s in spans if lo <= x and y <= hi]
-                lo = 0
-            else:
-                lo = r.randrange(max(1, len(text) - WINDOW + 1))
+            text, spans, lo = drawn(r)
             got = encode(text[lo : lo + WINDOW])
             ids[k, : len(got)] = got
             for a, b, kind in spans:
@@ -150,12 +155,12 @@ def windows(texts: list[str]):
     return make
 
 
-def main(source: str, target: str, steps: int = 3000, hidden: int = 32) -> None:
+def main(source: str, target: str, steps: int = 10000, hidden: int = 24, workers: int = 6) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(source, columns=["content"])["content"].to_pylist() if t]
     random.Random(5).shuffle(texts)
-    model = train(windows(texts[:MAX_TEXTS]), hidden, len(TAGS), steps, 96, 17, log=lambda k, x: print(k, round(x, 5), flush=True))
+    model = train(windows(texts[:MAX_TEXTS]), hidden, len(TAGS), steps, 192, 17, workers=workers, log=lambda k, x: print(k, round(x, 5), flush=True))
     np.savez_compressed(target, **{k: v.astype(np.float16) for k, v in model.w.items()})
 
 
