@@ -74,35 +74,54 @@ def _pack(conflicts: list[tuple[str, str]]):
 
 
 def pieces(docs: DataFrame, packs: DataFrame) -> DataFrame:
-    """docs (doc_id, tokens, source, cluster) x packs -> one row per item; only what exceeds a capacity is cut."""
-    p = packs.select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0 and pack_name is not null").distinct()
-    both = docs.filter("tokens > 0").select("doc_id", "tokens", "source", "cluster").join(F.broadcast(p))
+    """One row per item and pack; only what exceeds a capacity is cut. The packs are settings: their rows become an expression."""
+    settings = packs.select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0 and pack_name is not null").distinct().collect()
+    kind = "array<struct<pack_name:string,capacity:int>>"
+    each = F.array(*[F.struct(F.lit(r[0]).alias("pack_name"), F.lit(r[1]).alias("capacity")) for r in sorted(settings)]).cast(kind) if settings else F.array().cast(kind)
+    both = docs.filter("tokens > 0").select("doc_id", "tokens", "source", "cluster", F.explode(each).alias("_p")).select("doc_id", "tokens", "source", "cluster", "_p.*")
     n = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
     cut = both.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     return cut.withColumn("tokens", F.least(F.col("capacity").cast("long"), F.col("tokens") - F.col("piece") * F.col("capacity").cast("long")))
 
 
+def _sharded(items: DataFrame, shard_items: int, salt: int) -> DataFrame:
+    """items with a shard by hash, so many per pack that each has about shard_items."""
+    n = {r["pack_name"]: -(-r["count"] // shard_items) for r in items.groupBy("pack_name").count().collect()}
+    shards = F.lit(1)
+    for name, k in n.items():
+        shards = F.when(F.col("pack_name") == name, k).otherwise(shards)
+    return items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), shards).cast("long"))
+
+
 def pack(docs: DataFrame, packs: DataFrame, conflicts: list[tuple[str, str]] = (), shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(pack_name, bin, doc_id, piece, tokens, source, cluster): bin names the container."""
-    items = pieces(docs, packs)
-    totals = items.groupBy("pack_name").agg(F.ceil(F.count("*") / shard_items).alias("shards"))
-    sharded = items.join(F.broadcast(totals), "pack_name").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")).cast("long"))
+    """(pack_name, capacity, bin, doc_id, piece, tokens, source, cluster): bin names the container."""
     run = _pack(list(conflicts))
-    first = written(sharded.groupBy("pack_name", "shard").applyInPandas(run, PLACED), "pack")
+    columns = [c.split()[0] for c in PLACED.split(", ")]
+    first = written(_sharded(pieces(docs, packs), shard_items, 0).groupBy("pack_name", "shard").applyInPandas(run, PLACED), "pack")
     filled = first.groupBy("pack_name", "shard", "bin").agg(F.sum("tokens").alias("filled"))
     marked = first.join(filled, ["pack_name", "shard", "bin"]).withColumn("open", F.col("filled") < NEARLY * F.col("capacity"))
     # open bins are the few at the end of each shard; should conflicts leave many, their items get as many shards as they need
-    again = marked.filter("open").drop("shard", "bin", "filled", "open")
-    left = again.groupBy("pack_name").agg(F.ceil(F.count("*") / shard_items).alias("shards"))
-    second = again.join(F.broadcast(left), "pack_name").withColumn("shard", (-1 - F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.col("shards"))).cast("long")).groupBy("pack_name", "shard").applyInPandas(run, PLACED)
-    everything = marked.filter("not open").select(*[c.split()[0] for c in PLACED.split(", ")]).unionByName(second)
+    again = _sharded(marked.filter("open").drop("shard", "bin", "filled", "open"), shard_items, 7).withColumn("shard", -1 - F.col("shard"))
+    second = again.groupBy("pack_name", "shard").applyInPandas(run, PLACED)
+    everything = marked.filter("not open").select(*columns).unionByName(second)
     return everything.withColumn("bin", F.concat_ws("-", "shard", "bin")).drop("shard")
 
 
-def report(placed: DataFrame) -> DataFrame:
-    """Per pack: containers, the fewest that could do, share of space used, split texts, containers with copies (none)."""
-    bins = placed.groupBy("pack_name", "capacity", "bin").agg(F.sum("tokens").alias("filled"), F.count("*").alias("items"), F.countDistinct("cluster", "piece").alias("kinds"), F.countDistinct("source").alias("sources"))
-    return bins.groupBy("pack_name", "capacity").agg(
+def _bins(placed: DataFrame, conflicts: list[tuple[str, str]] = ()) -> DataFrame:
+    own = F.collect_set("source")
+    met = F.lit(0)
+    for a, b in conflicts:
+        met = met + F.when(F.array_contains(own, a) & F.array_contains(own, b), 1).otherwise(0)
+    return placed.groupBy("pack_name", "capacity", "bin").agg(
+        F.sum("tokens").alias("filled"), F.count("*").alias("items"), F.countDistinct("cluster", "piece").alias("kinds"), F.countDistinct("source").alias("sources"), met.alias("conflicts")
+    )
+
+
+def report(placed: DataFrame, conflicts: list[tuple[str, str]] = ()) -> DataFrame:
+    """Per pack: containers, the fewest that could do, share of space used, texts that had to be split, containers with two
+    texts of one duplicate class or with sources that conflict (none)."""
+    texts = placed.groupBy("pack_name", "doc_id").agg(F.count("*").alias("n")).groupBy("pack_name").agg(F.count("*").alias("n_docs"), F.sum((F.col("n") > 1).cast("long")).alias("n_split"))
+    bins = _bins(placed, conflicts).groupBy("pack_name", "capacity").agg(
         F.count("*").alias("n_containers"),
         F.ceil(F.sum("filled") / F.first("capacity")).alias("least_containers"),
         F.sum("items").alias("n_items"),
@@ -110,4 +129,18 @@ def report(placed: DataFrame) -> DataFrame:
         F.round(F.sum("filled") / (F.count("*") * F.first("capacity")), 6).alias("used_share"),
         F.max("filled").alias("fullest"),
         F.round(F.avg("sources"), 3).alias("mean_sources"),
+        F.sum((F.col("items") > F.col("kinds")).cast("long")).alias("n_with_copies"),
+        F.sum((F.col("conflicts") > 0).cast("long")).alias("n_with_conflicts"),
     )
+    return bins.join(texts, "pack_name")
+
+
+def checks(placed: DataFrame, docs: DataFrame, conflicts: list[tuple[str, str]] = ()) -> DataFrame:
+    """Per pack the counts of what must not be: containers beyond the capacity, with copies or with sources that conflict, texts
+    split though they fit, texts not whole; and the texts placed."""
+    bins = _bins(placed, conflicts).groupBy("pack_name", "capacity").agg(
+        F.sum((F.col("filled") > F.col("capacity")).cast("long")).alias("n_overfull"), F.sum((F.col("items") > F.col("kinds")).cast("long")).alias("n_with_copies"), F.sum("conflicts").cast("long").alias("n_conflicts")
+    )
+    whole = placed.groupBy("pack_name", "capacity", "doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("n")).join(docs.select("doc_id", F.col("tokens").alias("own")), "doc_id")
+    texts = whole.groupBy("pack_name").agg(F.count("*").alias("n_docs"), F.sum(((F.col("n") > 1) & (F.col("own") <= F.col("capacity"))).cast("long")).alias("n_split_in_vain"), F.sum((F.col("placed") != F.col("own")).cast("long")).alias("n_not_whole"))
+    return bins.join(texts, "pack_name")

@@ -90,10 +90,11 @@ def p6_rates(spark, d):
 
 
 def _sized(spark, d):
-    """Documents with their tokens and the class of equal texts (but for case and white space)."""
-    docs = table(spark, d, "documents").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    """Documents with their tokens and the class of equal texts (but for case and white space). Of an id with several texts
+    the one with the smallest hash counts; texts aren't shuffled."""
     same = F.xxhash64(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
-    return written(docs.select("doc_id", "source", same.alias("cluster"), tokens.count(F.col("text")).alias("tokens")), "sized")
+    slim = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", F.struct(same.alias("cluster"), tokens.count(F.col("text")).alias("tokens"), "source").alias("s"))
+    return written(slim.groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", "s.*"), "sized")
 
 
 def p8_pack(spark, d):
@@ -104,6 +105,16 @@ def p8_report(spark, d):
     return packing.report(packing.pack(_sized(spark, d), table(spark, d, "pack_sizes")))
 
 
+#: Sources whose texts are not to share a container.
+APART = [("model_output", "incident_report"), ("policy_page", "release_notes")]
+
+
+def p8_checks(spark, d):
+    """Packing with sources kept apart: what must not be (all 0), and the texts placed."""
+    docs = _sized(spark, d)
+    return packing.checks(packing.pack(docs, table(spark, d, "pack_sizes"), APART), docs, APART)
+
+
 def p9_mix(spark, d):
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[0]
 
@@ -112,6 +123,18 @@ def p9_shares(spark, d):
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
+def p9_slots(spark, d):
+    """Which block fills each slot of each output shard."""
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[2]
+
+
+def p9_checks(spark, d):
+    """Per target whether its share is met to one percent point and its repeats are within the cap."""
+    shares = mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
+    met = (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01).alias("on_target")
+    return shares.select("mix_name", "source", "target_share", "max_repeats", met, (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p10_found(spark, d):
     stats = quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
     return quality.not_prose(quality.outliers(stats)).select(F.col("key").alias("doc_id")).distinct()
@@ -122,5 +145,15 @@ def p10_statistics(spark, d):
     return quality.outliers(stats).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_reasons, p2_found, p2_redacted, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_redacted, p6_found, p6_errors, p6_rates, p8_pack, p8_report, p8_checks, p9_mix, p9_shares, p9_slots, p9_checks,
+        p10_found, p10_statistics,
+    )
+}
+ORACLE: dict[str, str] = {
+    "p8_checks": """SELECT pack_name, CAST(capacity_tokens AS INTEGER) AS capacity, 0::BIGINT AS n_overfull, 0::BIGINT AS n_with_copies, 0::BIGINT AS n_conflicts, n_docs, 0::BIGINT AS n_split_in_vain, 0::BIGINT AS n_not_whole
+        FROM pack_sizes, (SELECT count(DISTINCT doc_id) AS n_docs FROM documents WHERE length(text) > 0)""",
+    "p9_checks": "SELECT mix_name, source, target_share, max_repeats, TRUE AS on_target, TRUE AS within_repeats FROM mix_targets",
+}
