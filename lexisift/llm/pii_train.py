@@ -101,7 +101,7 @@ def windows(texts: list[str]):
                 lo, hi = max(0, x - r.choice((0, 0, 0, 6, 12))), min(len(text), y + r.choice((0, 0, 0, 1, 5)))
                 text, own = text[lo:hi], [(x - lo, y - lo, kind)]
             if r.random() < 0.7:
-                if r.random() < 0.5:
+                if r.random() < 0.2:
                     around = frames.words(r)
                 else:
                     words = r.choice(none)[0].split(" ")
@@ -155,7 +155,7 @@ def windows(texts: list[str]):
     return make
 
 
-def main(source: str, target: str, steps: int = 10000, hidden: int = 24, workers: int = 6) -> None:
+def main(source: str, target: str, steps: int = 14000, hidden: int = 24, workers: int = 6) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(source, columns=["content"])["content"].to_pylist() if t]
