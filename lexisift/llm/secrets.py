@@ -1,8 +1,9 @@
 """Credentials embedded in source code and configuration: finding them and blanking them out in place.
 
-Literal values, under any name, are weighed by its characters per subword under a public tokenizer: words of a language or of programs
-take few subwords, keys and passwords many. The context decides what is enough: under a name that says secret any literal
-that is no placeholder, reference or plain word; under a name of a connection only an unnatural one; known token formats,
+Literal values, under any name, are weighed by their characters per subword under a public tokenizer: words of a language or of
+programs take few subwords, keys and passwords many, and only values below ``UNNATURAL`` are taken. The context decides what
+else is needed: under a name that says secret, that it is no placeholder, reference or path; under a name of a connection more;
+known token formats,
 URLs with a password and private-key blocks anywhere; under any other name, or none, an unnatural literal in which capitals,
 small letters and digits mix as only chance does it. Digests, ids, certificates and public keys are never taken.
 
@@ -25,10 +26,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters per subword below which a value is unnatural: prose has more than 4, identifiers about 3.
-UNNATURAL = 2.6
-
-#: Texts up to this length may be excerpts, cut inside a literal.
-CUT = 200
+UNNATURAL = 2.7
 
 #: Words that end a name that holds a secret (fixed values).
 SECRET_WORDS = frozenset(
@@ -55,6 +53,8 @@ KNOWN = re.compile(
 )
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@'\"`<>]*:([^\s/@'\"`]+)@[^\s'\"`<>]+", re.I)
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+_BODY = re.compile(r"(?:[\s\"'`+,;\\]*[A-Za-z0-9+/=]{8,})*+")
 _SCHEME = re.compile(r"\b(Bearer|Basic|Token|token)\s+([A-Za-z0-9._~+/=!^*<${}\[-][^\s'\"`;,)]{3,})")
 #: What some rule needs in a line: the head of an issued token, a word of a name, or a phrase. It passes over only lines in which
 #: no rule could fire; words that hold another of them are left out.
@@ -69,7 +69,7 @@ _ASSIGN = re.compile(
 )
 #: A value given with a user: login("svc", "x"), identified by 'x', sign in as `svc` with `x`.
 _GIVEN = re.compile(
-    r"""\b(?:\w*(?:login|connect|auth|credentials?|sign_?in)\w*\(\s*(?:(?P<p>["'`])[\w.@-]*(?P=p))\s*,\s*|identified\s+by\s+|password\s+(?=['"`])|(?:with|using|password|passphrase|token)\s+(?=`))(?P<q>["'`])(?P<v>[^"'`\s]{4,200})(?P=q)""",
+    r"""\b(?:\w*(?:login|connect|auth|credentials?|sign_?in)\w*\(\s*(?:(?P<p>["'`])[\w.@-]*(?P=p))\s*,\s*|identified\s+by\s+|password\s+(?=['"`])|(?:with|using|password|passphrase|token)\s+(?=`))(?P<q>["'`])(?P<v>[^"'`\s]{4,})(?P=q)""",
     re.I,
 )
 #: What may follow a name, in turn: a separator, the second of a pair, words at the end of a line, the value of a flag.
@@ -78,7 +78,7 @@ _PAIR = re.compile(r"""(["'`])\s*,\s*(?=["'`])""")
 _SAID = re.compile(r"\s+(?:is\s+|was\s+|on \w+ is\s+|for \w+ is\s+|equals\s+)?([\"'`]?)([^\s\"'`]{4,})\1[.;,]?\s*(?:\*/|-->)?\s*$")
 _FLAG = re.compile(r"[ =]([\"'`]?)([^\s\"'`]{3,})\1")
 _SET = re.compile(r"[=#]")
-_HERE = re.compile(r"\S*\s*<<-?\s*['\"]?(\w+)['\"]?")
+_HERE = re.compile(r"[^\s<]*\s*<<-?\s*['\"]?(\w+)['\"]?")
 _BARE = re.compile(r"[^\s\"'`]+")
 _TAIL = re.compile(r"\s*(?:$|#|//|\*/|-->)")
 _ENTRY = re.compile(r"""\bvalue["']?\s*[:=]\s*(["']?)([^"'\s,}]{6,})\1""", re.I)
@@ -139,8 +139,8 @@ def name_kind(name: str) -> str:
 
 
 def natural(value: str) -> bool:
-    """A word or words as people or programs write them."""
-    return bool(re.fullmatch(r"[A-Za-z][a-z]*(?:[ _.-][A-Za-z]?[a-z]+)*|[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+(?:_[A-Z]+)*", value)) and chars_per_subword(value) >= UNNATURAL
+    """Words as people or programs write them: few subwords for their length."""
+    return chars_per_subword(value) >= UNNATURAL
 
 
 def dead(value: str) -> bool:
@@ -165,7 +165,7 @@ def live(value: str, kind: str) -> bool:
         return True
     scheme = re.match(r"(Basic|Bearer|Token)\s+(\S+)$", v)
     if scheme:
-        return chars_per_subword(scheme[2]) < UNNATURAL or not natural(scheme[2])
+        return not natural(scheme[2])
     if " " in v or "\t" in v:
         return False
     if kind in ("secret", "licence"):
@@ -208,6 +208,7 @@ class _Scan:
         self.text, self.path = text, (path or "").lower()
         self.hits: dict[int, tuple[int, int]] = {}
         self.bare = (0, 0)
+        self.last_tag = text.rfind("<")
 
     def put(self, a: int, b: int) -> None:
         while a < b and self.text[a] in " \t\r\n":
@@ -218,8 +219,8 @@ class _Scan:
     def run(self) -> list[tuple[int, int]]:
         t = self.text
         for m in _BLOCK.finditer(t):
-            end = re.compile(r"-----END [A-Z0-9 ]*-----").search(t, m.end())
-            stop = end.end() if end else min(len(t), m.end() + 4000)
+            end = _END.search(t, m.end())
+            stop = end.end() if end else _BODY.match(t, m.end()).end()
             self.put(m.start(), stop)
         done = -1
         for m in _GATE.finditer(t):
@@ -272,13 +273,17 @@ class _Scan:
                 self._value(a, b, m, kind, line)
         lower = line.lower()
         for m in _ENTRY.finditer(line) if "value" in lower else ():
-            before = self.text[max(0, a - 160, a + m.start() - 4000) : a + m.start()]
+            at = a + m.start()  # of the same braces, or of this line and the two before it
+            lo = a
+            for _ in range(2):
+                lo = self.text.rfind("\n", 0, max(lo - 1, 0)) + 1
+            before = self.text[max(lo, self.text.rfind("{", lo, at)) : at]
             named = re.findall(r"""(?:name|key|id)["']?\s*[:=]\s*["']?([A-Za-z_][\w.-]*)""", before)
             if named and name_kind(named[-1]) == "secret" and live(m[2], "secret"):
                 self.put(a + m.start(2), a + m.end(2))
         for m in _GIVEN.finditer(line):
             v = m["v"]
-            if live(v, "secret") and (re.search(r"\d|[!~^=+]", v) or chars_per_subword(v) < UNNATURAL):
+            if live(v, "secret"):
                 self.put(a + m.start("v"), a + m.end("v"))
         if "values" in lower and "(" in line:
             self._sql(a, line)
@@ -326,7 +331,7 @@ class _Scan:
             if m[2]:
                 if m[2] == "/>" or t.endswith("</", a, self._back(at, a)):
                     return
-                end = t.find("<", start, start + 6000)
+                end = t.find("<", start) if start <= self.last_tag else -1
                 if end >= 0 and live(t[start:end], kind):
                     self.put(start, start + len(t[start:end].rstrip()))
                 return
@@ -342,7 +347,7 @@ class _Scan:
             odd = re.search(r"\d", v) or re.search(r"[!~^=+_]", v)
             if live(v, "secret") and (flag or (odd and ("_" in name[0] or re.search(r"[a-z][A-Z]", name[0]) or _MARK.match(line)) and (_MARK.match(line)))):
                 self.put(m.start(2), m.start(2) + len(v))
-        m = _HERE.match(t, e, b) if t.find("<<", e, min(b, e + 4000)) >= 0 else None
+        m = _HERE.match(t, e, b)
         if m:  # a here-document
             end = re.compile(rf"^\s*{m[1]}\s*$", re.M).search(t, b)
             if end and live(t[b + 1 : end.start()].strip().split("\n")[0], "secret"):
@@ -353,8 +358,6 @@ class _Scan:
         s = start
         while s < len(t) and t[s] in " \t\r\n([{" and (t[s] != "\n" or not t[start:b].strip(" \t\r([{")):
             s += 1
-            if s - start > 400:
-                return
         if s >= len(t):
             return
         if s > b and not t[start:b].strip() and t[s] not in "\"'`":
@@ -379,7 +382,7 @@ class _Scan:
                 pieces.append((m.end(), close))
                 pos = close + 1
             value = "".join(t[x:y] for x, y in pieces)
-            if len(value) < 6000 and live(value, kind):
+            if live(value, kind):
                 self.put(pieces[0][0], pieces[-1][1])
             return
         block = re.match(r"[|>][+-]?\s*\n", t[s : s + 8])
@@ -397,7 +400,7 @@ class _Scan:
             bare = _BARE.match(t, s, b)
             self.bare = (s, bare.end()) if bare else (s, s)
         end = self.bare[1]
-        if not s < end < s + 6000:
+        if not s < end:
             return
         v = t[s:end].rstrip(";,")
         if (not _TAIL.match(t, end, b) and not re.match(r"^\s*(?:export|ENV|ARG)\b", line)):
@@ -411,8 +414,8 @@ class _Scan:
         t = self.text
         while True:
             end = t.find(q, at)
-            if end < 0 and len(t) <= CUT and "\n" not in t[at:]:
-                return len(t)  # the text is an excerpt that ends inside the literal
+            if end < 0 and t.find("\n", at) < 0:
+                return len(t)  # the text is an excerpt, or damaged, and ends inside the literal
             if end < 0 or (len(q) == 1 and q != "`" and t.find("\n", at, end) >= 0):
                 return -1
             back = 0
