@@ -32,21 +32,25 @@ def _char_id(c: str) -> int:
     return got
 
 
-_ASCII = bytes(_char_id(chr(o)) for o in range(256))
 _LOW = np.array([_char_id(chr(o)) for o in range(0x3000)], np.uint8)
 
 
 def encode(text: str) -> np.ndarray:
     """One id (below 256) per character; offsets stay those of the text."""
-    if text.isascii():
-        return np.frombuffer(text.encode().translate(_ASCII), np.uint8)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _LOW[np.minimum(points, len(_LOW) - 1)]
+    out = np.take(_LOW, points, mode="clip")
     for k in np.flatnonzero(points >= len(_LOW)):
         out[k] = _char_id(text[k])
     return out
 
 
+def encode_all(texts: list[str]) -> list[np.ndarray]:
+    """The ids of many texts, as views of one array."""
+    ends = np.cumsum([len(x) for x in texts]).tolist()
+    whole = encode("".join(texts))
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -60,6 +64,14 @@ class Tagger:
         self.hidden = weights["U"].shape[1]
         self.tags = weights["T"].shape[0]
         self._ready: tuple | None = None
+        self._rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is used again by the next block: fresh memory costs more than the sums that go into it."""
+        size = int(np.prod(shape))
+        if name not in self._rooms or self._rooms[name].size < size:
+            self._rooms[name] = np.empty(size, np.float32)
+        return self._rooms[name][:size].reshape(shape)
 
     @classmethod
     def new(cls, hidden: int, tags: int, seed: int, width: int = 16) -> "Tagger":
@@ -83,12 +95,12 @@ class Tagger:
         return self._ready
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """ids (steps, rows), 0 where padded at the end -> scores (steps, tags, rows)."""
+        """ids (steps, rows), 0 where padded at the end -> scores (steps, tags, rows), until the next call."""
         steps, n = ids.shape
         h_ = self.hidden
         embedding, both = self._prepared()
         width = len(embedding)
-        out = np.empty((steps, self.tags, n), np.float32)
+        out = self._room("scores", steps, self.tags, n)
         got = np.empty((self.tags, n), np.float32)
         z = np.empty((3 * h_, n), np.float32)
         i, o, a = (z[k * h_ : (k + 1) * h_] for k in range(3))
@@ -128,52 +140,59 @@ class Tagger:
         """Best tag sequence of each row under the transitions. scores: (steps, tags, rows), so rows are contiguous.
 
         Odd tags begin an item and follow tag 0 only or open the text; even ones go on with their own item, or open a text that
-        begins inside one. So three ways lead on: into 0 from any tag, into a begin from 0, and inside from its own two tags.
+        begins inside one; an item has two characters at least. So three ways lead on: into 0 from 0 or an inside, into a begin
+        from 0, and inside from its own two tags.
         """
         steps, tags, n = scores.shape
         t = self.w["T"]
-        stay, out, begin = t[0, 0], t[1:, 0][:, None], t[0, 1::2][:, None]
+        stay, out, begin = t[0, 0], t[2::2, 0][:, None], t[0, 1::2][:, None]
         first, on = t[np.arange(1, tags, 2), np.arange(2, tags, 2)][:, None], t[np.arange(2, tags, 2), np.arange(2, tags, 2)][:, None]
-        sums = np.empty((steps, tags, n), np.float32)
+        sums = self._room("sums", steps, tags, n)
         left = np.zeros((steps, n), bool)  # 0 is best reached from an item
         opened = np.zeros((steps, len(first), n), bool)  # an inside is best reached from its begin
         sums[0] = scores[0]
-        ways, going = np.empty((tags - 1, n), np.float32), np.empty((len(first), n), np.float32)
+        start, going, zero = np.empty((len(first), n), np.float32), np.empty((len(first), n), np.float32), np.empty(n, np.float32)
         for k in range(1, steps):
             before, now = sums[k - 1], sums[k]
-            zero = before[0] + stay
-            np.add(before[1:], out, out=ways)
-            best = ways.max(0)
+            np.add(before[2::2], out, out=going)
+            best = going.max(0)
+            np.add(before[0], stay, out=zero)
             np.greater(best, zero, out=left[k])
             np.maximum(best, zero, out=now[0])
             np.add(before[0], begin, out=now[1::2])
-            start = before[1::2] + first
+            np.add(before[1::2], first, out=start)
             np.add(before[2::2], on, out=going)
             np.greater(start, going, out=opened[k])
             np.maximum(start, going, out=now[2::2])
             now += scores[k]
-        path = np.zeros((n, steps), np.int8)
         rows = np.arange(n)
-        ends = (sums[lengths - 1, :, rows] + t[:, 0]).argmax(1)  # behind the text nothing goes on
-        last = np.zeros(n, np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        alive = 0  # rows in falling order of length: those that the way back has reached
+        ends = (sums[lengths - 1, :, rows] + t[:, 0]).T  # behind the text nothing goes on
+        ends[1::2] = -np.inf
+        ends = ends.argmax(0)
+        some = np.flatnonzero((ends > 0) | (left & (np.arange(steps)[:, None] < lengths)).any(0))  # others hold no item
+        size, final = lengths[some], ends[some]
+        last = np.where(size == steps, final, 0)
+        ending: dict[int, list[int]] = {}
+        for j in np.flatnonzero((final > 0) & (size < steps)).tolist():
+            ending.setdefault(int(size[j]) - 1, []).append(j)
+        flags = left[:, some] & (np.arange(steps)[:, None] < size)
+        way = np.zeros((steps, len(some)), np.int8)
         for k in range(steps - 1, -1, -1):
-            while alive < n and lengths[order[alive]] > k:
-                last[order[alive]] = ends[order[alive]]
-                alive += 1
-            path[:, k] = last
+            if k in ending:
+                last[ending[k]] = final[ending[k]]
+            way[k] = last
             if not k:
                 break
-            turn = np.flatnonzero(last + left[k])  # whoever is in an item, or enters 0 from one
+            turn = ((last > 0) | flags[k]).nonzero()[0]  # whoever is in an item, or enters 0 from one
             if len(turn):
-                tag = last[turn]
-                back = np.where(tag % 2 == 1, 0, np.where(opened[k, np.maximum(tag // 2 - 1, 0), turn], tag - 1, tag))
+                tag, row = last[turn], some[turn]
+                back = np.where(tag % 2 == 1, 0, np.where(opened[k, np.maximum(tag // 2 - 1, 0), row], tag - 1, tag))
                 close = tag == 0
                 if close.any():
-                    back[close] = 1 + (sums[k - 1, 1:, turn[close]] + out.T).argmax(1)
+                    back[close] = 2 + 2 * (sums[k - 1, 2::2, row[close]] + out.T).argmax(1)
                 last[turn] = back
-        path[np.arange(steps) >= lengths[:, None]] = 0
+        path = np.zeros((n, steps), np.int8)
+        path[some] = way.T
         return path
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_rules as rules
-from .bilstm_crf import Tagger, encode
+from .bilstm_crf import Tagger, encode_all
 
 MODEL = str(Path(__file__).parent / "models" / "pii_tagger.npz")
 TAGS = ("O", *(f"{p}-{k}" for k in rules.KINDS for p in "BI"))
@@ -187,7 +187,7 @@ def find_spans(texts: list[str | None], model: str = MODEL, known: dict | None =
     part: list[str] = []
 
     def flush() -> None:
-        for x, spans in zip(part, _spans(t, [encode(x) for x in part])):
+        for x, spans in zip(part, _spans(t, encode_all(part))):
             found[x] = _confirm(x, spans)
 
     for x in distinct:

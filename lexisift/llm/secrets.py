@@ -78,7 +78,7 @@ _PAIR = re.compile(r"""(["'`])\s*,\s*(?=["'`])""")
 _SAID = re.compile(r"\s+(?:is\s+|was\s+|on \w+ is\s+|for \w+ is\s+|equals\s+)?([\"'`]?)([^\s\"'`]{4,})\1[.;,]?\s*(?:\*/|-->)?\s*$")
 _FLAG = re.compile(r"[ =]([\"'`]?)([^\s\"'`]{3,})\1")
 _SET = re.compile(r"[=#]")
-_HERE = re.compile(r"[^\s<]*\s*<<-?\s*['\"]?(\w+)['\"]?")
+_HERE = re.compile(r"<<-?\s*['\"]?([A-Za-z_]\w*)['\"]?")
 _BARE = re.compile(r"[^\s\"'`]+")
 _TAIL = re.compile(r"\s*(?:$|#|//|\*/|-->)")
 _ENTRY = re.compile(r"""\bvalue["']?\s*[:=]\s*(["']?)([^"'\s,}]{6,})\1""", re.I)
@@ -231,6 +231,8 @@ class _Scan:
             b = len(t) if b < 0 else b
             done = b
             self._line(a, b)
+        for m in _HERE.finditer(t):
+            self._here_document(m)
         odd = [m.span("v" if m["v"] else "w") for m in _WEIGHED.finditer(t)]
         odd = [x for x in odd if chance(t[x[0] : x[1]])]
         # several in a row are the lines of a blob
@@ -347,11 +349,19 @@ class _Scan:
             odd = re.search(r"\d", v) or re.search(r"[!~^=+_]", v)
             if live(v, "secret") and (flag or (odd and ("_" in name[0] or re.search(r"[a-z][A-Z]", name[0]) or _MARK.match(line)) and (_MARK.match(line)))):
                 self.put(m.start(2), m.start(2) + len(v))
-        m = _HERE.match(t, e, b)
-        if m:  # a here-document
-            end = re.compile(rf"^\s*{m[1]}\s*$", re.M).search(t, b)
-            if end and live(t[b + 1 : end.start()].strip().split("\n")[0], "secret"):
-                self.put(b + 1, end.start())
+
+    def _here_document(self, m: re.Match) -> None:
+        """A here-document behind a token with a name that says secret."""
+        t = self.text
+        stop = self._back(m.start(), 0)
+        begin = stop
+        while begin > 0 and not t[begin - 1].isspace() and t[begin - 1] != "<":
+            begin -= 1
+        if any(name_kind(x[0]) in ("secret", "licence") for x in _NAME.finditer(t, begin, stop)):
+            line = t.find("\n", m.end())
+            end = re.compile(rf"^\s*{m[1]}\s*$", re.M).search(t, line) if line >= 0 else None
+            if end and live(t[line + 1 : end.start()].strip().split("\n")[0], "secret"):
+                self.put(line + 1, end.start())
 
     def _literal(self, start: int, b: int, kind: str, line: str) -> None:
         t = self.text
