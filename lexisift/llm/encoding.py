@@ -1,9 +1,10 @@
 """Text decoded with the wrong character encoding: finding it and restoring it.
 
 The garbled forms of letters under every pair of (true, wrong) encodings are computed once per worker and matched with an
-Aho-Corasick automaton. A word with a match is decoded back under the pairs; a decoding is taken only where the garbled word
-can't be text of one language and the result can. Only such words are replaced. U+FFFD and C1 control characters mark text
-that is garbled but may be lost.
+Aho-Corasick automaton. The matched spans are the candidates: a word without one is never looked at, whatever its letters. A
+pair of encodings is told by a whole word, so a span is widened to its word, and decoded back under the pairs; that is taken only
+where the word can't be text of one language and the result can (``cost``), as many garbled forms occur in sound text too. All
+else stays as it is. U+FFFD and C1 control characters mark text that is garbled but may be lost.
 
 Nulls, empty and blank texts give no spans; texts are read whole; the restored text of a clean text is the text itself.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -225,12 +227,18 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile("�|[\x80-\x84\x86-\x9f]|锟斤拷|ï¿½")
 
 
+#: What is left of text that can't be restored: the replacement character, and what became of it in turn.
+REPLACED = ("\ufffd", "锟斤拷", "ï¿½")
+
+
 @lru_cache(1)
 def automaton():
-    """Garbled forms of one letter in UTF-8, and of two neighbouring letters in the single-byte encodings."""
+    """Garbled sequences with their lengths: of one letter in UTF-8, of two neighbouring letters in the single-byte encodings, of
+    a letter beside another under the double-byte ones, control characters that no text has, and what replaces lost bytes."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
+    put = lambda g: a.add_word(g, len(g))
     letters = {chr(o) for o in (*range(0xA0, 0x180), 0x192, *range(0x370, 0x3FF), *range(0x400, 0x460), *range(0x2010, 0x2027), *range(0x2030, 0x203B), 0x20AC, 0x2122, 0x2190, 0x2192, *range(0x3001, 0x3100))}
     letters |= {bytes([x, y]).decode("gb2312", "ignore") for x in range(0xB0, 0xD8) for y in range(0xA1, 0xFF)} - {""}
     letters |= {bytes([x, y]).decode("euc_jp", "ignore") for x in range(0xB0, 0xD0) for y in range(0xA1, 0xFF)} - {""}
@@ -240,7 +248,7 @@ def automaton():
         for wrong in WRONG:
             g = "".join(back[wrong].get(b, "\0") for b in raw)
             if g != c:
-                a.add_word(g, 1)
+                put(g)
     near = "aeionrstlukzdwmcpvyhgb"
     words: set[str] = set()
     for alphabet in ("cs", "pl", "de", "fr", "es", "pt", "hu", "tr", "sv"):
@@ -256,94 +264,150 @@ def automaton():
             for wrong in WRONG:
                 g = "".join(back[wrong].get(b, "\0") for b in raw)
                 if g != w and g not in a and cost(g):
-                    a.add_word(g, 2)
+                    put(g)
+    # between encodings of one family letters turn into letters of others: what no language has side by side is told by the words
+    for true, wrong in SWAPPED:
+        for c in _letters_of(true):
+            g = _swapped(c, true, wrong)
+            if g and g != c and g not in a:
+                put(g)
+    for o in (*range(0x80, 0x85), *range(0x86, 0xA0)):
+        put(chr(o))
+    for x in REPLACED:
+        put(x)
     a.make_automaton()
     return a
 
 
+#: Encodings that differ in some letters only, as (true, wrong).
+SWAPPED = (("cp1250", "cp1252"), ("iso8859-2", "latin-1"), ("cp1252", "cp1250"), ("latin-1", "iso8859-2"), ("cp1254", "cp1252"), ("cp1252", "cp1254"), ("iso8859-7", "latin-1"), ("latin-1", "iso8859-7"), ("cp1252", "cp1253"), ("cp1252", "cp437"), ("latin-1", "cp437"))
+
+
+def _letters_of(codec: str) -> set[str]:
+    out = set()
+    for b in range(0xA0, 0x100):
+        try:
+            c = bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            continue
+        if c.isalpha():
+            out.add(c)
+    return out
+
+
+def _swapped(c: str, true: str, wrong: str) -> str | None:
+    try:
+        g = c.encode(true).decode(wrong)
+    except UnicodeError:
+        return None
+    return g if g.isalpha() and g not in "ßªº" else None
+
+
+def matched_spans(line: str) -> list[tuple[int, int]]:
+    """Where garbled sequences lie, and runs of wide characters (UTF-8 read two bytes at a time), in order, without overlaps."""
+    found = [(end + 1 - n, end + 1) for end, n in automaton().iter(line)]
+    found += [m.span() for m in _WIDE.finditer(line)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def candidates(line: str) -> list[tuple[int, int]]:
+    """The words in which garbled sequences lie: a pair of encodings is told by a whole word. What touches no sequence is none."""
+    spans = matched_spans(line)
+    if not spans:
+        return []
+    out, k = [], 0
+    for m in _WORD.finditer(line):
+        a, b = m.span()
+        while k < len(spans) and spans[k][1] <= a:
+            k += 1
+        if k < len(spans) and spans[k][0] < b:
+            out.append((a, b))
+    return out
+
+
 def restore(text: str | None) -> tuple[int, int, str | None]:
     """Garbled words, those of them that stay garbled, and the text with the others restored."""
     if not text or text.isascii():
         return 0, 0, text
     found = lost = 0
+    hit = [(a, b, words) for a, b in _odd_lines(text) if (words := candidates(text[a:b]))]
+    if not hit:
+        return 0, 0, text
+    votes = _votes([w for w in dict.fromkeys(text[a + x : a + y] for a, _, words in hit for x, y in words) if "\ufffd" not in w and cost(w)])
     out: list[str] = []
     at = 0
-    a = automaton()
-    votes: dict | None = None
-    end = -1
-    while end < len(text):
-        start, end = end + 1, text.find("\n", end + 1)
-        end = len(text) if end < 0 else end
-        line = text[start:end]
-        if line.isascii():
-            continue
-        suspect = _LOST.search(line) or next(a.iter(line), None) is not None or _WIDE.search(line)
-        if not suspect:
-            suspect = any(cost(w[0]) for w in _WORD.finditer(line)) or cost(line)
-        if not suspect:
-            continue
-        if votes is None:
-            votes = _votes([w for w in dict.fromkeys(_WORD.findall(text)) if "\ufffd" not in w and cost(w)])
-        new, n, gone = _line(line, votes)
+    for a, b, words in hit:
+        new, n, gone = _line(text[a:b], words, votes)
         if n:
-            out += [text[at:start], new]
-            at = end
+            out += [text[at:a], new]
+            at = b
             found += n
             lost += gone
     out.append(text[at:])
     return found, lost, "".join(out)
 
 
-def _line(line: str, votes: dict) -> tuple[str, int, int]:
-    found = lost = 0
-
-    def one(m: re.Match) -> str:
-        nonlocal found, lost
-        w = m[0]
-        if "�" in w:
-            found += 1
-            lost += 1
-            return w
-        if not cost(w):
-            run = _WIDE.search(w)
-            got = _from_wide(w) if run else None
-            if got is not None:
-                found += 1
-                return got
-            return w
-        got, now = w, w
-        for _ in range(4):  # text can be garbled several times over
-            got = _decoded(now, votes)
-            if got is None:
-                break
-            now = got
-            if not cost(now):
-                break
-        if now != w and (cost(now) < cost(w) or (len(now) < len(w) and cost(now) <= cost(w))) and _strong(w, now):
-            found += 1
-            lost += cost(now) > 0
-            return now
-        if _LOST.search(w):
-            found += 1
-            lost += 1
-        return w
-
-    new = _WORD.sub(one, line)
-    if not found and cost(line):  # words that are proper alone but not beside each other
-        words = [m for m in _WORD.finditer(line)]
-        latin = {c for m in words for c in m[0] if _kind(c) == "l"}
-        if len(words) > 1 and not any(latin <= x for x in _LATIN) and all(cost(m[0]) == 0 for m in words):
-            for wrong, true in (("cp1252", "cp1250"), ("latin-1", "iso8859-2"), ("cp1250", "cp1252"), ("iso8859-2", "latin-1"), ("cp1252", "cp1254"), ("cp1254", "cp1252")):
-                raw = _bytes(line, wrong)
-                if raw is None:
-                    continue
-                try:
-                    got = raw.decode(true)
-                except UnicodeDecodeError:
-                    continue
-                if got != line and cost(got) == 0:
-                    return got, len(words), 0
-    return new, found, lost
+def _odd_lines(text: str) -> Iterator[tuple[int, int]]:
+    """The lines with a character beyond ASCII."""
+    m = _NON_ASCII.search(text)
+    while m:
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+        b = len(text) if b < 0 else b
+        yield a, b
+        m = _NON_ASCII.search(text, b)
+
+
+def _word(w: str, votes: dict) -> tuple[str, int, int]:
+    """(what to write, garbled, lost) of a candidate: decoded back if it can't be text and the result can."""
+    if "\ufffd" in w:
+        return w, 1, 1
+    if not cost(w):
+        got = _from_wide(w) if _WIDE.search(w) else None
+        return (w, 0, 0) if got is None else (got, 1, 0)
+    now, seen = w, {w}
+    while cost(now):  # text can be garbled several times over
+        got = _decoded(now, votes)
+        if got is None or got in seen:
+            break
+        seen.add(got)
+        now = got
+    if now != w and (cost(now) < cost(w) or (len(now) < len(w) and cost(now) <= cost(w))) and _strong(w, now):
+        return now, 1, int(cost(now) > 0)
+    return (w, 1, 1) if _LOST.search(w) else (w, 0, 0)
+
+
+def _line(line: str, words: list[tuple[int, int]], votes: dict) -> tuple[str, int, int]:
+    """The line with its candidates decoded; all else is left as it is."""
+    found = lost = at = 0
+    out: list[str] = []
+    for a, b in words:
+        new, n, gone = _word(line[a:b], votes)
+        found += n
+        lost += gone
+        if new != line[a:b]:
+            out += [line[at:a], new]
+            at = b
+    if found or len(words) < 2 or not cost(line):
+        return "".join(out) + line[at:], found, lost
+    # candidates that are proper alone but not beside each other
+    parts = [line[a:b] for a, b in words]
+    latin = {c for w in parts for c in w if _kind(c) == "l"}
+    if not any(latin <= x for x in _LATIN) and not any(map(cost, parts)):
+        for true, wrong in SWAPPED:
+            raw = _bytes(line, wrong)
+            try:
+                got = raw.decode(true) if raw else line
+            except UnicodeDecodeError:
+                continue
+            if got != line and cost(got) == 0:
+                return got, len(words), 0
+    return line, 0, 0
 
 
 def _strong(word: str, got: str) -> bool:

@@ -49,3 +49,16 @@ def test_long_lines_take_linear_time():
     for text in ("x" * 300_000 + "\nGrÃ¶ÃŸe", "é" + "x" * 300_000 + " ÃŸ", "a1" * 200_000 + " é\r\nok"):
         en.restore(text)
     assert time.time() - began < 10
+
+
+def test_only_matched_words_change(monkeypatch):
+    """Without the automaton's matches nothing is found, and a word that none touches stays, however odd its letters are."""
+    import ahocorasick
+
+    text = "# GrÃ¶ÃŸe, Stra�e, Возвращает ò÷ý"
+    assert en.restore(text)[0] > 0
+    none = ahocorasick.Automaton()
+    none.add_word("\x00never\x00", 1)
+    none.make_automaton()
+    monkeypatch.setattr(en, "automaton", lambda: none)
+    assert en.restore(text) == (0, 0, text)

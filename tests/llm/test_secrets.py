@@ -91,3 +91,24 @@ def test_literals_are_weighed_under_any_name():
         assert [text[a:b] for a, b in sec.find(text, path)] == [v], text
     for path, text in (("a.py", f'checksum = "{v}"'), ("a.py", f'request_id = "{v}"'), ("a.py", 'x = "getHTTP2ResponseCodeForUser"'), ("a.py", 'x = "ABCDEFGHabcdefgh01234567"'), ("a.py", 'x = "2024-01-05T10:00:00Z-Release2"'), ("a.js", f'x = "sha256-{v}"')):
         assert sec.find(text, path) == [], text
+
+
+def test_the_subword_score_decides(monkeypatch):
+    """With a score of words for every value only issued formats and key blocks stay; with one of chance, words are taken too."""
+    text = 'password = "k9Xw2pLq8Zt"\npasswd = "correcthorse"\ntoken = "ghp_0123456789abcdefghijklmnopqrstuvwxyzAB"\n'
+    assert [text[a:b] for a, b in sec.find(text, "a.py")] == ["k9Xw2pLq8Zt", "ghp_0123456789abcdefghijklmnopqrstuvwxyzAB"]
+    monkeypatch.setattr(sec, "chars_per_subword", lambda v, t="": 5.0)
+    assert [text[a:b] for a, b in sec.find(text, "a.py")] == ["ghp_0123456789abcdefghijklmnopqrstuvwxyzAB"]
+    monkeypatch.setattr(sec, "chars_per_subword", lambda v, t="": 1.0)
+    assert len(sec.find(text, "a.py")) == 3
+
+
+def test_no_caps_on_length_and_distance():
+    body = "\n".join("A1b2C3d4" * 8 for _ in range(120))
+    for text in (
+        f'key = """-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"""\n',
+        "x = 1\n" * 3000 + 'db_password = "k9Xw2pLq8Zt"\n',
+        'password = ' + "(" * 500 + '"k9Xw2pLq8Zt"' + ")" * 500,
+        "# " + "word " * 80 + ' password = "k9Xw2pLq8Zt',
+    ):
+        assert sec.find(text, "a.py"), text[:60]
