@@ -1,8 +1,10 @@
 """Re-Pair grammars of token sequences, for many files at once.
 
 Each round counts the neighbouring pairs of every file and replaces those that occur at least twice and more often than the
-pairs they overlap (of equal pairs the smaller, of equal occurrences the left one), so rounds are few and every replacement
-is one that Re-Pair could make. Symbols carry a hash of what they expand to, so equal rules of different files meet.
+pairs they overlap (of pairs as frequent the one with the greater hash, of equal occurrences the left one), so rounds are few
+and every replacement is one that Re-Pair could make. Hashes come from the tokens alone: a file's grammar is the same whatever
+files are with it. A rule's hash is that of the tokens it expands to, so equal rules of different files meet, however they came
+about.
 """
 
 from __future__ import annotations
@@ -20,6 +22,14 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x * _M
 
 
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(most: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(most, _BASE)]), dtype=np.uint64)
+
+
 class Grammars:
     """sizes: tokens of each file; left: symbols of each start rule; rule_*: the rules, with file, hash, length, uses."""
 
@@ -32,16 +42,25 @@ class Grammars:
         lengths = np.ones(len(hashes), np.int64)
         rules_file: list[np.ndarray] = []
         rules_symbol: list[np.ndarray] = []
-        for _ in range(40):
-            if len(symbols) < 2:
-                break
+        n = len(sequences)
+        # the whole file as one hash, of its tokens in their places
+        self.root = np.zeros(n, np.uint64)
+        place = np.arange(len(symbols)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        with np.errstate(over="ignore"):
+            np.add.at(self.root, files, _mix(hashes[symbols], place.astype(np.uint64)))
+        self.root = self.root.astype(np.int64)
+        powers = _powers(int(self.sizes.max(initial=1)))
+        while len(symbols) > 1:
             inside = files[1:] == files[:-1]
-            key = np.where(inside, (files[:-1] << 42) ^ (symbols[:-1] << 21) ^ symbols[1:], -1)
-            uniq, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+            pair = _mix(hashes[symbols[:-1]], hashes[symbols[1:]])
+            key = np.where(inside, _mix(pair, files[:-1].astype(np.uint64)), np.uint64(0))
+            uniq, first_at, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             count = np.where(inside, counts[inverse], 0)
             # a run a a a counts its overlaps; they cannot all be replaced
             count = np.where((count == 2) & (symbols[:-1] == symbols[1:]) & self._overlap(symbols, inside), 1, count)
-            rank = count * (len(uniq) + 1) + (len(uniq) - inverse)
+            tie = np.empty(len(uniq), np.int64)
+            tie[np.argsort(pair[first_at], kind="stable")] = np.arange(len(uniq))
+            rank = count * (len(uniq) + 1) + tie[inverse]
             before = np.concatenate([[0], rank[:-1]])
             after = np.concatenate([rank[1:], [0]])
             win = (count >= 2) & (rank >= before) & (rank >= after)
@@ -61,7 +80,8 @@ class Grammars:
             pairs, first, which = np.unique(which, return_index=True, return_inverse=True)
             new = len(hashes) + np.arange(len(pairs))
             a, b = symbols[at[first]], symbols[at[first] + 1]
-            hashes = np.concatenate([hashes, _mix(hashes[a], hashes[b])])
+            with np.errstate(over="ignore"):
+                hashes = np.concatenate([hashes, hashes[a] * powers[lengths[b]] + hashes[b]])
             lengths = np.concatenate([lengths, lengths[a] + lengths[b]])
             rules_file.append(files[at[first]])
             rules_symbol.append(np.stack([new, a, b], 1))
@@ -69,7 +89,6 @@ class Grammars:
             gone = np.zeros(len(symbols), bool)
             gone[at + 1] = True
             symbols, files = symbols[~gone], files[~gone]
-        n = len(sequences)
         self.left = np.bincount(files, minlength=n)
         rs = np.concatenate(rules_symbol) if rules_symbol else np.empty((0, 3), np.int64)
         self.rule_file = np.concatenate(rules_file) if rules_file else np.empty(0, np.int64)
@@ -82,14 +101,6 @@ class Grammars:
         top = np.bincount(symbols, minlength=total)
         self.rule_top = top[rs[:, 0]] if len(rs) else np.empty(0, np.int64)
         self.rules = np.bincount(self.rule_file, minlength=n)
-        # the whole file as one hash
-        self.root = np.zeros(n, np.uint64)
-        starts = np.concatenate([[0], np.cumsum(self.left)])
-        with np.errstate(over="ignore"):
-            place = np.arange(len(symbols)) - np.repeat(starts[:-1], self.left)
-            weighed = _mix(hashes[symbols], place.astype(np.uint64)) if len(symbols) else np.empty(0, np.uint64)
-            np.add.at(self.root, files, weighed)
-        self.root = self.root.astype(np.int64)
         # tokens covered by rules that occur in the start rule
         self.covered = np.bincount(files, weights=np.where(lengths[symbols] > 1, lengths[symbols], 0), minlength=n).astype(np.int64)
         self.long_covered = np.bincount(files, weights=np.where(lengths[symbols] >= 16, lengths[symbols], 0), minlength=n).astype(np.int64)

@@ -4,8 +4,9 @@ Every file's token sequence gets a Re-Pair grammar. Names count without their nu
 repeating parts of generated code become few rules with long expansions; a hand-written file reuses short rules at most.
 Literals that stay incompressible mark blobs. Whole files, and runs of phrases, that occur in several repositories mark copies:
 phrases end where the tokens themselves say so, hence also a file that repeats nothing inside, or was edited here and there,
-shares them. A comment at the head, such as a licence, is not part of them. What the grammar says is weighed with what the path and the first comment say: a marker counts only as a comment at the head of the
-file, a folder only as a whole name, and the owner's own notices not at all.
+shares them. A comment at the head, such as a licence, is not part of them. What the grammar says is weighed with what the path
+and the comment at the head, of any length, say: a marker counts only there, a folder only as a whole name, and the owner's own
+notices not at all.
 
 Null or empty content is no case (unless the path names a lock file), and binary files have empty content. Equal file_ids are
 taken together. Long files are read whole.
@@ -61,6 +62,7 @@ SHARED_LENGTH = 24
 #: A phrase begins at a token that marks the smallest hash of GRAM tokens within REACH on both sides; RUN phrases in a row are
 #: looked for together (about 85 tokens), as shorter runs are the common stock of hand-written code.
 GRAM, REACH, RUN = 4, 8, 5
+_START = re.compile(r"\A(?:﻿|#![^\n]*\n|\s|\"\"\")+")
 _HEAD = re.compile(r"\A(?:\s|#(?!\[|include|define|if|pragma|import)[^\n]*|//[^\n]*|/\*.*?\*/|<!--.*?-->|--[^\n]*)+", re.S)
 
 
@@ -85,9 +87,10 @@ def _surface(text: str, toks: list[str]) -> tuple:
     size = sum(map(len, literals))
     lines = [x for x in text.split("\n") if x.strip()]
     names = [t for t in toks if t[0].isalpha() or t[0] == "_"]
-    head = text.split("\n", 25)[:25]
-    marked = any(_MARKER.match(x) and _COMMENT.match(x) for x in head) or any(_MARKER.match(x) for x in head[:2] if _COMMENT.match(x) or x.startswith('"""'))
-    start = re.sub(r"\A(?:﻿|#![^\n]*\n|\s|\"\"\")+", "", text[:2000])
+    head = _HEAD.match(text)
+    head = (head[0] if head else "").split("\n")
+    marked = any(_MARKER.match(x) and (_COMMENT.match(x) or k) for k, x in enumerate(head)) or bool(text.startswith('"""') and _MARKER.match(text.split("\n", 1)[0]))
+    start = _START.sub("", text, 1)
     m = _NOTICE.match(start)
     return (
         len(noise) / max(1, len(text)) if noise else 0.0,
@@ -224,13 +227,17 @@ def verdict(path: Column) -> Column:
     repeats = (c("grammar_ratio") < 0.34) & (c("long_share") > 0.6) & (c("longest_rule") >= 32) & (c("max_uses") <= 12)
     blob = code & (((c("literal_share") > 0.5) & (c("literal_noise") > 0.6)) | ((c("number_share") > 0.4) & (c("n_tokens") > 24)))
     dense = code & (c("space_share") < 0.12) & (c("n_tokens") > 40) & (((c("chars_per_line") > 160) & (c("short_name_share") > 0.35)) | (c("longest_line") > 400) & (c("short_name_share") > 0.5))
+    copied = code & ((c("copies") >= 1) | (c("shared_share") > 0.5))
+    # what the tokens tell comes first; path and comment settle what they leave open
     return (
         F.when(path.rlike(LOCK_FILES), "lock file")
-        .when(minified_path | dense, "minified")
+        .when(code & repeats, "generated")
         .when(blob, "data")
-        .when(c("marker") | (code & repeats) | (generated_path & ((c("grammar_ratio") < 0.6) | (c("n_tokens") < 160))), "generated")
+        .when(dense, "minified")
+        .when(copied, "copied")
+        .when(minified_path, "minified")
+        .when(c("marker") | (generated_path & ((c("grammar_ratio") < 0.6) | (c("n_tokens") < 160))), "generated")
         .when(vendor_dir | c("notice"), "vendored")
-        .when(code & ((c("copies") >= 1) | (c("shared_share") > 0.5)), "copied")
     )
 
 

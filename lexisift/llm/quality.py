@@ -32,8 +32,6 @@ STATS = {
 }
 #: 0.999 quantile of chi-square with as many degrees of freedom as statistics (11), and its median.
 CUTOFF, MEDIAN = 31.264, 10.341
-#: A text more than half of which lies in sentences is prose whatever its distance.
-MOSTLY = 0.5
 #: Common words per table beyond which they aren't sent to every executor as an expression.
 MAX_COMMON_WORDS = 10_000
 
@@ -187,5 +185,5 @@ def outliers(stats: DataFrame, steps: int = 2) -> DataFrame:
 
 
 def not_prose(scored: DataFrame) -> DataFrame:
-    """Documents far from their language's prose of which most lies outside sentences."""
-    return scored.filter((F.col("d2") > CUTOFF) & (F.col("prose_share") < MOSTLY))
+    """Documents far from their language's prose."""
+    return scored.filter(F.col("d2") > CUTOFF)

@@ -85,3 +85,47 @@ def test_copies_that_repeat_nothing_inside(spark):
 
 def test_empty(spark):
     assert reasons(spark, []) == {}
+
+
+def test_grammars_do_not_depend_on_the_batch():
+    import random
+
+    import numpy as np
+
+    from lexisift.llm.grammar import Grammars
+
+    r = random.Random(4)
+    words = [r.getrandbits(63) for _ in range(30)]
+    files = []
+    for _ in range(24):
+        unit = [r.randrange(30) for _ in range(r.randrange(2, 9))]
+        files.append(np.array((unit * r.randrange(1, 9) + [r.randrange(30) for _ in range(r.randrange(20))]) * r.randrange(1, 3), np.int64))
+
+    def described(batch):
+        """Per file its root, the size of its start rule and its rules; ids are handed out anew."""
+        ids = {}
+        seqs = [np.array([ids.setdefault(int(t), len(ids)) for t in files[k]], np.int64) for k in batch]
+        g = Grammars(seqs, np.array([words[t] for t in ids], np.uint64))
+        own = lambda j: sorted(zip(g.rule_hash[g.rule_file == j].tolist(), g.rule_length[g.rule_file == j].tolist(), g.rule_uses[g.rule_file == j].tolist()))
+        return {k: (int(g.root[j]), int(g.left[j]), own(j)) for j, k in enumerate(batch)}
+
+    alone = described(range(len(files)))
+    for _ in range(6):
+        order = list(range(len(files)))
+        r.shuffle(order)
+        for part in (order[:7], order[7:9], order[9:]):
+            assert all(v == alone[k] for k, v in described(part).items())
+
+
+def test_equal_expansions_have_equal_hashes():
+    import numpy as np
+
+    from lexisift.llm.grammar import Grammars
+
+    words = np.random.default_rng(1).integers(1, 2**62, 8).astype(np.uint64)
+    # the same phrase inside two files that pair it otherwise
+    a = np.array([0, 1, 2, 3] * 6 + [2, 3] * 9, np.int64)
+    b = np.array([0, 1, 2, 3] * 6 + [1, 2] * 9 + [4], np.int64)
+    g = Grammars([a, b], words)
+    of = [{(h, n) for h, n, f in zip(g.rule_hash, g.rule_length, g.rule_file) if f == k and n == 4} for k in (0, 1)]
+    assert of[0] & of[1]

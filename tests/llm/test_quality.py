@@ -35,3 +35,18 @@ def test_empty(spark):
     stats = q.statistics(docs, spark.createDataFrame(WORDS, "lang string, word string"))
     assert q.not_prose(q.outliers(stats)).count() == 0
     assert q.statistics(frame(spark)[0], spark.createDataFrame([], "lang string, word string")).filter(F.col("language") != "").count() == 0
+
+
+def test_the_distance_decides(spark):
+    """A document is told by its distance from its language's prose: with every other statistic as in prose one can be enough."""
+    import pandas as pd
+
+    from lexisift.llm import quality as q
+
+    base = {s: 1.0 for s in q.STATS}
+    rows = [{"key": k, "language": "en", "n_words": 50, **{s: v + 0.01 * ((k * 7 + j) % 11) for j, (s, v) in enumerate(base.items())}} for k in range(200)]
+    odd = {**rows[0], "key": 900, "digit_ratio": 3.0}
+    near = {**rows[1], "key": 901, "prose_share": 0.97}
+    got = q.not_prose(q.outliers(spark.createDataFrame(pd.DataFrame([*rows, odd, near]))))
+    assert [r["key"] for r in got.collect()] == [900]
+    assert max(got.first()["contributions"], key=got.first()["contributions"].get) == "digit_ratio"
