@@ -231,9 +231,9 @@ def verdict(path: Column) -> Column:
     # what the tokens tell comes first; path and comment settle what they leave open
     return (
         F.when(path.rlike(LOCK_FILES), "lock file")
-        .when(code & repeats, "generated")
-        .when(blob, "data")
         .when(dense, "minified")
+        .when(blob, "data")
+        .when(code & repeats, "generated")
         .when(copied, "copied")
         .when(minified_path, "minified")
         .when(c("marker") | (generated_path & ((c("grammar_ratio") < 0.6) | (c("n_tokens") < 160))), "generated")
