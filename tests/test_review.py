@@ -148,3 +148,41 @@ def test_functions_without_network(spark):
     assert len(got) == 1 and text[got[0][1] : got[0][2]].strip() == "Type: AWS::Lambda::Function" and got[0][1] < text.index("  B:")
     df = spark.createDataFrame([(1, "t.yml", text), (2, "t.py", text), (3, "u.yml", None)], "k int, p string, t string")
     assert [r["k"] for r in scanner.template_hits(df, "p", "t", ["k"]).collect()] == [1]
+
+
+SNIPPETS = {
+    'python': "import os\nimport sys\n\ndef main():\n    with open('x') as f:\n        print(f.read())\n\nif __name__ == '__main__':\n    main()\n",
+    'javascript': "const express = require('express');\nconst app = express();\napp.get('/', (req, res) => {\n  console.log(req.url);\n  res.send('ok');\n});\nmodule.exports = app;",
+    'java': 'import java.util.List;\n\npublic class Main {\n    public static void main(String[] args) {\n        System.out.println("hi");\n    }\n}',
+    'go': 'package main\n\nimport "fmt"\n\nfunc main() {\n\tx := 1\n\tif err != nil {\n\t\tfmt.Println(err)\n\t}\n}',
+    'rust': 'use std::io;\n\nfn main() {\n    let mut s = String::new();\n    io::stdin().read_line(&mut s).unwrap();\n    println!("{}", s);\n}',
+    'sql': 'SELECT id, name FROM users WHERE age > 21 ORDER BY name;\nINSERT INTO users (id) VALUES (1);',
+    'php': '<?php\n$name = $_GET[\'n\'];\necho "Hello $name";\nfunction f() { return $this->x; }\n?>',
+    'ruby': 'require \'json\'\n\nclass A\n  attr_accessor :x\n  def hi\n    puts "x"\n  end\nend\n[1].each do |i|\n  puts i\nend',
+    'cpp': '#include <iostream>\n\nint main() {\n    std::cout << "hi" << std::endl;\n    return 0;\n}',
+    'csharp': 'using System;\n\nnamespace A {\n    public class P {\n        public string N { get; set; }\n        static void Main() { Console.WriteLine("x"); }\n    }\n}',
+    'bash': '#!/bin/bash\nset -e\nfor f in *.txt; do\n  if [ -f "$f" ]; then\n    echo "$f"\n  fi\ndone',
+    'powershell': 'param([string]$Path)\n$items = Get-ChildItem -Path $Path\nforeach ($i in $items) { Write-Host $i.Name }',
+    'typescript': 'interface User { readonly id: number; name: string }\nexport const f = (u: User): string => u.name;\ntype X = string | number;',
+    'kotlin': 'data class P(val x: Int)\nfun main() {\n    val p: P? = null\n    println(p?.x)\n}',
+    'swift': 'import Foundation\nfunc f(a: Int?) -> String {\n    guard let x = a else { return "" }\n    print(x)\n    return "y"\n}',
+}
+
+
+def test_languages():
+    for language, text in SNIPPETS.items():
+        found, sure = analyzers.language_of(text)
+        assert found == language and 0.3 < sure <= 1, (language, found, sure)
+    assert analyzers.language_of("Please write a short note to the team.") == (None, 0.0)
+    # the whole text counts, however long what goes before
+    assert analyzers.language_of("word " * 5000 + SNIPPETS["go"])[0] == "go"
+
+
+def test_flows_of_literals_and_languages():
+    assert analyzers.flows('os.system("echo os.environ is a map of names")') == []
+    assert [x[2] for x in analyzers.flows('os.system("rm " + name)  # padding')] == ["string"]
+    assert [x[2] for x in analyzers.flows('eval(request.args["x"])  # padding')] == ["direct"]
+    assert [x[2] for x in analyzers.flows("system(params[:x])  # padding; eval(params[:y])", "ruby")] == ["direct"]
+    assert [x[2] for x in analyzers.flows("const q = req.query; eval(q); // padding", "typescript")] == ["variable"]
+    long = "x = 1\n" * 5000 + "os.system(input())\n"
+    assert analyzers.flows(long) == [] and [x[2] for x in analyzers.flows(long, most=None)] == ["direct"]
