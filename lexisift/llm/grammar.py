@@ -49,18 +49,18 @@ class Grammars:
         with np.errstate(over="ignore"):
             np.add.at(self.root, files, _mix(hashes[symbols], place.astype(np.uint64)))
         self.root = self.root.astype(np.int64)
+        bits = np.uint64(20)  # the same for batches of any size, up to a million files
         powers = _powers(int(self.sizes.max(initial=1)))
         while len(symbols) > 1:
             inside = files[1:] == files[:-1]
+            # a pair's hash with its file in the last bits: within a file the order is that of the hashes
             pair = _mix(hashes[symbols[:-1]], hashes[symbols[1:]])
-            key = np.where(inside, _mix(pair, files[:-1].astype(np.uint64)), np.uint64(0))
-            uniq, first_at, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            key = np.where(inside, (pair << bits) | files[:-1].astype(np.uint64), np.uint64(0))
+            uniq, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
             count = np.where(inside, counts[inverse], 0)
             # a run a a a counts its overlaps; they cannot all be replaced
             count = np.where((count == 2) & (symbols[:-1] == symbols[1:]) & self._overlap(symbols, inside), 1, count)
-            tie = np.empty(len(uniq), np.int64)
-            tie[np.argsort(pair[first_at], kind="stable")] = np.arange(len(uniq))
-            rank = count * (len(uniq) + 1) + tie[inverse]
+            rank = count * (len(uniq) + 1) + inverse
             before = np.concatenate([[0], rank[:-1]])
             after = np.concatenate([rank[1:], [0]])
             win = (count >= 2) & (rank >= before) & (rank >= after)
