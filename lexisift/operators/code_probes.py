@@ -72,9 +72,9 @@ _TABLE: dict[str, tuple[tuple[str, ...], list[tuple[str, float]]]] = {
     "SEC-46": (("py", "js", "ts", "java", "go", "cs", "rb"), [(r"(?i)if\s+os\.path\.exists\b", 0.4), (r"if\s+not\s+os\.path\.exists.*[\\\n].*\b(?:open|remove|rename)\b", 0.5)]),
     "SEC-47": (("py", "js", "ts", "java", "go", "cs"), [(r"while\s+True\s*:", 0.5), (r"(?i)requests\.get\s*\([^)]*\)\s*(?:(?!timeout).)*$", 0.4)]),
     "SEC-52": (_WEB, [
-        (r"logging\.(?:info|debug|error|warning)\s*\(\s*(?:f['\"]|['\"][^'\"]*\+\s*\w+|['\"][^'\"]*\{[^}]+\})", 0.5), (r"log\.(?:info|debug|error|warn)\s*\(\s*(?:f['\"]|['\"][^'\"]*\+\s*\w+)", 0.5),
-        (r"logger\.(?:info|debug|error|warn)\s*\(\s*(?:f['\"]|['\"][^'\"]*\+\s*\w+)", 0.5), (r"print\s*\(\s*['\"][^'\"]*\+\s*\w+(?:input|user|param|data|body|req)", 0.5)]),
-    "SEC-56": (_WEB, [(r"(?i)(?:min[_\.]?(?:length|len|size)|minLength)\s*[:=<>!]+\s*([456])\b", 0.5), (r"(?i)(?:len|length)\s*\(\s*(?:password|passwd|pwd)\s*\)\s*[<]\s*([6789])", 0.5)]),
+        (r"logging\.(?:info|debug|error|warning)\s*\(\s*(?:f['\"]|['\"][^'\"]*\+\s*\w+|['\"][^'\"]*\{[^}]+\})", 0.55), (r"log\.(?:info|debug|error|warn)\s*\(\s*(?:f['\"]|['\"][^'\"]*\+\s*\w+)", 0.55),
+        (r"logger\.(?:info|debug|error|warn)\s*\(\s*(?:f['\"]|['\"][^'\"]*\+\s*\w+)", 0.55), (r"print\s*\(\s*['\"][^'\"]*\+\s*\w+(?:input|user|param|data|body|req)", 0.55)]),
+    "SEC-56": (_WEB, [(r"(?i)(?:min[_\.]?(?:length|len|size)|minLength)\s*[:=<>!]+\s*([456])\b", 0.65), (r"(?i)(?:len|length)\s*\(\s*(?:password|passwd|pwd)\s*\)\s*[<]\s*([6789])", 0.6)]),
 }
 # String building in SQL, case ignored; a statement that ends in a parameter is no hit.
 _SQL = [
@@ -84,27 +84,30 @@ _SQL = [
 ]
 _HASHED = r"bcrypt|argon2|scrypt|hash|pbkdf2|make_password"
 # Hits that a word nearby excuses.
+_OVER = ("py", "js", "ts", "java", "go", "cs", "rb", "c", "cpp")
 _ABSENT = [
-    Probe("SEC-18", r"@(?:app\.(?:route|get|post|put|delete|patch)|csrf_exempt)\s*\(", 0.35, "route", extensions=_WEB, unless=r"@(?:login_required|jwt_required|permission_required|user_passes_test)", after=500, nowhere=r"@app\.before_request"),
-    Probe("SEC-18", r"router\.(?:get|post|put|delete|patch)\s*\(\s*['\"][^'\"]*['\"]\s*,", 0.35, "router", extensions=_WEB, unless=r"verifyToken|isAuthenticated|authenticate|authMiddleware|requireAuth", after=300),
-    Probe("SEC-53", r"(?:balance|amount|total|count|quantity|credits?)\s*-=\s*\w+", 0.4, "unguarded", extensions=("py", "js", "ts", "java", "go", "cs", "rb", "c", "cpp"), unless=r"(?:>=|if\s+\w+\s*[><])\s*\w+(?:balance|amount|total|credits)", before=300, after=0),
-    Probe("SEC-53", r"(?:user_input|userInput|input|req|body)\b[^;]*[*]\s*(?:price|amount|count|rate|qty)", 0.4, "multiplied", True, ("py", "js", "ts", "java", "go", "cs", "rb", "c", "cpp")),
-    Probe("SEC-55", r"(?i)(?:INSERT\s+INTO\s+\w+\s*\([^)]*password[^)]*\))", 0.45, "insert", extensions=_WEB_SQL, unless=r"bcrypt|argon2|scrypt|hash(?!\s*map)|pbkdf2|sha", after=200),
-    Probe("SEC-55", r"(?i)(?:password|passwd|pwd)\s*=\s*['\"][^'\"]{3,}['\"]", 0.45, "assigned", extensions=_WEB_SQL, unless=_HASHED, before=300, after=100),
-    Probe("SEC-55", r"\.insert(?:One|Many)?\s*\([^)]*password[^)]*\)", 0.45, "document", True, _WEB_SQL, unless=r"bcrypt|argon2|scrypt|hash|pbkdf2", before=300, after=100),
-    Probe("SEC-55", r"(?:execute|exec|query)\s*\([^)]*password[^)]*\+[^)]*\)", 0.45, "statement", True, _WEB_SQL, unless=_HASHED, before=300, after=100),
-    Probe("SEC-57", r"(?i)(?:DELETE|UPDATE)\s+(?:FROM\s+)?(?:users?|accounts?|transactions?|employees?)\s+WHERE", 0.45, "rows", extensions=_WEB_SQL, unless=r"audit|log|record", after=300),
-    Probe("SEC-57", r"(?i)(?:GRANT|REVOKE)\s+.*\s+(?:TO|FROM)\s+\w+", 0.45, "rights", extensions=_WEB_SQL, unless=r"audit|log", after=300),
-    Probe("SEC-58", r"(?i)(?:def\s+login|def\s+signin|function\s+login)\s*\(", 0.4, "login", extensions=_WEB, unless=r"rate.?limit|throttle|lockout|fail.?count|max.?attempt|captcha", after=500),
-    Probe("SEC-59", r"(?i)(?:is_deleted\s*=\s*True|deleted_at\s*=|deleted_flag\s*=\s*1)", 0.45, "soft", extensions=_WEB_SQL, unless=r"cleanup|purge|vacuum|physical.?delete|hard.?delete|archive", before=200, after=300),
+    Probe("SEC-18", r"@(?:app\.(?:route|get|post|put|delete|patch)|csrf_exempt)\s*\(", 0.45, "route", extensions=_WEB, unless=r"@(?:login_required|jwt_required|permission_required|user_passes_test)", after=500, nowhere=r"@app\.before_request", longer=30),
+    Probe("SEC-18", r"@app\.(?:route|get|post|put|delete)\(", 0.4, "handler", extensions=_WEB, unless=r"@login_required", after=500, nowhere=r"@app\.before_request", longer=30),
+    Probe("SEC-18", r"router\.(?:get|post|put|delete|patch)\s*\(\s*['\"][^'\"]*['\"]\s*,", 0.35, "router", extensions=_WEB, unless=r"verifyToken|isAuthenticated|authenticate|authMiddleware|requireAuth", after=300, longer=30),
+    Probe("SEC-22", r"(?:router|app)\.(?:get|post|put|delete|patch)\s*\(\s*['\"][^'\"]*[:<](\w+)[>'\"]", 0.4, "parameter", extensions=_WEB, follows=r"(?i)(?:find|findById|query|get|where|filter)\s*\([^)]*{0}", unless=r"(?i)owner|user_id|current_user|req\.user|userId|authorize|check|can_|permission", after=500, longer=30),
+    Probe("SEC-53", r"(?:balance|amount|total|count|quantity|credits?)\s*-=\s*\w+", 0.45, "unguarded", extensions=_OVER, unless=r"(?:>=|if\s+\w+\s*[><])\s*\w+(?:balance|amount|total|credits)", line_before=300),
+    Probe("SEC-53", r"(?:user_input|userInput|input|req|body)\b[^;]*[*]\s*(?:price|amount|count|rate|qty)", 0.5, "multiplied", True, _OVER),
+    Probe("SEC-55", r"(?i)(?:INSERT\s+INTO\s+\w+\s*\([^)]*password[^)]*\))", 0.55, "insert", extensions=_WEB_SQL, unless=r"(?i)bcrypt|argon2|scrypt|hash(?!\s*map)|pbkdf2|sha", after=200),
+    Probe("SEC-55", r"(?i)(?:password|passwd|pwd)\s*=\s*['\"][^'\"]{3,}['\"]", 0.5, "assigned", extensions=_WEB_SQL, unless=_HASHED, before=300, after=100),
+    Probe("SEC-55", r"\.insert(?:One|Many)?\s*\([^)]*password[^)]*\)", 0.55, "document", True, _WEB_SQL, unless=r"bcrypt|argon2|scrypt|hash|pbkdf2", before=300, after=100),
+    Probe("SEC-55", r"(?:execute|exec|query)\s*\([^)]*password[^)]*\+[^)]*\)", 0.55, "statement", True, _WEB_SQL, unless=_HASHED, before=300, after=100),
+    Probe("SEC-57", r"(?i)(?:DELETE|UPDATE)\s+(?:FROM\s+)?(?:users?|accounts?|transactions?|employees?)\s+WHERE", 0.5, "rows", extensions=_WEB_SQL, unless=r"(?i)audit|log|record", after=300),
+    Probe("SEC-57", r"(?i)(?:GRANT|REVOKE)\s+.*\s+(?:TO|FROM)\s+\w+", 0.55, "rights", extensions=_WEB_SQL, unless=r"(?i)audit|log", after=300),
+    Probe("SEC-58", r"(?i)(?:def\s+login|def\s+signin|function\s+login)\s*\(", 0.45, "login", extensions=_WEB, unless=r"(?i)rate.?limit|throttle|lockout|fail.?count|max.?attempt|captcha", after=500),
+    Probe("SEC-59", r"(?i)(?:is_deleted\s*=\s*True|deleted_at\s*=|deleted_flag\s*=\s*1)", 0.5, "soft", extensions=_WEB_SQL, unless=r"(?i)cleanup|purge|vacuum|physical.?delete|hard.?delete|archive", before=200, after=300),
 ]
 PROBES = [Probe(rule, p, conf, f"{rule}/{i}", extensions=ext) for rule, (ext, rows) in _TABLE.items() for i, (p, conf) in enumerate(rows)]
-PROBES += [Probe("SEC-05", p + r"(?<!\?)(?<!%s)(?<!%d)", 0.7, f"SEC-05/{i}", True, _WEB) for i, p in enumerate(_SQL)]
+PROBES += [Probe("SEC-05", p, 0.7, f"SEC-05/{i}", True, _WEB, not_ending=("?", "%s", "%d")) for i, p in enumerate(_SQL)]
 PROBES += _ABSENT
 NAMES = {
     "SEC-05": "SQL injection", "SEC-07": "OS command injection", "SEC-08": "Unsafe deserialization", "SEC-09": "XML external entities", "SEC-14": "Code injection", "SEC-15": "Cross-site scripting",
-    "SEC-17": "CSRF protection missing", "SEC-18": "Authentication missing", "SEC-19": "Server-side request forgery", "SEC-20": "Open redirect", "SEC-21": "Unrestricted upload", "SEC-23": "File inclusion",
+    "SEC-17": "CSRF protection missing", "SEC-18": "Authentication missing", "SEC-19": "Server-side request forgery", "SEC-20": "Open redirect", "SEC-21": "Unrestricted upload", "SEC-22": "Insecure direct object reference", "SEC-23": "File inclusion",
     "SEC-24": "Mass assignment", "SEC-25": "JWT defect", "SEC-32": "Weak cryptography", "SEC-33": "Insecure randomness", "SEC-34": "TLS validation disabled", "SEC-45": "Path traversal", "SEC-46": "Race condition",
-    "SEC-47": "Resource exhaustion", "SEC-48": "Archive traversal", "SEC-49": "Memory safety", "SEC-50": "Error leak", "SEC-51": "Direct command execution", "SEC-52": "Log injection", "SEC-53": "Integer overflow",
+    "SEC-47": "Resource exhaustion", "SEC-48": "Archive traversal", "SEC-49": "Memory safety", "SEC-50": "Error leak", "SEC-51": "Direct command execution", "SEC-52": "Log injection", "SEC-53": "Integer overflow", "SEC-54": "Null dereference", "SEC-39": "Dependency confusion",
     "SEC-55": "Password stored in plain text", "SEC-56": "Weak password policy", "SEC-57": "Audit log missing", "SEC-58": "No brute-force protection", "SEC-59": "Incomplete deletion",
 }

@@ -45,12 +45,13 @@ def affected(version: Column, spec: Column) -> Column:
 def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """packages (package, version) x advisories (advisory, package, versions): names equal or one inside the other.
 
-    Names meet by their characteristic trigrams, so no pair is formed that shares none; the exact test follows.
+    Names meet by their grams of up to three characters, so no pair is formed that shares none; the exact test follows.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    # a name of fewer than three characters is its own gram, so grams of every length up to three are made of the longer name
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))))
     p = packages.select(F.lower("package").alias("p"), "package", "version").distinct()
     a = advisories.select("advisory", F.lower("package").alias("a"), "versions").distinct()
-    # the shorter name's first trigram is in the longer one, whichever it is
+    # the shorter name's first gram is in the longer one, whichever it is
     left = p.withColumn("g", F.explode(grams(F.col("p")))).join(a.withColumn("g", F.substring("a", 1, 3)), "g").filter("contains(p, a)")
     right = p.withColumn("g", F.substring("p", 1, 3)).join(a.withColumn("g", F.explode(grams(F.col("a")))), "g").filter("contains(a, p)")
     pairs = left.unionByName(right).drop("g").distinct()

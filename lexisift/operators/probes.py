@@ -2,13 +2,14 @@
 
 A pack of probes is compiled once per Python worker and runs over Arrow batches: for packs of some fifty patterns and more
 that takes half the time of as many expressions. A hit is dropped if a pattern of ``unless`` is found within so many
-characters before and after it, or one of ``nowhere`` anywhere in the text.
+characters before and after it, or one of ``nowhere`` anywhere in the text, if it ends in one of ``not_ending``, or if what it
+captured isn't found by ``follows`` in what stands behind it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,6 +31,11 @@ class Probe:
     after: int = 0
     nowhere: str = ""
     wanted: str = ""  # a text without this is passed over
+    line_before: int = 0  # so many characters before the hit's line, and the line up to the hit
+    follows: str = ""  # with {0} for what the first group captured
+    not_ending: tuple[str, ...] = ()
+    longer: int = 0  # characters added to the hit's end
+    plain: bool = False  # confidence as it is, whatever is around
 
 
 HITS = "array<struct<rule_id:string,start_pos:int,end_pos:int,matched:string,confidence:double,tag:string>>"
@@ -59,7 +65,7 @@ def _compiled(probes: tuple[Probe, ...]) -> list[tuple]:
             rx = re.compile(p.pattern, re.M | (re.I if p.ignore_case else 0))
         except re.error:
             continue  # a pattern that no engine takes never fires
-        out.append((p, rx, p.unless and re.compile(p.unless, re.I), p.nowhere and re.compile(p.nowhere), p.wanted and re.compile(p.wanted, re.I)))
+        out.append((p, rx, p.unless and re.compile(p.unless), p.nowhere and re.compile(p.nowhere), p.wanted and re.compile(p.wanted, re.I)))
     return out
 
 
@@ -75,21 +81,28 @@ def run(text: str | None, extension: str | None, probes: tuple[Probe, ...], adju
             continue
         for m in found:
             a, b = m.span()
-            if unless and unless.search(text[max(0, a - p.before) : b + p.after] if p.before else text[b : b + p.after]):
+            if p.not_ending and m[0].endswith(p.not_ending):
                 continue
-            confidence = adjusted(text, a, p.confidence) if adjust else p.confidence
+            if unless or p.follows:
+                start = max(0, text.rfind("\n", 0, a) - p.line_before) if p.line_before else max(0, a - p.before) if p.before else b
+                near = text[start:a] if p.line_before else text[start : b + p.after]
+                if (p.follows and not re.search(p.follows.replace("{0}", m[1]), near)) or (unless and unless.search(near)):
+                    continue
+            b += p.longer
+            confidence = adjusted(text, a, p.confidence) if adjust and not p.plain else p.confidence
             if confidence > 0:
                 hits.append((p.rule_id, a, b, m[0][:200], confidence, p.tag))
     return hits
 
 
-def probe(df: DataFrame, text: str, probes: list[Probe], extension: str | None = None, adjust: bool = False, into: str = "hits") -> DataFrame:
+def probe(df: DataFrame, text: str, probes: list[Probe], extension: str | None = None, adjust: bool = False, into: str = "hits", path: str | None = None, more: Callable[[str, str], list[tuple]] | None = None) -> DataFrame:
+    """df with the hits of the probes, and of more(text, path) behind them."""
     pack = tuple(probes)
 
-    def series(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, exts in batches:
-            yield pd.Series([run(t, e, pack, adjust) for t, e in zip(texts, exts)])
+    def series(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, exts, paths in batches:
+            yield pd.Series([run(t, e, pack, adjust) + (more(t, p or "") if more and t is not None else []) for t, e, p in zip(texts, exts, paths)])
 
-    series.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    e = F.col(extension) if extension else F.lit("")
-    return df.withColumn(into, F.pandas_udf(series, HITS)(F.col(text), e.cast("string")))
+    series.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    e, p = (F.col(c) if c else F.lit("") for c in (extension, path))
+    return df.withColumn(into, F.pandas_udf(series, HITS)(F.col(text), e.cast("string"), p.cast("string")))

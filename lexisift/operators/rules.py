@@ -20,6 +20,8 @@ from lexisift.functions.rows import exploded
 from lexisift.functions.text import luhn, unicode_form
 
 from . import spans as sp
+from .output_probes import CHECKERS, OVERSIZED
+from .probes import probe
 
 SEVERITIES = ("P0", "P1", "P2")
 ACTIONS = ("block", "warn", "redact", "clean", "truncate", "soft_allow", "dynamic")
@@ -179,8 +181,20 @@ def _text_of(rule: Rule, c: Column, raw: Column) -> Column:
     return unicode_form(c, rule.form) if rule.form in ("NFC", "NFD", "NFKC", "NFKD") else c
 
 
-def rule_result(rule: Rule, order: int, c: Column, each: list[Column], language: Column | None, certainty: Column | None) -> Column:
-    """The rule's result as a struct, null where it doesn't fire. each: the spans of its patterns."""
+def checked(rule: Rule, c: Column, hits: Column | None) -> Column | None:
+    """Spans of the rule's own checker, if it has one."""
+    if rule.id == "I-43":
+        note = F.concat(F.lit("Content length "), F.length(c).cast("string"), F.lit(f" exceeds {OVERSIZED} character limit"))
+        span = F.struct(F.lit(0).alias("start_pos"), F.least(F.length(c), F.lit(200)).alias("end_pos"), note.alias("matched"))
+        return F.when(F.length(c) > OVERSIZED, F.array(span)).otherwise(sp.none())
+    if rule.id not in CHECKERS or hits is None:
+        return None
+    own = F.transform(F.filter(hits, lambda h: h["rule_id"] == rule.id), lambda h: F.struct(h["start_pos"].alias("start_pos"), h["end_pos"].alias("end_pos"), h["matched"].alias("matched")))
+    return F.slice(own, 1, rule.max_matches)
+
+
+def rule_result(rule: Rule, order: int, c: Column, each: list[Column], language: Column | None, certainty: Column | None, checker: Column | None = None) -> Column:
+    """The rule's result as a struct, null where it doesn't fire. each: the spans of its patterns; those of its checker come first."""
 
     def result(idx: Column, found: Column) -> Column:
         return F.struct(F.lit(order).alias("ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("name"), F.lit(rule.severity).alias("severity"), F.lit(rule.action).alias("action"), idx.cast("int").alias("pattern_idx"), found.alias("spans"))
@@ -190,16 +204,21 @@ def rule_result(rule: Rule, order: int, c: Column, each: list[Column], language:
         if rule.max_length is None:
             return nothing
         return F.when(F.length(c) > rule.max_length, result(F.lit(0), sp.none())).otherwise(nothing)
-    if not rule.patterns:
+    if not rule.patterns and checker is None:
         return nothing
     valid = (lambda s: F.filter(s, lambda x: luhn(x["matched"]))) if rule.luhn_check else (lambda s: s)
-    if rule.mode == "all":
+    if not rule.patterns:
+        found, idx = valid(checker), F.lit(0)
+    elif rule.mode == "all":
         found = valid(sp.all_of(each, limit=rule.max_matches))
         idx = F.lit(0)
     else:  # the first pattern with hits decides, even if its hits fail the checksum
         hits = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), s.alias("s")) for i, s in enumerate(each)]), lambda x: F.size(x["s"]) > 0)
         first = F.get(hits, 0)
         found, idx = valid(first["s"]), first["i"]
+    if checker is not None and rule.patterns:
+        idx = F.when(F.size(checker) > 0, 0).otherwise(idx)
+        found = F.slice(F.concat(valid(checker), F.coalesce(found, sp.none())), 1, rule.max_matches)
     admitted = F.lit(True)
     if rule.min_length is not None:
         admitted = admitted & (F.length(c) >= rule.min_length)
@@ -227,13 +246,17 @@ def evaluate(df: DataFrame, rules: list[Rule], text: str, raw: str | None = None
     every = [pattern_spans(p, _text_of(x, c, r), x.max_matches) for _, x in active if not x.no_pattern for p in x.patterns]
     found = F.array(*every) if every else F.array().cast(f"array<{sp.SPANS}>")
     df = df.withColumn("_found", found)
+    packs = [p for _, x in active if not x.no_pattern for p in CHECKERS.get(x.id, ())]
+    hits = F.col("_checked") if packs else None
+    if packs:  # the checkers of all rules in one pass
+        df = probe(df, text, packs, adjust=True, into="_checked")
     each, at = [], 0
     for i, x in active:
         n = 0 if x.no_pattern else len(x.patterns)
-        each.append(rule_result(x, i, c, [F.get("_found", k) for k in range(at, at + n)], lang, sure))
+        each.append(rule_result(x, i, c, [F.get("_found", k) for k in range(at, at + n)], lang, sure, None if x.no_pattern else checked(x, c, hits)))
         at += n
     fired = F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast(f"array<{RESULT}>")
-    return df.withColumn(into, F.when(c.isNotNull(), fired)).drop("_found")
+    return df.withColumn(into, F.when(c.isNotNull(), fired)).drop("_found", "_checked")
 
 
 def matches(evaluated: DataFrame, key: str, results: str = "results") -> DataFrame:

@@ -5,6 +5,7 @@ Findings carry offsets until the end; line and column are taken from the file's
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -241,23 +242,62 @@ def null_dereferences(files: DataFrame, path: str, text: str, key: list[str]) ->
     return pairs.select(*key, F.lit("SEC-54").alias("rule_id"), (F.col("no") + 1).alias("line_number"), F.substring(_trim(F.col("line")), 1, 200).alias("matched"), F.lit(0.4).alias("confidence"))
 
 
+_LOOKUP = re.compile(r"(?:\.find(?:ById|One|First)?|\.getOrNull|Optional\.ofNullable|FirstOrDefault|getFirst)\s*\([^)]*\)")
+_CALL = re.compile(r"\.\s*\w+\s*\(")
+_CHECKED = re.compile(r"\bisPresent\b|\bifNull\b|orElse\b|orElseThrow\b|!= null|!= nil|!= None|\bisNotNull\b")
+#: Packages that requirement lists commonly name (fixed values).
+COMMON = frozenset(("django", "flask", "requests", "numpy", "pandas", "pytest", "fastapi", "sqlalchemy", "celery", "redis", "psycopg2", "boto3", "scipy", "scikit-learn", "pillow", "lxml", "click"))
+_REQUIRED = re.compile(r"^([a-zA-Z_][a-zA-Z0-9_.-]*)[=~<>!]", re.M)
+
+
+def special_hits(text: str, path: str) -> list[tuple]:
+    """Hits that no single pattern tells: lookups used unchecked, packages another source could take over, serverless functions
+    without a network."""
+    name = path.rpartition("/")[2]
+    ext = name.rpartition(".")[2].lower() if "." in name else ""
+    out: list[tuple] = []
+    if ext in ("java", "go", "cs", "kt", "swift") and _LOOKUP.search(text):
+        at, lines = 0, text.split("\n")
+        for line, below in zip(lines, lines[1:]):
+            if _LOOKUP.search(line) and _CALL.search(below) and not _CHECKED.search(line + "\n" + below):
+                out.append(("SEC-54", at, at, line.strip()[:200], 0.4, "unchecked"))
+            at += len(line) + 1
+    if ext in ("yaml", "yml"):
+        out += functions_without_network(text)
+    if name in ("package.json", "package-lock.json"):
+        try:
+            data = json.loads(text)
+            both = {**(data.get("dependencies") or {}), **(data.get("devDependencies") or {})}
+        except (ValueError, AttributeError, TypeError):
+            both = {}
+        for package, version in both.items():
+            if isinstance(version, str) and (version in ("*", "") or version.startswith(("file:", "http:"))):
+                at = max(0, text.find(f'"{package}"'))
+                out.append(("SEC-39", at, at + len(package) + 2, f"{package}@{version}"[:200], 0.5, "loose"))
+    if name in ("requirements.txt", "Pipfile"):
+        out += [("SEC-39", m.start(), m.end(), m[1].lower()[:200], 0.35, "unknown") for m in _REQUIRED.finditer(text) if m[1].lower() not in COMMON and not m[1].startswith("_")]
+    return out
+
+
 def scan(files: DataFrame, path: str = "file_path", text: str = "content", key: str = "file_id", probes: list[Probe] | None = None) -> DataFrame:
-    """Findings of the probes and structural checks: one row each, the first of equal spans of a rule, with line and column."""
+    """Findings of the probes, the special and the structural checks: one row each, the first of equal spans of a rule, with line
+    and column. Line and column are found in the row of the file; its text isn't carried along with the findings."""
     e = files.filter(F.col(text).isNotNull()).withColumn("_ext", extension(F.col(path)))
-    hit = probe(e, text, code_probes.PROBES if probes is None else probes, "_ext")
-    every = F.concat("hits", structural_hits(F.col(path), F.col(text))) if probes is None else F.col("hits")
-    # within the row: of the hits of one rule with equal spans the first stays
-    number = F.transform(every, lambda h, i: F.struct(i.alias("i"), h.alias("h")))
-    same = lambda a, b: (a["h"]["rule_id"] == b["h"]["rule_id"]) & (a["h"]["start_pos"] == b["h"]["start_pos"]) & (a["h"]["end_pos"] == b["h"]["end_pos"])
-    hit = hit.withColumn("_n", number).withColumn("_kept", F.filter("_n", lambda a: ~F.exists("_n", lambda b: (b["i"] < a["i"]) & same(a, b))))
-    rows = exploded(hit, "_kept", "k", key, F.col(path).alias("file_path"), F.col(text).alias("_text"))
+    every_check = probes is None
+    hit = probe(e, text, code_probes.PROBES if every_check else probes, "_ext", path=path, more=special_hits if every_check else None)
+    every = F.concat("hits", structural_hits(F.col(path), F.col(text))) if every_check else F.col("hits")
+    placed = F.transform("_every", lambda h: F.struct(h.alias("h"), line_of(F.col(text), h["start_pos"]).alias("line"), column_of(F.col(text), h["start_pos"]).alias("column")))
+    rows = exploded(hit.withColumn("_every", every).withColumn("_placed", placed), "_placed", "k", key, F.col(path).alias("file_path"), position="_no")
+    # of the hits of one rule with equal spans the first stays
+    first = Window.partitionBy(key, "file_path", "k.h.rule_id", "k.h.start_pos", "k.h.end_pos").orderBy("_no")
+    rows = rows.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1")
     h = F.col("k.h")
-    names = F.create_map(*[F.lit(x) for kv in (code_probes.NAMES | {"IAC-18": "Health check missing", "IAC-20": "Network policy missing", "IAC-21": "Security context missing"}).items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in (code_probes.NAMES | {"IAC-18": "Health check missing", "IAC-19": "Network of a function missing", "IAC-20": "Network policy missing", "IAC-21": "Security context missing"}).items() for x in kv])
     name = F.coalesce(names[h["rule_id"]], h["rule_id"])
     message = F.concat(F.lit("["), h["rule_id"], F.lit("] "), name, F.lit(": "), F.substring(h["matched"], 1, 80))
     return rows.select(
-        key, h["rule_id"].alias("rule_id"), name.alias("rule_name"), F.lit("P2").alias("severity"), "file_path", line_of(F.col("_text"), h["start_pos"]).alias("line_number"),
-        column_of(F.col("_text"), h["start_pos"]).alias("column_no"), h["matched"].alias("matched_text"), h["confidence"].alias("confidence"), message.alias("message"),
+        key, h["rule_id"].alias("rule_id"), name.alias("rule_name"), F.lit("P2").alias("severity"), "file_path", F.col("k.line").alias("line_number"), F.col("k.column").alias("column_no"),
+        h["matched"].alias("matched_text"), h["confidence"].alias("confidence"), message.alias("message"),
     )
 
 
