@@ -321,3 +321,4 @@ ORACLE = {
     "rules_by_stage": "SELECT stage, severity, count(*) AS n_rules FROM (SELECT unnest(applicable_stages) AS stage, severity FROM rules WHERE enabled) GROUP BY stage, severity",
     "severity_report": "SELECT coalesce(severity, 'all') AS severity, coalesce(action, 'all') AS action, count(*) AS n_events FROM (SELECT coalesce(severity, 'none') AS severity, action FROM audit_events) GROUP BY ROLLUP (severity, action)",
 }
+NO_SQL = {"clean_text": "compatibility forms: clean_cases"}

@@ -209,10 +209,19 @@ _F = "(SELECT DISTINCT file_id, file_path, content FROM files WHERE content IS N
 def _positions(mode: str) -> str:
     from .detection import _sql_spans
 
+    if mode == "sentence":  # without looking around: the stop and the first letter are part of the match
+        rx = r"[.?!][\s\x{85}\p{Z}\x0b\x1c-\x1f]+[A-Z\"''(\[{]"
+        return f"SELECT doc_id, CAST(start_pos + 2 AS INTEGER) AS position FROM ({_sql_spans(_D, 'doc_id', 'text', rx, None)}) WHERE start_pos + 2 >= 50"
     rx, at = {"line": (r"\n", "start_pos"), "paragraph": (r"\n\s*\n", "end_pos"), "word": (r"[\s\x{85}\p{Z}\x0b\x1c-\x1f]", "start_pos")}[mode]
     return f"SELECT doc_id, {at} AS position FROM ({_sql_spans(_D, 'doc_id', 'text', rx, None)}) WHERE {at} >= 50"
 
 
+def _luhn() -> str:
+    from .detection import _LUHN_SQL
+
+    return _LUHN_SQL
+
+
 _LINES = "SELECT file_id, no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_pos FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS line, unnest(range(0, len(string_split(content, chr(10))))) AS no FROM {src})"
 QUERIES = {
     f.__name__: f
@@ -231,6 +240,20 @@ ORACLE = {
     "boundary_line": _positions("line"),
     "boundary_paragraph": _positions("paragraph"),
     "boundary_word": f"SELECT doc_id, count(*) AS n, max(position) AS last FROM ({_positions('word')}) GROUP BY doc_id",
+    "boundary_sentence": _positions("sentence"),
+    "fast_rules": f"""WITH m AS (SELECT request_id, content FROM {_M}), c AS (SELECT request_id, unnest(regexp_extract_all(content, '{packs.DIGITS}')[:10]) AS x FROM m), t AS (SELECT request_id, regexp_replace(x, '[^0-9]', '', 'g') AS n FROM c)
+        SELECT 'I-14' AS rule_id, count(DISTINCT request_id) AS n FROM t WHERE {_luhn()} HAVING count(*) > 0 UNION ALL SELECT 'I-13', count(*) FROM m WHERE regexp_matches(content, '(?i){packs.EMAIL}') HAVING count(*) > 0
+        UNION ALL SELECT 'I-10', count(*) FROM m WHERE regexp_matches(content, '{packs.ADDRESS}') HAVING count(*) > 0 UNION ALL SELECT 'I-11', count(*) FROM m WHERE regexp_matches(content, '\\+[0-9]{{1,3}}[ .-][0-9 .()-]{{6,16}}[0-9]') HAVING count(*) > 0
+        UNION ALL SELECT 'I-20', count(*) FROM m WHERE contains(lower(content), 'certificate') OR contains(lower(content), 'token') HAVING count(*) > 0""",
+    "scan_null_dereference": f"""WITH l AS ({_LINES.format(src="(SELECT file_id, content FROM " + _F + " WHERE regexp_matches(file_path, '(?i)\\.(java|go|cs|kt|swift)$'))")}), p AS (SELECT *, lead(line) OVER (PARTITION BY file_id ORDER BY no) AS below FROM l)
+        SELECT file_id, 'SEC-54' AS rule_id, CAST(no + 1 AS INTEGER) AS line_number, left(trim(line, ' ' || chr(9) || chr(13)), 200) AS matched, 0.4::DOUBLE AS confidence FROM p
+        WHERE regexp_matches(line, '(\\.find(ById|One|First)?|\\.getOrNull|Optional\\.ofNullable|FirstOrDefault|getFirst)\\s*\\([^)]*\\)') AND regexp_matches(below, '\\.\\s*\\w+\\s*\\(')
+        AND NOT regexp_matches(line || chr(10) || below, '\\bisPresent\\b|\\bifNull\\b|orElse\\b|orElseThrow\\b|!= null|!= nil|!= None|\\bisNotNull\\b')""",
+    "scan_structural": f"""WITH f AS (SELECT file_id, file_path, content, lower(regexp_extract(file_path, '[^/]*$')) AS name, regexp_matches(file_path, '(?i)\\.ya?ml$') AS yaml FROM {_F}),
+        k AS (SELECT *, regexp_matches(content, '(?m)^\\s*securityContext:') AS a, regexp_matches(content, '(?m)^\\s*podSecurityContext:') AS b, regexp_matches(content, '(?m)^\\s*readOnlyRootFilesystem:') AS c FROM f)
+        SELECT file_id, 'IAC-18' AS rule_id, 'Dockerfile without HEALTHCHECK' AS matched FROM k WHERE starts_with(name, 'dockerfile') AND NOT regexp_matches(content, '(?im)^\\s*HEALTHCHECK')
+        UNION ALL SELECT file_id, 'IAC-20', 'Workload without NetworkPolicy' FROM k WHERE yaml AND regexp_matches(content, '(?m)^(#.*)?\\s*kind:\\s*(Deployment|Pod|StatefulSet|DaemonSet|Service)') AND NOT regexp_matches(content, '(?m)^kind:\\s*NetworkPolicy\\b')
+        UNION ALL SELECT file_id, 'IAC-21', 'Chart without ' || concat_ws(', ', CASE WHEN NOT a THEN 'securityContext' END, CASE WHEN NOT b THEN 'podSecurityContext' END, CASE WHEN NOT c THEN 'readOnlyRootFilesystem' END) FROM k WHERE yaml AND regexp_matches(name, 'values|chart') AND (NOT a OR NOT c)""",
     "scan_admitted": f"""SELECT DISTINCT file_id FROM files WHERE NOT list_has_any(string_split(file_path, '/')[1:-2], [{', '.join(repr(x) for x in scanner.SKIPPED_DIRS)}])
         AND len(list_filter(string_split(file_path, '/')[1:-2], lambda x: starts_with(x, '.') AND length(x) > 1)) = 0
         AND (lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) NOT IN ({', '.join(repr(x) for x in scanner.SKIPPED_EXTENSIONS)}) OR regexp_matches(file_path, '(?i)(^|/)dockerfile[^/]*$')) AND file_size <= 1048576""",
@@ -257,3 +280,13 @@ ORACLE = {
     "cve_lookup": f"""WITH v AS (SELECT DISTINCT 'ui-kit' AS package, unnest(regexp_extract_all(content, '"version": ?"([0-9.]+)"', 1)) AS version FROM {_F} WHERE regexp_matches(file_path, 'lock\\.json$')), n AS (SELECT *, list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER)) AS k FROM v)
         SELECT package, version, 'A-1' AS advisory FROM n WHERE k[1] < 3 UNION ALL SELECT package, version, 'A-2' FROM n WHERE k[1] >= 20 AND k[1] < 23""",
 }
+#: Why a query has no SQL; its operator is checked on rows that are known one by one.
+NO_SQL = {
+    "scan_findings": "patterns with look-ahead and windows around a hit: code_cases",
+    "scan_yaml_paths": "paths by indentation: yaml_cases",
+    "output_probe_hits": "patterns with look-ahead, confidence by what is around: output_cases, around_cases",
+    "output_probe_summary": "sums of output_probe_hits",
+    "language_detect": "weights of tokens: language_cases",
+    "data_flow_taint": "arguments of calls with nested brackets: flow_cases",
+    "code_blocks": "nested fences: block_cases",
+}

@@ -28,6 +28,7 @@ def test_query(spark, name):
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     sql = catalog.core_oracle().get(name)
     if sql is None:
+        assert catalog.core_without_sql()[name] and df.columns
         return
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
