@@ -120,6 +120,15 @@ def consistent_form(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return plain.unionByName(work.join(forms, ["id", "n"]).select("id", "content", "form"))
 
 
+def classes(forms: DataFrame) -> DataFrame:
+    """(id, class, content_class, n_contents, n_ids): every id whose form another content has too. class names the form,
+    content_class the content: ids of one class and different content_class are links, none of which is lost or listed twice."""
+    keyed = forms.filter("id is not null and form is not null").select("id", F.sha2("form", 256).alias("class"), F.sha2("content", 256).alias("content_class"))
+    keyed = written(keyed.distinct(), "classes")
+    sizes = keyed.groupBy("class", "content_class").agg(F.count("*").alias("n")).groupBy("class").agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_ids")).filter("n_contents > 1")
+    return keyed.join(sizes, "class")
+
+
 def equal_looking_pairs(forms: DataFrame) -> DataFrame:
     """(a, b), a < b by code point: ids whose contents differ and whose forms agree.
 
