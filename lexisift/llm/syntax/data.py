@@ -615,8 +615,6 @@ class Yaml:
             raise self.bad("tab in the indentation", k)
         if depth < max(level, 0) or raw.lstrip(" ").startswith("#") or (depth == 0 and raw.startswith(("---", "..."))):
             return False
-        if level == 0 and depth == 0 and False:
-            return False
         self.n = k
         return True
 

@@ -46,8 +46,6 @@ def _formatted(text: str, at: int, quote: str) -> int:
                         return -1
                     if m:
                         at = m.end() - 1
-                elif c == "\n" and len(quote) == 1 and False:
-                    return -1
                 at += 1
         elif c == "{":
             at += 2
@@ -59,7 +57,7 @@ def _formatted(text: str, at: int, quote: str) -> int:
 def tokens(text: str) -> tuple[list[Token], list[tuple[int, str]]]:
     out: list[Token] = []
     errors: list[tuple[int, str]] = []
-    indents = [0]
+    indents, plains = [0], [0]
     opened: list[tuple[str, int]] = []
     at, line, n = 0, 1, len(text)
     start = True
@@ -70,21 +68,28 @@ def tokens(text: str) -> tuple[list[Token], list[tuple[int, str]]]:
             if rest[:1] in ("#", "\n", "\r", "") or rest == "\\\n":
                 at = m.end()
             else:
-                width = 0
+                width = plain = 0  # with tabs to eight columns, and as one: both must agree on what lies deeper
                 for c in m[0]:
-                    width = (width // 8 + 1) * 8 if c == "\t" else 0 if c == "\f" else width + 1
-                if "\t" in m[0] and " " in m[0].lstrip("\t") and False:
-                    pass
+                    width, plain = ((width // 8 + 1) * 8, plain + 1) if c == "\t" else (0, 0) if c == "\f" else (width + 1, plain + 1)
+                while len(plains) > len(indents):
+                    plains.pop()
+                if (width > indents[-1]) != (plain > plains[-1]) or (width == indents[-1]) != (plain == plains[-1]) and width >= indents[-1]:
+                    errors.append((line, "tabs and spaces mixed"))
                 if width > indents[-1]:
                     indents.append(width)
+                    plains.append(plain)
                     out.append(Token("indent", "", line, False))
                 while width < indents[-1]:
                     indents.pop()
                     out.append(Token("dedent", "", line, False))
+                    plains.pop()
                     if width > indents[-1]:
                         errors.append((line, "unindent to no outer level"))
                         indents.append(width)
+                        plains.append(plain)
                         break
+                    if width == indents[-1] and plain != plains[-1]:
+                        errors.append((line, "tabs and spaces mixed"))
                 at = m.end()
         start = False
         m = _TOKEN.match(text, at)

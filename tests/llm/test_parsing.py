@@ -82,3 +82,49 @@ def test_columns_and_rates(spark):
     df = pa.check(spark.createDataFrame(rows, "i int, repo string, p string, t string"), "t", "p")
     assert {r["i"]: r["syntax"] and min(r["syntax"]["n_errors"], 1) for r in df.collect()} == {1: 0, 2: 1, 3: None, 4: None, 5: 0, 6: 0, 7: None}
     assert {(r["repo"], r["language"]): (r["n_files"], r["n_invalid"], r["invalid_rate"]) for r in pa.rates(df, "repo").collect()} == {("r", "python"): (2, 1, 0.5), ("q", "javascript"): (1, 0, 0.0), (None, "json"): (1, 0, 0.0)}
+
+
+SOUND = {
+    "python": 'import os\n\n\nclass A:\n    def f(self, x, *, y=1):\n        if x and (y or not x):\n            return [i for i in range(x) if i % 2]\n        with open("a") as g:\n            print(f"{x!r:>{y}}", g, sep="")\n\n\nasync def h():\n    async for k in z():\n        yield k\n',
+    "json": '{"a": [1, 2.5e3, -4, true, null], "b": {"c": "x\\\\n\\\\u00e9", "d": {}}, "e": []}\n',
+    "toml": 'a = 1\nb = [1, 2,\n 3]\n[t.x]\nd = 2020-01-01T00:00:00Z\n"q r" = "s"\n[[u]]\nv = {w = 1, y = "z"}\n',
+}
+
+
+def sound(text, language):
+    import json
+    import tomllib
+
+    try:
+        if language == "python":
+            compile(text, "f", "exec", dont_inherit=True, flags=0x400)
+        else:
+            (json if language == "json" else tomllib).loads(text)
+        return True
+    except (SyntaxError, ValueError):
+        return False
+
+
+def test_parsers_agree_with_the_readers_on_damaged_text(monkeypatch):
+    """The parser alone, without the reader's confirmation, on texts that are cut, lack or double characters, or mix tabs in."""
+    import random
+    import warnings
+
+    from lexisift.llm import parsing
+
+    warnings.simplefilter("ignore")
+    monkeypatch.setattr(parsing, "_confirmed", lambda text, language: True)
+    r = random.Random(3)
+    for language, text in SOUND.items():
+        assert sound(text, language) and not parsing.errors_of(text, language)
+        for _ in range(150):
+            k, way = r.randrange(len(text)), r.randrange(4)
+            bad = (text[:k], text[:k] + text[k + 1 :], text[:k] + r.choice("(){}[]:,\"'=\t ") + text[k:], text.replace("    ", "\t", r.randrange(1, 4)))[way]
+            assert sound(bad, language) == (not parsing.errors_of(bad, language)), (language, bad)
+
+
+def test_mixed_tabs():
+    from lexisift.llm import parsing
+
+    assert parsing.errors_of("if x:\n        a = 1\n\tb = 2\n", "python")
+    assert not parsing.errors_of("if x:\n\ta = 1\n\tif y:\n\t    b = 2\n", "python")
