@@ -6,15 +6,17 @@ under (?dU), with i and m where asked for; they must not match empty text. Nulls
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexisift.functions.text import entropy
-
 SPANS = "array<struct<start_pos:int,end_pos:int,matched:string>>"
 ENTROPY_RUN = r"[A-Za-z0-9+/=_\-:.~@#$%&!?]{8,}"
+_RUNS = re.compile(ENTROPY_RUN)
 #: A span keeps this much of what it matched.
 KEPT = 500
 
@@ -87,9 +89,27 @@ def keyword_spans(c: Column, keyword: str, limit: int | None = 10) -> Column:
     return F.when(c.isNull(), F.lit(None).cast(SPANS)).otherwise(F.coalesce(found, none()))
 
 
+def _entropy(run: str) -> float:
+    n = len(run)
+    return -sum(k / n * math.log2(k / n) for k in Counter(run).values())
+
+
+def entropy_hits(c: Column, threshold: float, min_length: int = 12) -> Column:
+    """Runs of token characters, at least min_length long and of three kinds, with at least that entropy, which is that of the
+    whole run; what is kept of it is cut. Counting characters in the JVM would take a pass per kind, so this is an Arrow
+    function; texts without such a run stay in the JVM."""
+
+    def series(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [(m.start(), m.end(), m[0][:KEPT], e) for m in _RUNS.finditer(t) if m.end() - m.start() >= min_length and len(set(m[0])) >= 3 and (e := _entropy(m[0])) >= threshold])
+
+    some = c.rlike(ENTROPY_RUN[:-4] + f"{{{max(8, min_length)},}}")
+    found = F.pandas_udf(series, "array<struct<start_pos:int,end_pos:int,matched:string,entropy:double>>")(F.when(some, c))
+    return F.when(c.isNull(), F.lit(None)).otherwise(F.coalesce(found, F.array().cast("array<struct<start_pos:int,end_pos:int,matched:string,entropy:double>>")))
+
+
 def entropy_spans(c: Column, threshold: float, min_length: int = 12, limit: int | None = 10) -> Column:
-    """Runs of token characters, at least min_length long and of three kinds, with at least that entropy."""
-    runs = F.filter(regex_spans(c, ENTROPY_RUN, None, ignore_case=False), lambda s: (s["end_pos"] - s["start_pos"] >= min_length) & (F.size(F.array_distinct(F.split(s["matched"], ""))) >= 3) & (entropy(s["matched"]) >= threshold))
+    """The hits as spans."""
+    runs = F.transform(entropy_hits(c, threshold, min_length), lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), s["matched"].alias("matched")))
     return runs if limit is None else F.slice(runs, 1, limit)
 
 

@@ -56,9 +56,9 @@ def keyword_spans(spark, d):
 
 
 def entropy_candidates(spark, d):
-    files = table(spark, d, "files").select("file_id", "content").filter("content is not null").distinct()
-    found = _long(files, "file_id", sp.entropy_spans(F.col("content"), 4.5, 12, None))
-    return found.select("file_id", "start_pos", "matched", F.round(tx.entropy(F.col("matched")), 6).alias("entropy"))
+    files = table(spark, d, "files").select("file_id", "content").filter("content is not null")
+    found = exploded(files, sp.entropy_hits(F.col("content"), 4.5, 12), "s", "file_id")
+    return found.select("file_id", "s.start_pos", "s.matched", F.round("s.entropy", 6).alias("entropy")).distinct()
 
 
 def normalize_nfc_strip(spark, d):
@@ -271,10 +271,10 @@ ORACLE = {
     "regex_match_count": f"SELECT request_id, CAST(len(regexp_extract_all(content, '(?i){packs.EMAIL}')) AS INTEGER) AS n_matches FROM {_REQUESTS} WHERE regexp_matches(content, '(?i){packs.EMAIL}')",
     "regex_spans": _sql_spans(_REQUESTS, "request_id", "content", "(?i)" + packs.EMAIL, None),
     "keyword_spans": _sql_spans(_DOCS, "doc_id", "text", "(?i)policy", 10),
-    "entropy_candidates": f"""WITH s AS ({_sql_spans("(SELECT DISTINCT file_id, content FROM files WHERE content IS NOT NULL)", 'file_id', 'content', sp.ENTROPY_RUN, None)}),
+    "entropy_candidates": f"""WITH s AS ({_sql_spans("(SELECT DISTINCT file_id, content FROM files WHERE content IS NOT NULL)", 'file_id', 'content', sp.ENTROPY_RUN, None).replace("left(ms[i], 500)", "ms[i]")}),
         c AS (SELECT file_id, start_pos, matched, length(matched) AS n, list_distinct(string_split(matched, '')) AS k, string_split(matched, '') AS a FROM s WHERE end_pos - start_pos >= 12),
         e AS (SELECT file_id, start_pos, matched, len(k) AS kinds, -list_sum(list_transform(k, lambda x: (len(list_filter(a, lambda y: y = x)) / n) * log2(len(list_filter(a, lambda y: y = x)) / n))) AS h FROM c)
-        SELECT file_id, start_pos, matched, round(h, 6) AS entropy FROM e WHERE kinds >= 3 AND h >= 4.5""",
+        SELECT DISTINCT file_id, start_pos, left(matched, 500) AS matched, round(h, 6) AS entropy FROM e WHERE kinds >= 3 AND h >= 4.5""",
     "normalize_nfc_strip": f"SELECT request_id, md5({_NORMAL_SQL}) AS normal FROM {_REQUESTS}",
     "luhn_cards": f"WITH s AS ({_sql_spans(_REQUESTS, 'request_id', 'content', _CARDS, None)}), t AS (SELECT request_id, matched, regexp_replace(matched, '[^0-9]', '', 'g') AS n FROM s) SELECT DISTINCT request_id, matched, {_LUHN_SQL} AS valid FROM t",
     "card_network": f"WITH s AS ({_sql_spans(_REQUESTS, 'request_id', 'content', _CARDS, None)}), u AS (SELECT DISTINCT regexp_replace(matched, '[^0-9]', '', 'g') AS r FROM s), t AS (SELECT r || CAST(k AS VARCHAR) AS n FROM u, range(10) g(k) WHERE length(r) BETWEEN 12 AND 18) SELECT n AS number, {_NETWORK_SQL} AS network FROM t WHERE {_LUHN_SQL} AND {_NETWORK_SQL} IS NOT NULL",

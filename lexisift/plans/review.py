@@ -76,7 +76,13 @@ def fast_rules(spark, d):
 
 
 def _files(spark, d):
-    return table(spark, d, "files").filter("content is not null and not coalesce(is_binary, false)").dropDuplicates(["file_id"])
+    """Files with text. Repeated rows are kept: their results are made one, which spares a shuffle of texts."""
+    return table(spark, d, "files").filter("content is not null and not coalesce(is_binary, false)")
+
+
+def _rows(files):
+    """Files with a number for the row, for what orders the lines of one row."""
+    return files.withColumn("_row", F.monotonically_increasing_id())
 
 
 def scan_admitted(spark, d):
@@ -96,7 +102,7 @@ def scan_findings(spark, d):
 def scan_commands(spark, d):
     """One of the scan's probes, which SQL can follow."""
     found = scanner.scan(_files(spark, d), probes=[p for p in scanner.code_probes.PROBES if p.rule_id == "SEC-51" and "subprocess" in p.pattern])
-    return found.select("file_id", "rule_id", "line_number", "column_no", "matched_text")
+    return found.select("file_id", "rule_id", "line_number", "column_no", "matched_text").distinct()
 
 
 _DOCKER = [("IAC-01", "dockerfile", r"FROM:.*:latest", 0.7), ("IAC-01", "dockerfile", r"USER:\s*root", 0.8)]
@@ -104,26 +110,26 @@ _DOCKER = [("IAC-01", "dockerfile", r"FROM:.*:latest", 0.7), ("IAC-01", "dockerf
 
 def scan_dockerfile(spark, d):
     f = _files(spark, d).filter(F.lower("file_path").rlike(r"(^|/)dockerfile[^/]*$")).select("file_id", "content")
-    return scanner.config_hits(f, "content", _DOCKER, ["file_id"]).select("file_id", "rule_id", "start_pos", "end_pos", "matched")
+    return scanner.config_hits(_rows(f), "content", _DOCKER, ["file_id", "_row"]).select("file_id", "rule_id", "start_pos", "end_pos", "matched").distinct()
 
 
 def scan_keyvalue(spark, d):
     f = _files(spark, d).filter(F.col("file_path").rlike(r"\.(?:yaml|yml)$")).select("file_id", "content")
-    return scanner.config_hits(f, "content", [("SEC-37", "keyvalue", "replicas:^[1-3]$", 0.6)], ["file_id"]).select("file_id", "rule_id", "start_pos", "matched")
+    return scanner.config_hits(_rows(f), "content", [("SEC-37", "keyvalue", "replicas:^[1-3]$", 0.6)], ["file_id", "_row"]).select("file_id", "rule_id", "start_pos", "matched").distinct()
 
 
 def scan_yaml_paths(spark, d):
     f = _files(spark, d).filter(F.col("file_path").rlike(r"\.(?:yaml|yml)$")).select("file_id", "content")
-    return scanner.yaml_hits(f, "content", [("IAC-04", "label_0.replicas:^[1-9]$", 0.6), ("IAC-04", "policy_0.env.- name:MODE$", 0.5)], ["file_id"])
+    return scanner.yaml_hits(f, "content", [("IAC-04", "label_0.replicas:^[1-9]$", 0.6), ("IAC-04", "policy_0.env.- name:MODE$", 0.5)], ["file_id"]).distinct()
 
 
 def scan_null_dereference(spark, d):
-    return scanner.null_dereferences(_files(spark, d).select("file_id", "file_path", "content"), "file_path", "content", ["file_id"])
+    return scanner.null_dereferences(_rows(_files(spark, d).select("file_id", "file_path", "content")), "file_path", "content", ["file_id", "_row"]).drop("_row").distinct()
 
 
 def scan_structural(spark, d):
     f = _files(spark, d).select("file_id", F.explode(scanner.structural_hits(F.col("file_path"), F.col("content"))).alias("h"))
-    return f.select("file_id", "h.rule_id", "h.matched")
+    return f.select("file_id", "h.rule_id", "h.matched").distinct()
 
 
 def findings_dedupe(spark, d):
@@ -147,7 +153,7 @@ def incremental_manifest_diff(spark, d):
 
 def output_probe_hits(spark, d):
     f = probe(_files(spark, d).select("file_id", "content"), "content", output_probes.PROBES, adjust=True)
-    return exploded(f, "hits", "h", "file_id").select("file_id", "h.rule_id", "h.start_pos", "h.end_pos", "h.matched", "h.confidence")
+    return exploded(f, "hits", "h", "file_id").select("file_id", "h.rule_id", "h.start_pos", "h.end_pos", "h.matched", "h.confidence").distinct()
 
 
 def output_probe_summary(spark, d):
@@ -156,12 +162,12 @@ def output_probe_summary(spark, d):
 
 def language_detect(spark, d):
     f = analyzers.detect_language(_files(spark, d).select("file_id", "content"), "content")
-    return f.select("file_id", "detected.language", "detected.confidence")
+    return f.select("file_id", "detected.language", "detected.confidence").distinct()
 
 
 def data_flow_taint(spark, d):
     f = analyzers.data_flow(_files(spark, d).select("file_id", "content", F.lower("language").alias("language")), "content", "language")
-    return exploded(f, "flows", "x", "file_id").select("file_id", "x.sink", "x.position", "x.flow", "x.confidence")
+    return exploded(f, "flows", "x", "file_id").select("file_id", "x.sink", "x.position", "x.flow", "x.confidence").distinct()
 
 
 def code_blocks(spark, d):
