@@ -36,22 +36,22 @@ NAME_FRAMES = {
     Please call {n} before |Please forward this to {n} today|Ask {n} about |Contact: {n}|contact {n} for details|assigned to {n}|assignee={n}|owner: {n}|Reviewed by {n} on |cc {n}, who |spoke with {n} yesterday|
     {n} approved |{n} said that |{n} has left |{n} will join |{n}, who runs |{n} wrote: |a letter from {n} arrived|a reply to {n}.|the account of {n} was |belongs to {n}, not |filed by {n} last week|reported by {n}.|
     interview with {n} about |In the meeting {n} said |paragraph about {n} from |photo of {n} taken|born as {n} in |the patient {n} was |our customer {n} wants|employee: {n};|name: {n}\n|Author: {n}\n|for {n} and her |"{n}" <|({n}) |
-    according to {n}, the |met {n} at the |saw {n} in |with {n} until |Would {n} mind |nobody but {n} can |went to {n} for |her brother {n} is |our neighbour {n} has |taken by {n}, |owes {n} a |invited {n} to |{n}'s laptop |sent by {n} at |on behalf of {n}, I|the tenant {n} moved|Attn: {n}|husband of {n}, |{n} lives in |{n} (born 19|by {n}""",
+    according to {n}, the |met {n} at the |invited {n} to |{n}'s laptop |sent by {n} at |on behalf of {n}, I|the tenant {n} moved|Attn: {n}|husband of {n}, |{n} lives in |{n} (born 19|by {n}""",
     "de": """Hallo {n}, |Liebe {n}, |Lieber {n}, |Sehr geehrter {n}, |Mein Name ist {n} und |Ich heiße {n} und |Ich bin {n}, |Gezeichnet {n}|Mit freundlichen Grüßen {n}|Viele Grüße {n}|Laut {n} war |Nach Aussage von {n} ist |
     Bitte {n} anrufen|eine Antwort an {n}.|Beschwerde kam von {n}.|ein Brief von {n} |{n} hat die |{n} sagte, |{n} wohnt in |{n} arbeitet |Ansprechpartner: {n}|zuständig ist {n}, |unsere Kundin {n} möchte|der Patient {n} wurde|
-    im Gespräch mit {n} |das Konto von {n} |genehmigt durch {n} am |Verfasser: {n}\n|vertreten durch {n}, |für {n} und |geprüft: {n}|Unterschrift {n}|mein Bruder {n} ist |rief {n} an|nahm {n} mit|traf {n} im |die Lehrerin {n} kommt""",
+    im Gespräch mit {n} |das Konto von {n} |genehmigt durch {n} am |Verfasser: {n}\n|vertreten durch {n}, |für {n} und |geprüft: {n}|Unterschrift {n}""",
     "fr": """Bonjour {n}, |Cher {n}, |Chère {n}, |Je m’appelle {n} et |Je suis {n}, |Signé : {n}|Cordialement, {n}|Bien à vous, {n}|Selon {n}, le |D’après {n}, |une réponse à {n}.|plainte vient de {n}.|une lettre de {n} |
     {n} a validé |{n} a dit que |{n} habite à |{n} travaille |Appelez {n} avant |le compte de {n} |le dossier de {n} |transmis par {n} hier|notre cliente {n} souhaite|le patient {n} a |auteur : {n}\n|responsable : {n};|avec {n} et |
-    l’entretien avec {n} |au nom de {n}, |pour {n}, qui |invité {n} à|mon frère {n} est |vu {n} en |croisé {n} devant |le professeur {n} vient""",
+    l’entretien avec {n} |au nom de {n}, |pour {n}, qui |invité {n} à""",
     "es": """Hola {n}, |Estimado {n}: |Estimada {n}, |Me llamo {n} y |Soy {n}, |Mi nombre es {n} y |Firmado: {n}|Atentamente, {n}|Saludos, {n}|Según {n}, el |De acuerdo con {n}, |respuesta para {n}.|queja la presentó {n}.|
     una carta de {n} |{n} aprobó |{n} dijo que |{n} vive en |{n} trabaja |Llame a {n} antes|la cuenta de {n} |el expediente de {n} |enviado por {n} ayer|nuestra clienta {n} quiere|el paciente {n} fue|autor: {n}\n|responsable: {n};|
-    con {n} y |la reunión con {n} |en nombre de {n}, |para {n}, que |invitó a {n} a|mi hermano {n} es |vi a {n} en |hablé con {n} de|la maestra {n} viene""",
+    con {n} y |la reunión con {n} |en nombre de {n}, |para {n}, que |invitó a {n} a""",
 }
 ITEM_FRAMES = {
-    "email": "Write to {x}.|Both {x} and |found under {x} most|sent to {x}, which|die Adresse {x} ist|la dirección {x} no|l’adresse {x} est|e-mail: {x}|mail {x} for help|Contact : {x}|{x} |reply-to {x},|Schreib an {x} bitte|écrivez à {x} avant|escribe a {x} cuanto antes|<{x}>|user={x};|my address is {x} and|({x})|login {x}\n".split("|"),
-    "phone": "call {x} after|the desk answers on {x} at|left {x} on the note|line {x} is dead|die Nummer {x} ist|el número {x} no|le numéro {x} est|Tel. {x}|phone: {x}|ring {x} today|mobile {x},|Rückruf unter {x} bitte|unter {x} erreichbar|appelez le {x} avant|au {x}.|llame al {x} antes|teléfono {x}|tel:{x}|({x}) |fax {x}\n".split("|"),
-    "id_number": "SSN {x} was|the form says {x} in|card {x} is lost|steht {x} auf|figura {x} en|porte {x} sur|copied {x} by hand|my number is {x}.|passport no. {x}|NI number {x},|Steuer-ID {x} |Ausweisnummer {x}|DNI {x} sin|NIE {x},|numéro de sécurité sociale {x} en|pasaporte {x}|id: {x};|({x})|{x} was printed|Nummer {x} steht".split("|"),
-    "address": "I live at {x}.|the shop at {x} is|goes to {x} next|met at {x} after|das Haus {x} ist|la maison du {x} est|la casa de {x} es|la boutique du {x} est|deliver to {x} please|moved to {x} in|address: {x}|Ich wohne {x} und|Lieferung an {x}, bitte|J’habite {x}, |livrer au {x}|Vivo en {x} y|enviar a {x}.|({x})|{x}\n|parcel for {x} came".split("|"),
+    "email": "Write to {x}.|e-mail: {x}|mail {x} for help|Contact : {x}|{x} |reply-to {x},|Schreib an {x} bitte|écrivez à {x} avant|escribe a {x} cuanto antes|<{x}>|user={x};|my address is {x} and|({x})|login {x}\n".split("|"),
+    "phone": "call {x} after|Tel. {x}|phone: {x}|ring {x} today|mobile {x},|Rückruf unter {x} bitte|unter {x} erreichbar|appelez le {x} avant|au {x}.|llame al {x} antes|teléfono {x}|tel:{x}|({x}) |fax {x}\n".split("|"),
+    "id_number": "SSN {x} was|my number is {x}.|passport no. {x}|NI number {x},|Steuer-ID {x} |Ausweisnummer {x}|DNI {x} sin|NIE {x},|numéro de sécurité sociale {x} en|pasaporte {x}|id: {x};|({x})|{x} was printed|Nummer {x} steht".split("|"),
+    "address": "I live at {x}.|deliver to {x} please|moved to {x} in|address: {x}|Ich wohne {x} und|Lieferung an {x}, bitte|J’habite {x}, |livrer au {x}|Vivo en {x} y|enviar a {x}.|({x})|{x}\n|parcel for {x} came".split("|"),
 }
 _NOT = """Maple Street cluster|port {d}{d}{d}{d} on {W} Street cluster|Jenkins and Victoria Metrics|Apache Kafka|Grafana Loki|Spring Boot|Visual Studio Code|Amazon Web Services|Baker notation, page {d}{d}|the Review Board|Security Team|Monday morning|New Zealand|
 build {d}{d}{d}-{d}{d}-{d}{d}{d}{d} failed|number {d}{d}{d}{d}-{d}{d}-{d}{d}{d} is out of stock|INV-20{d}{d}-{d}{d}{d}{d}{d}{d}|version {d}.{d}{d}.{d}|from 10.{d}.{d}{d}{d}.{d}{d}|192.0.2.{d}{d} answered|20{d}{d}-0{d}-1{d} took {d}{d}{d}{d}{d}{d}{d} milliseconds|
@@ -60,19 +60,6 @@ Lote {d}{d}-{d}{d}-{d}{d} falló|Artikel {d}{d} der Richtlinie|article {d}{d} du
 according to Release Notes, the|Contact: Service Desk|owner: Platform Team|assigned to Data Platform|approved by the Audit Committee|{W} {W2} Framework|{W} Pipeline|Python and Java|Windows Server 20{d}{d}|{W} Road cluster|Berlin Mitte|Port {d}{d}{d}{d}|San Francisco|Buenos Aires|Saint-Oriel|
 Bad Lindern|Le Monde|Black Friday|General Terms|Pull Request|Kubernetes Ingress|Prometheus Alertmanager|Log4j Shell|room {d}{d}{d}|line {d}{d}{d}{d}, column {d}{d}|flight {d}{d}{d}{d}|seed={d}{d}{d}{d}{d}{d}{d}{d}|0x{d}{d}{d}f|{d}{d}{d}{d}{d}{d}{d} rows|{d}{d}:{d}{d}:{d}{d}|
 Project {W}|{W} Service|the {W} Gateway|{W} {W2} Inc.|Universal Windows Platform|Quality Gate|Die Freigabegruppe|Unser Prüfdienst|das Berichtswesen|Le contrôle d’entrée|El equipo de políticas""".replace("\n", "").split("|")
-#: Ordinary words, for sentences without items.
-WORDS = {
-    "en": """the a of and to in on for with from by at our your their this that these those some every old new small large green quiet early late piano garden window river bakery meeting report dinner letter train station market shop teacher doctor neighbour cousin
-    lawyer council school paper table morning evening winter summer festival ticket bridge kitchen goes stands runs closed opened moved sold bought found lost kept wrote read asked answered waited stayed left arrived began ended never always often soon again today tomorrow yesterday box card form
-    number street house boat music water coffee price weather team project budget deadline server database release customer invoice""",
-    "de": """der die das ein eine und mit von zu im am auf für bei nach über unter vor alle manche jeder Bericht Garten Fenster Fluss Bäckerei Sitzung Brief Zug Bahnhof Markt Laden Lehrer Ärztin Nachbar Formular Kartei Papier Tisch Morgen Abend Winter Sommer Brücke Küche Haus Boot Musik Wasser Kaffee
-    Preis Wetter Projekt Frist Rechnung Kunde steht geht kommt bleibt fand verlor schrieb las fragte wartete kam begann endete immer oft bald wieder heute gestern ganz oben leise klein groß neu alt grün früh spät""",
-    "fr": """le la les un une des et avec de du dans sur pour chez après avant tous chaque petit grand neuf vieux vert tôt tard jardin fenêtre rivière boulangerie réunion lettre train gare marché boutique maison professeur médecin voisin formulaire papier table matin soir hiver été pont cuisine bateau musique eau
-    café prix temps projet délai facture client reste va vient ferme ouvre trouve perd écrit lit demande attend arrive commence finit toujours souvent bientôt encore hier demain""",
-    "es": """el la los las un una y con de del en por para tras antes todos cada pequeño grande nuevo viejo verde temprano tarde jardín ventana río panadería reunión carta tren estación mercado tienda casa maestro médica vecino impreso papel mesa mañana noche invierno verano puente cocina barco música agua café
-    precio tiempo proyecto plazo factura cliente queda va viene cierra abre encuentra pierde escribe lee pregunta espera llega empieza termina siempre pronto otra vez ayer hoy arriba""",
-}
-_WORDS = [v.split() for v in WORDS.values()]
 _W = "Orion Atlas Nimbus Falcon Delta Aurora Vertex Quartz Ember Cobalt Harbor Cedar Maple Linden Summit Beacon Pioneer Horizon".split()
 _DOMAINS = "example.com example.org example.net mail.example.com firma.example web.test acme.example post.example.de correo.example.es".split()
 
@@ -178,15 +165,6 @@ TOWNS = "Neuhafen|Bad Lindern|Oberwalde|Saint-Oriel|Villaverde|Portcombe|Norwick
 MAKERS = {"email": email, "phone": phone, "id_number": id_number, "address": address}
 
 
-def words(r: random.Random) -> str:
-    """Ordinary words of one language, as in a sentence or a part of one."""
-    own = r.choice(_WORDS)
-    out = " ".join(r.choice(own) for _ in range(r.randrange(2, 10)))
-    if r.random() < 0.5:
-        out = out[0].upper() + out[1:]
-    return out + r.choice(("", "", ".", ",", "?"))
-
-
 def piece(r: random.Random, names: float = 0.45) -> tuple[str, list[tuple[int, int, str]]]:
     """A sentence with one item, or one without that looks as if it had one."""
     k = r.random()

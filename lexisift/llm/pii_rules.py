@@ -65,6 +65,9 @@ ADDRESS = re.compile(
     re.I | re.U,
 )
 
+#: The word before the number at the end.
+_NUMBERED = re.compile(r"([^\W\d_][\w’'.-]*),?\s+(?:n\S*\s?)?\d{1,4} ?[a-zA-Z]?$")
+
 _W = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Sir|Herrn?|Frau|Fräulein|Monsieur|Madame|Mademoiselle|M|Mme|Mlle|Me|Don|Doña|Señora|Señorita|Señor|Sra|Sr|Srta)"
 NAME_SHAPE = re.compile(
@@ -80,7 +83,8 @@ NOT_NAME = frozenset(
     docker kubernetes grafana prometheus python java javascript django flask apache spark server studio code hub cloud index
     tree search service api sort hash filter code cache test suite manager system engine machine drive framework library
     le la les des une un der die das ein eine und el los las del una que para con por sin est und oder wird
-    hat war is are a à y et de du an von zu im in on at to by of""".split()
+    hat war is are a à y et de du an von zu im in on at to by of auf dem den mit bei nach vor für über unter sich ich sie er wir nicht oder aber
+    steht geht kommt wird goes went was were has have had pour dans sur avec est ont fue son está están entre sobre""".split()
 )
 
 
@@ -138,7 +142,9 @@ def exact(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str
                 put(m.start(), m.end(), "email")
     if "address" in kinds:
         for m in ADDRESS.finditer(text):
-            put(m.start(), m.end(), "address")
+            before = _NUMBERED.search(m[0])  # a street has a capital, unless nothing around has
+            if not before or before[1][0].isupper() or not any(c.isupper() for c in m[0]):
+                put(m.start(), m.end(), "address")
     if "id_number" in kinds:
         for m in ID_NUMBER.finditer(text):
             if not _NOT_ID_BEFORE.search(text[max(0, m.start() - 20) : m.start()]) and any(c.isdigit() for c in m[0]):

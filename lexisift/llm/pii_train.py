@@ -100,13 +100,10 @@ def windows(texts: list[str]):
                 x, y, kind = own[0]
                 lo, hi = max(0, x - r.choice((0, 0, 0, 6, 12))), min(len(text), y + r.choice((0, 0, 0, 1, 5)))
                 text, own = text[lo:hi], [(x - lo, y - lo, kind)]
-            if r.random() < 0.7:
-                if r.random() < 0.2:
-                    around = frames.words(r)
-                else:
-                    words = r.choice(none)[0].split(" ")
-                    k = r.randrange(len(words))
-                    around = " ".join(words[k : k + r.randrange(1, 8)])
+            if r.random() < 0.6:
+                words = r.choice(none)[0].split(" ")
+                k = r.randrange(len(words))
+                around = " ".join(words[k : k + r.randrange(1, 8)])
                 text, own = (around + " " + text, [(x + len(around) + 1, y + len(around) + 1, s) for x, y, s in own]) if r.random() < 0.5 else (text + " " + around, own)
             if out:
                 out.append(r.choice((" ", " ", "\n", ". ")))
@@ -155,7 +152,7 @@ def windows(texts: list[str]):
     return make
 
 
-def main(source: str, target: str, steps: int = 14000, hidden: int = 24, workers: int = 6) -> None:
+def main(source: str, target: str, steps: int = 9000, hidden: int = 24, workers: int = 6) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(source, columns=["content"])["content"].to_pylist() if t]
