@@ -35,6 +35,8 @@ class Probe:
     follows: str = ""  # with {0} for what the first group captured
     not_ending: tuple[str, ...] = ()
     longer: int = 0  # characters added to the hit's end
+    paths: str = ""  # a path without this is passed over
+    needs: tuple[str, ...] = ()  # words of which the text, in lower case, must hold one
     plain: bool = False  # confidence as it is, whatever is around
 
 
@@ -65,16 +67,17 @@ def _compiled(probes: tuple[Probe, ...]) -> list[tuple]:
             rx = re.compile(p.pattern, re.M | (re.I if p.ignore_case else 0))
         except re.error:
             continue  # a pattern that no engine takes never fires
-        out.append((p, rx, p.unless and re.compile(p.unless), p.nowhere and re.compile(p.nowhere), p.wanted and re.compile(p.wanted, re.I)))
+        out.append((p, rx, p.unless and re.compile(p.unless), p.nowhere and re.compile(p.nowhere), p.wanted and re.compile(p.wanted, re.I), p.paths and re.compile(p.paths)))
     return out
 
 
-def run(text: str | None, extension: str | None, probes: tuple[Probe, ...], adjust: bool) -> list[tuple]:
+def run(text: str | None, extension: str | None, probes: tuple[Probe, ...], adjust: bool, path: str = "") -> list[tuple]:
     if text is None:
         return []
     hits = []
-    for p, rx, unless, nowhere, wanted in _compiled(probes):
-        if p.extensions and extension not in p.extensions:
+    lower = text.lower()
+    for p, rx, unless, nowhere, wanted, paths in _compiled(probes):
+        if p.extensions and extension not in p.extensions or paths and not paths.search(path) or p.needs and not any(w in lower for w in p.needs):
             continue
         found = list(rx.finditer(text))
         if not found or (wanted and not wanted.search(text)) or (nowhere and nowhere.search(text)):
@@ -101,7 +104,7 @@ def probe(df: DataFrame, text: str, probes: list[Probe], extension: str | None =
 
     def series(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, exts, paths in batches:
-            yield pd.Series([run(t, e, pack, adjust) + (more(t, p or "") if more and t is not None else []) for t, e, p in zip(texts, exts, paths)])
+            yield pd.Series([run(t, e, pack, adjust, p or "") + (more(t, p or "") if more and t is not None else []) for t, e, p in zip(texts, exts, paths)])
 
     series.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     e, p = (F.col(c) if c else F.lit("") for c in (extension, path))

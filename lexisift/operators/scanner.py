@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexisift.functions.rows import exploded
 from lexisift.functions.text import column_of, line_of
 
-from . import code_probes
+from . import code_pack, code_probes
 from .probes import HITS, Probe, probe
 from .spans import java
 
@@ -284,7 +284,7 @@ def scan(files: DataFrame, path: str = "file_path", text: str = "content", key:
     and column. Line and column are found in the row of the file; its text isn't carried along with the findings."""
     e = files.filter(F.col(text).isNotNull()).withColumn("_ext", extension(F.col(path)))
     every_check = probes is None
-    hit = probe(e, text, code_probes.PROBES if every_check else probes, "_ext", path=path, more=special_hits if every_check else None)
+    hit = probe(e, text, [*code_probes.PROBES, *code_pack.PROBES] if every_check else probes, "_ext", path=path, more=special_hits if every_check else None)
     every = F.concat("hits", structural_hits(F.col(path), F.col(text))) if every_check else F.col("hits")
     placed = F.transform("_every", lambda h: F.struct(h.alias("h"), line_of(F.col(text), h["start_pos"]).alias("line"), column_of(F.col(text), h["start_pos"]).alias("column")))
     rows = exploded(hit.withColumn("_every", every).withColumn("_placed", placed), "_placed", "k", key, F.col(path).alias("file_path"), position="_no")
@@ -292,7 +292,7 @@ def scan(files: DataFrame, path: str = "file_path", text: str = "content", key:
     first = Window.partitionBy(key, "file_path", "k.h.rule_id", "k.h.start_pos", "k.h.end_pos").orderBy("_no")
     rows = rows.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1")
     h = F.col("k.h")
-    names = F.create_map(*[F.lit(x) for kv in (code_probes.NAMES | {"IAC-18": "Health check missing", "IAC-19": "Network of a function missing", "IAC-20": "Network policy missing", "IAC-21": "Security context missing"}).items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in (code_pack.NAMES | code_probes.NAMES | {"IAC-18": "Health check missing", "IAC-19": "Network of a function missing", "IAC-20": "Network policy missing", "IAC-21": "Security context missing"}).items() for x in kv])
     name = F.coalesce(names[h["rule_id"]], h["rule_id"])
     message = F.concat(F.lit("["), h["rule_id"], F.lit("] "), name, F.lit(": "), F.substring(h["matched"], 1, 80))
     return rows.select(

@@ -106,6 +106,8 @@ FINDINGS = [
     ('multiplied', 'SEC-53', 1, 5, 0.5),
     ('password_insert', 'SEC-55', 1, 1, 0.55),
     ('password_assigned', 'SEC-55', 1, 1, 0.5),
+    ('password_assigned', 'SEC-02', 1, 1, 0.6),
+    ('password_bcrypt', 'SEC-02', 2, 1, 0.6),
     ('policy', 'SEC-56', 1, 1, 0.65),
     ('audit', 'SEC-57', 1, 1, 0.5),
     ('grant', 'SEC-57', 1, 1, 0.55),
