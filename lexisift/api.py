@@ -116,6 +116,16 @@ class Engine:
         """How often each rule fired, the most frequent first."""
         return exploded(judged, results, "r").groupBy("r.rule_id").agg(F.count("*").alias("n_triggered"), F.sum(F.size("r.spans")).alias("n_matches")).orderBy(F.desc("n_triggered"), "rule_id").limit(top)
 
+    @staticmethod
+    def timed(call: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+        """What a call gives, written out to nowhere, and the seconds that took."""
+        import time
+
+        began = time.perf_counter()
+        df = call()
+        df.write.format("noop").mode("overwrite").save()
+        return df, time.perf_counter() - began
+
     # code review
 
     def review_code(self, spark: SparkSession, source: str | DataFrame, manifest: DataFrame | None = None) -> DataFrame:

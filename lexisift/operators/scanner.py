@@ -61,13 +61,29 @@ def targeted(path: Column, globs: list[str]) -> Column:
     return F.lit(True) if not globs else path.rlike("|".join(f"(?:{glob_pattern(g)})" for g in globs))
 
 
+def decoded(c: Column) -> Column:
+    """The text of bytes: by their byte order mark, else UTF-8, else the western single-byte encoding where the bytes are no UTF-8
+    but have no control characters either; else UTF-8 with what is malformed replaced."""
+    plain = c.cast("string")
+    valid = F.call_function("is_valid_utf8", plain)
+    head = F.hex(F.substring(c, 1, 3))
+    western = F.decode(c, "iso-8859-1")
+    return (
+        F.when(head == "EFBBBF", F.call_function("make_valid_utf8", F.substring(c, F.lit(4), F.length(c)).cast("string")))
+        .when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(c, "UTF-16"))
+        .when(valid, plain)
+        .when(~western.rlike(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]"), western)
+        .otherwise(F.call_function("make_valid_utf8", plain))
+    )
+
+
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, content, length, modified) of the files below a folder; bytes that aren't UTF-8 are replaced."""
+    """(file_path, content, length, modified) of the files below a folder, decoded."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E/")), F.lit(""))
     files = raw.select(path.alias("file_path"), "content", "length", F.col("modificationTime").alias("modified"))
-    return files.filter(admitted(F.col("file_path"), F.col("length"))).withColumn("content", F.call_function("make_valid_utf8", F.col("content").cast("string")))
+    return files.filter(admitted(F.col("file_path"), F.col("length"))).withColumn("content", decoded(F.col("content")))
 
 
 def fingerprint(path: Column, modified: Column, size: Column, content: Column) -> Column:

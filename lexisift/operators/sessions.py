@@ -42,3 +42,15 @@ def idle(df: DataFrame, session: str, time: str, now: Column, hours: float = 24)
     """Sessions whose last activity lies more than hours before now."""
     last = df.filter(F.col(session).isNotNull()).groupBy(session).agg(F.max(time).alias("last_activity"), F.count("*").alias("n_messages"))
     return last.filter(F.col("last_activity") < now - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def states(tracked: DataFrame, session: str) -> DataFrame:
+    """The last state of each session of ``track``: messages, score, pollution."""
+    return tracked.groupBy(session).agg(F.max("history_count").alias("history_count"), F.max("score").alias("score"), F.max("is_polluted").alias("is_polluted"))
+
+
+def since_reset(df: DataFrame, resets: DataFrame, session: str, time: str) -> DataFrame:
+    """df without what came before its session's last reset. resets: (session, reset_at); a session without one stays whole."""
+    last = resets.filter(F.col(session).isNotNull()).groupBy(session).agg(F.max("reset_at").alias("reset_at"))
+    joined = df.join(last, session, "left")
+    return joined.filter(F.col("reset_at").isNull() | (F.col(time) >= F.col("reset_at"))).drop("reset_at")

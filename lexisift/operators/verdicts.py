@@ -112,15 +112,27 @@ def apply_action(action: str, c: Column, spans: Column, blocked: Column, suspici
     raise ValueError(f"unknown action {action}")
 
 
-def evidence(df: DataFrame, key: str, text: str, results: str = "results", width: int = 200) -> DataFrame:
-    """Why each rule fired: one row per match with what stands before and behind it, and one per link between fired rules."""
-    m = exploded(exploded(df, results, "r", key, F.col(text).alias("_text")), "r.spans", "s", key, "_text", F.col("r.rule_id").alias("rule_id"), F.col("r.severity").alias("severity"))
-    before, after = surrounding(F.col("_text"), F.col("s.start_pos"), F.col("s.end_pos"), width)
-    lexical = m.select(key, "rule_id", "severity", F.lit("lexical").alias("source_layer"), F.substring("s.matched", 1, 200).alias("matching_text"), before.alias("text_before"), after.alias("text_after"))
+def evidence(df: DataFrame, key: str, text: str, results: str = "results", width: int = 200, language: str | None = None) -> DataFrame:
+    """Why each rule fired: one row per match with what stands before and behind it, one per link between fired rules and, with
+    a column of the detected language, one per fired rule that names it. The surroundings are cut out within the row."""
+    c = F.col(text)
+
+    def matches(r: Column) -> Column:
+        def one(s: Column) -> Column:
+            before, after = surrounding(c, s["start_pos"], s["end_pos"], width)
+            return F.struct(r["rule_id"].alias("rule_id"), r["severity"].alias("severity"), F.substring(s["matched"], 1, 200).alias("matching_text"), before.alias("text_before"), after.alias("text_after"))
+
+        return F.transform(r["spans"], one)
+
+    m = exploded(df, F.flatten(F.transform(results, matches)), "m", key)
+    out = m.select(key, "m.rule_id", "m.severity", F.lit("lexical").alias("source_layer"), "m.matching_text", "m.text_before", "m.text_after")
+    if language:
+        fired = exploded(df.filter(F.col(language).isNotNull()), results, "r", key, F.col(language).alias("_language"))
+        out = out.unionByName(fired.select(key, "r.rule_id", "r.severity", F.lit("syntactic").alias("source_layer"), F.col("_language").alias("matching_text"), F.lit("").alias("text_before"), F.lit("").alias("text_after")))
     if "links" not in df.columns:
-        return lexical
+        return out
     linked = exploded(df, "links", "k", key).select(key, "k.rule_id", F.lit(None).cast("string").alias("severity"), F.lit("correlation").alias("source_layer"), F.col("k.linked").alias("matching_text"), F.lit("").alias("text_before"), F.lit("").alias("text_after"))
-    return lexical.unionByName(linked)
+    return out.unionByName(linked)
 
 
 def audit_events(df: DataFrame, key: str, stage: str, results: str = "results", context: tuple[str, ...] = ()) -> DataFrame:

@@ -229,6 +229,13 @@ def evidence_rows(spark, d):
     return verdicts.evidence(_judged(spark, d), "doc_id", "text", width=30).groupBy("rule_id", "source_layer", F.lower("matching_text").alias("matching_text")).agg(F.count("*").alias("n"))
 
 
+def evidence_language(spark, d):
+    """Evidence with the language that the table names."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang").filter("text is not null").distinct()
+    df = verdicts.evidence(evaluate(docs, packs.PROSE, "text"), "doc_id", "text", width=30, language="lang")
+    return df.filter("source_layer = 'syntactic'").groupBy("rule_id", F.col("matching_text").alias("language")).agg(F.count("*").alias("n"))
+
+
 def rule_table_matches(spark, d):
     """The rules of the table, as compiled from it, over all documents."""
     found = matches(evaluate(_docs(spark, d), rules_from_table(table(spark, d, "rules")), "text"), "doc_id")
@@ -264,7 +271,7 @@ QUERIES = {
     for f in (
         regex_match_count, regex_spans, keyword_spans, entropy_candidates, normalize_nfc_strip, clean_text, luhn_cards, card_network, composite_and, composite_or, composite_not, composite_near,
         rule_any_first_pattern, rule_all_mode, rule_max_matches, rule_exclusions, rule_min_length, rule_max_length, language_filter_rule, verdict_per_doc, context_boost, link_rules, severity_reduction,
-        severity_histogram, top_triggered_rules, warnings_list, action_block_warn, redact_text, truncate_text, dynamic_action, surrounding_context, line_column, audit_event_rows, evidence_rows, rule_table_matches, rules_by_stage, severity_report,
+        severity_histogram, top_triggered_rules, warnings_list, action_block_warn, redact_text, truncate_text, dynamic_action, surrounding_context, line_column, audit_event_rows, evidence_rows, evidence_language, rule_table_matches, rules_by_stage, severity_report,
     )
 }
 ORACLE = {
@@ -315,6 +322,9 @@ ORACLE = {
     "evidence_rows": f"""WITH s AS (SELECT doc_id, 'O-21' AS rule_id, matched FROM ({_sql_spans(_DOCS, 'doc_id', 'text', '(?i)shell commands', 10)}) UNION ALL SELECT doc_id, 'O-22', matched FROM ({_sql_spans(_DOCS, 'doc_id', 'text', '(?i)certificate warning', 10)})
         UNION ALL SELECT doc_id, 'O-23', matched FROM ({_sql_spans(_DOCS, 'doc_id', 'text', '(?i)' + packs.CODE, 5)}) UNION ALL SELECT doc_id, 'O-24', matched FROM ({_sql_spans(_DOCS, 'doc_id', 'text', '(?i)session', 4)})),
         f AS ({_FIRED}) SELECT rule_id, 'lexical' AS source_layer, lower(matched) AS matching_text, count(*) AS n FROM s GROUP BY rule_id, lower(matched) UNION ALL SELECT 'O-23', 'correlation', 'o-22', count(*) FROM f WHERE c2 > 0 AND c3 > 0 HAVING count(*) > 0""",
+    "evidence_language": f"""WITH f AS (SELECT DISTINCT d.doc_id, d.lang, f.c1, f.c2, f.c3, f.c4 FROM documents d JOIN ({_FIRED}) f ON d.doc_id = f.doc_id WHERE d.lang IS NOT NULL AND d.text IS NOT NULL)
+        SELECT 'O-21' AS rule_id, lang AS language, count(*) AS n FROM f WHERE c1 > 0 GROUP BY lang UNION ALL SELECT 'O-22', lang, count(*) FROM f WHERE c2 > 0 GROUP BY lang UNION ALL SELECT 'O-23', lang, count(*) FROM f WHERE c3 > 0 GROUP BY lang
+        UNION ALL SELECT 'O-24', lang, count(*) FROM f WHERE c4 > 0 GROUP BY lang""",
     "rule_table_matches": f"""WITH r AS (SELECT rule_id, max_matches, lower(patterns[1].pattern) AS p FROM rules WHERE enabled),
         m AS (SELECT rule_id, doc_id, least(max_matches, CAST((length(text) - length(replace(lower(text), p, ''))) / length(p) AS INTEGER)) AS n FROM r, {_DOCS} WHERE contains(lower(text), p))
         SELECT rule_id, CAST(sum(n) AS BIGINT) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY rule_id""",

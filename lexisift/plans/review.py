@@ -33,6 +33,18 @@ def session_rules(spark, d):
     return exploded(_tracked(spark, d), "session_rules", "rule_id", "request_id")
 
 
+def session_states(spark, d):
+    return sessions.states(_tracked(spark, d), "session_id")
+
+
+def session_reset(spark, d):
+    """States of sessions that were reset at the middle of the year."""
+    m = _messages(spark, d)
+    resets = m.select("session_id", F.lit("2025-07-01 00:00:00").cast("timestamp").alias("reset_at")).distinct()
+    fired = evaluate(sessions.since_reset(m, resets, "session_id", "request_timestamp"), packs.SESSION, "content")
+    return sessions.states(sessions.track(fired, "session_id", ["request_timestamp", "request_id"], packs.WATCHERS), "session_id")
+
+
 def prune_sessions(spark, d):
     return sessions.idle(_messages(spark, d), "session_id", "request_timestamp", F.lit("2025-12-01 00:00:00").cast("timestamp"), 24 * 60).withColumn("last_activity", F.unix_micros("last_activity"))
 
@@ -232,7 +244,7 @@ _LINES = "SELECT file_id, no, line, CAST(coalesce(sum(length(line) + 1) OVER (PA
 QUERIES = {
     f.__name__: f
     for f in (
-        session_score, session_rules, prune_sessions, stream_cumulative_length, stream_assembled, boundary_line, boundary_paragraph, boundary_word, boundary_sentence, fast_rules, scan_admitted, scan_targets, scan_findings,
+        session_score, session_rules, session_states, session_reset, prune_sessions, stream_cumulative_length, stream_assembled, boundary_line, boundary_paragraph, boundary_word, boundary_sentence, fast_rules, scan_admitted, scan_targets, scan_findings,
         scan_commands, scan_dockerfile, scan_keyvalue, scan_yaml_paths, scan_null_dereference, scan_structural, findings_dedupe, findings_by_severity, incremental_manifest_diff, output_probe_hits, output_probe_summary,
         language_detect, data_flow_taint, code_blocks, code_block_merge, domain_reputation, package_registry, cve_lookup,
     )
@@ -240,6 +252,8 @@ QUERIES = {
 ORACLE = {
     "session_score": f"{_TRACK} SELECT request_id, session_id, CAST(history_count AS INTEGER) AS history_count, CAST(score - points AS BIGINT) AS score_before, CAST(score AS BIGINT) AS score, score > 50 AS is_polluted FROM t",
     "session_rules": f"{_TRACK} SELECT request_id, 'B-47' AS rule_id FROM t WHERE score >= 15 UNION ALL SELECT request_id, 'B-42' FROM t WHERE score > 50 AND seen",
+    "session_states": f"{_TRACK} SELECT session_id, CAST(count(*) AS INTEGER) AS history_count, CAST(max(score) AS BIGINT) AS score, max(score) > 50 AS is_polluted FROM t GROUP BY session_id",
+    "session_reset": _TRACK.replace(f"FROM {_M})", f"FROM {_M} WHERE request_timestamp >= TIMESTAMPTZ '2025-07-01 00:00:00+00')") + " SELECT session_id, CAST(count(*) AS INTEGER) AS history_count, CAST(max(score) AS BIGINT) AS score, max(score) > 50 AS is_polluted FROM t GROUP BY session_id",
     "prune_sessions": f"SELECT session_id, epoch_us(max(request_timestamp)) AS last_activity, count(*) AS n_messages FROM {_M} GROUP BY session_id HAVING max(request_timestamp) < TIMESTAMPTZ '2025-12-01 00:00:00+00' - INTERVAL 1440 HOURS",
     "stream_cumulative_length": f"SELECT request_id, session_id, CAST(sum(length(content)) OVER w AS BIGINT) AS cumulative_length, sum(length(content)) OVER w > 2000 AS over_limit FROM {_M} WINDOW w AS (PARTITION BY session_id ORDER BY request_timestamp, request_id ROWS UNBOUNDED PRECEDING)",
     "stream_assembled": f"SELECT session_id, md5(string_agg(content, '' ORDER BY request_timestamp, request_id)) AS content_md5 FROM {_M} GROUP BY session_id",
