@@ -38,6 +38,7 @@ MAX_COMMON_WORDS = 10_000
 _WORD = r"[\p{L}]+"
 _SYMBOL = r"[(){}<>=/\\|_*#@&%$^~`+\[\]│•>«»\"]"
 _MARK = r"^\s*(?:[-*•–▪◦·+>]|\(?[0-9ivxIVX]{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]\]|[|│<{}#\[])"
+_ENDED = r"[.!?:…][\"”»’')]*\s*$"
 #: A long line that doesn't end a sentence goes on in the next one.
 _WRAP = r"(?m)^([^\r\n]{48,}[^\r\n.!?:;…|│>}{,\]])\r?\n(?=[\p{L}(«\"“])"
 
@@ -57,28 +58,27 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
         raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
     langs = sorted({lang for lang, _ in words})
     union = sorted({w for _, w in words})
-    listed = F.array(*map(F.lit, union)) if union else F.array().cast("array<string>")
     t = F.col("t")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("key is not null").filter(t.rlike(r"\S"))
     rows = rows.withColumn("joined", F.regexp_replace("t", _WRAP, "$1 "))
     whole = F.filter(F.split("joined", r"\r?\n"), lambda x: x.rlike(r"\S"))
-    # the words of each line are found once and looked up by several conditions
-    rows = rows.withColumn("lines", F.transform(whole, lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0)).alias("w"))))
-    rows = rows.withColumn("words", F.flatten(F.transform("lines", lambda r: r["w"])))
+    # what several statistics need of a line is made once: its words, the common ones, how it begins and ends
+    rows = rows.withColumn("lines", F.transform(whole, lambda x: F.struct(x.alias("x"), F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0)).alias("w"), x.rlike(_ENDED).alias("ended"), x.rlike(_MARK).alias("marked"))))
+    among = _among(union) if union else lambda x: F.lit(False)
+    rows = rows.withColumn("lines", F.transform("lines", lambda r: F.struct(r["x"].alias("x"), r["w"].alias("w"), r["ended"].alias("ended"), r["marked"].alias("marked"), F.filter(r["w"], among).alias("c"))))
+    rows = rows.withColumn("words", F.flatten(F.transform("lines", lambda r: r["w"]))).withColumn("known", F.flatten(F.transform("lines", lambda r: r["c"])))
     own = {lang: [w for g, w in words if g == lang] for lang in langs}
-    hits = [F.size(F.filter("words", _among(own[lang]))).alias(f"n_{lang}") for lang in langs]
+    hits = [F.size(F.filter("known", _among(own[lang]))).alias(f"n_{lang}") for lang in langs]
 
     def prose(line: Column) -> Column:
         """Whether a line reads as a sentence or more."""
-        x, w = line["x"], line["w"]
+        x, w, ended = line["x"], line["w"], line["ended"]
         n = F.size(w)
-        share = F.size(F.filter(w, lambda y: y.isin(union))) / F.greatest(n, F.lit(1)) if union else F.lit(0.0)
-        ended = x.rlike(r"[.!?:…][\"”»’')]*\s*$")
+        share = F.size(line["c"]) / F.greatest(n, F.lit(1))
         return (
-            (n >= 4) & (share >= 0.12) & (share <= 0.8)
-            & (_count(x, _SYMBOL) <= 0.06 * F.length(x)) & (_count(x, r"\d") <= 0.12 * F.length(x))
-            & (ended | (F.length(x) >= 45)) & (~x.rlike(_MARK) | ((n >= 8) & ended))
-            & ((F.size(F.array_distinct(w)) >= 0.4 * n) | (n >= 60)) & ~x.rlike(r"\.{4,}|\s{4,}\S+\s{4,}")
+            (n >= 4) & (share >= 0.12) & (share <= 0.8) & (ended | (F.length(x) >= 45)) & (~line["marked"] | ((n >= 8) & ended))
+            & ((F.size(F.array_distinct(w)) >= 0.4 * n) | (n >= 60))
+            & (_count(x, _SYMBOL) <= 0.06 * F.length(x)) & (_count(x, r"\d") <= 0.12 * F.length(x)) & ~x.rlike(r"\.{4,}|\s{4,}\S+\s{4,}")
         )
 
     n_lines, n_words = F.size("lines"), F.size("words")
@@ -99,11 +99,11 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
         (_count(F.col("joined"), r"[^\p{L}\p{N}\s.,;:!?'’…()-]") / chars).alias("symbol_ratio"),
         (_count(F.col("joined"), r"\d") / chars).alias("digit_ratio"),
         (_count(F.col("joined"), r"\p{Lu}") / F.greatest(letters, F.lit(1))).alias("upper_ratio"),
-        (F.size(F.filter("lines", lambda r: r["x"].rlike(r"[.!?…:][\"”»’')]*\s*$"))) / n_lines).alias("punctuated_lines"),
+        (F.size(F.filter("lines", lambda r: r["ended"])) / n_lines).alias("punctuated_lines"),
         (F.log(1 + F.size(F.array_distinct("words"))) / F.greatest(F.log(1 + n_words), F.lit(0.5))).alias("distinct_share"),
         F.log(1 + n_words / n_lines).alias("log_words_per_line"),
         (prose_chars / F.greatest(line_chars, F.lit(1))).alias("prose_share"),
-        (F.size(F.filter("lines", lambda r: r["x"].rlike(_MARK))) / n_lines).alias("marked_lines"),
+        (F.size(F.filter("lines", lambda r: r["marked"])) / n_lines).alias("marked_lines"),
     )
     return out.select("*", F.when(F.col("best.n") > 0, F.col("best.lang")).otherwise("").alias("language"), (F.col("best.n") / F.greatest("n_words", F.lit(1))).alias("common_share")).drop("best")
 
