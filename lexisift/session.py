@@ -22,8 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Folders made by this process, by application, for ``clean_up``.
+_MADE: dict[str, list[str]] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes what queries of this application wrote to the shared folder, once their results are stored or read; gives how many
+    folders that were. Tables that are still to be computed from them can't be any more."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
