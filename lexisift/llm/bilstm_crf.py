@@ -98,41 +98,47 @@ class Tagger:
         """ids (steps, rows), 0 where padded at the end -> scores (steps, tags, rows), until the next call."""
         steps, n = ids.shape
         h_ = self.hidden
-        embedding, both = self._prepared()
+        embedding, ((gates0, weights0), (gates1, weights1)) = self._prepared()
         width = len(embedding)
         out = self._room("scores", steps, self.tags, n)
         got = np.empty((self.tags, n), np.float32)
-        z = np.empty((3 * h_, n), np.float32)
+        # both directions side by side: the first columns go forwards, the others backwards
+        z = np.empty((3 * h_, 2 * n), np.float32)
         i, o, a = (z[k * h_ : (k + 1) * h_] for k in range(3))
-        ids = ids.astype(np.intp)
-        padded = (ids == 0).any(1)
-        fed = np.ones((h_ + width + 1, n), np.float32)  # the state before, the embedding, a constant
+        ids = np.concatenate([ids, ids[::-1]], 1).astype(np.intp)
+        padded = (ids[:, n:] == 0).any(1)
+        fed = np.ones((h_ + width + 1, 2 * n), np.float32)  # the state before, the embedding, a constant
         h, x = fed[:h_], fed[h_ : h_ + width]
-        for d in (0, 1):
-            gates, weights = both[d]
-            h[:] = 0
-            c = np.zeros((h_, n), np.float32)
-            for k in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                np.take(embedding, ids[k], axis=1, out=x, mode="clip")
-                np.matmul(gates, fed, out=z)
-                np.tanh(z, out=z)
-                a -= c
-                i += 1
-                i *= a
-                i *= 0.5
-                c += i
-                np.tanh(c, out=h)
-                o += 1
-                h *= o
-                if d == 0:
-                    np.matmul(weights, h, out=out[k])
-                else:
-                    if padded[k]:  # padding lies before the text when read backwards
-                        pad = ids[k] == 0
-                        h[:, pad] = 0
-                        c[:, pad] = 0
-                    np.matmul(weights, h, out=got)
-                    out[k] += got
+        h[:] = 0
+        c = np.zeros((h_, 2 * n), np.float32)
+        for k in range(steps):
+            np.take(embedding, ids[k], axis=1, out=x, mode="clip")
+            np.matmul(gates0, fed[:, :n], out=z[:, :n])
+            np.matmul(gates1, fed[:, n:], out=z[:, n:])
+            np.tanh(z, out=z)
+            a -= c
+            i += 1
+            i *= a
+            i *= 0.5
+            c += i
+            np.tanh(c, out=h)
+            o += 1
+            h *= o
+            if padded[k]:  # padding lies before the text when read backwards
+                pad = np.flatnonzero(ids[k, n:] == 0) + n
+                h[:, pad] = 0
+                c[:, pad] = 0
+            j = steps - 1 - k
+            if k <= j:  # the first to come to a character
+                np.matmul(weights0, h[:, :n], out=out[k])
+            else:
+                np.matmul(weights0, h[:, :n], out=got)
+                out[k] += got
+            if k < j:
+                np.matmul(weights1, h[:, n:], out=out[j])
+            else:
+                np.matmul(weights1, h[:, n:], out=got)
+                out[j] += got
         out += self.w["b"][:, None]
         return out
 
