@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _constants as sre
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +61,39 @@ def adjusted(text: str, at: int, base: float) -> float:
     return base
 
 
+def required(pattern: str, flags: int = 0) -> tuple[str, ...]:
+    """Words, in lower case, of which every text that the pattern matches holds one; empty if none can be told. They are read from
+    the parsed pattern: runs of letters that stand outside of what is optional, or one from each of several ways."""
+
+    def of(items) -> tuple[str, ...]:
+        found: list[tuple[str, ...]] = []
+        run: list[str] = []
+
+        def close() -> None:
+            if run:
+                found.append(("".join(run).lower(),))
+                run.clear()
+
+        for kind, value in items:
+            if kind is sre.LITERAL and value < 128:
+                run.append(chr(value))
+                continue
+            close()
+            if kind is sre.SUBPATTERN:
+                found.append(of(value[3]))
+            elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] >= 1:
+                found.append(of(value[2]))
+            elif kind is sre.ATOMIC_GROUP:
+                found.append(of(value))
+            elif kind is sre.BRANCH:
+                ways = [of(x) for x in value[1]]
+                found.append(tuple(dict.fromkeys(w for x in ways for w in x)) if all(ways) else ())
+        close()
+        return max((x for x in found if x), key=lambda x: min(map(len, x)), default=())
+
+    return of(parser.parse(pattern, flags))
+
+
 @lru_cache(16)
 def _compiled(probes: tuple[Probe, ...]) -> list[tuple]:
     out = []
@@ -67,7 +102,7 @@ def _compiled(probes: tuple[Probe, ...]) -> list[tuple]:
             rx = re.compile(p.pattern, re.M | (re.I if p.ignore_case else 0))
         except re.error:
             continue  # a pattern that no engine takes never fires
-        out.append((p, rx, p.unless and re.compile(p.unless), p.nowhere and re.compile(p.nowhere), p.wanted and re.compile(p.wanted, re.I), p.paths and re.compile(p.paths)))
+        out.append((p, rx, p.unless and re.compile(p.unless), p.nowhere and re.compile(p.nowhere), p.wanted and re.compile(p.wanted, re.I), p.paths and re.compile(p.paths), required(p.pattern, re.I if p.ignore_case else 0)))
     return out
 
 
@@ -76,9 +111,11 @@ def run(text: str | None, extension: str | None, probes: tuple[Probe, ...], adju
         return []
     hits = []
     lower = text.lower()
-    for p, rx, unless, nowhere, wanted, paths in _compiled(probes):
+    for p, rx, unless, nowhere, wanted, paths, words in _compiled(probes):
         if p.extensions and extension not in p.extensions or paths and not paths.search(path) or p.needs and not any(w in lower for w in p.needs):
             continue
+        if words and not any(w in lower for w in words):  # finding words costs far less than running the pattern
+            continue
         found = list(rx.finditer(text))
         if not found or (wanted and not wanted.search(text)) or (nowhere and nowhere.search(text)):
             continue
