@@ -57,9 +57,10 @@ def test_read_folder(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.py").write_text("x = 1\n")
     (tmp_path / "b.png").write_bytes(b"\x00")
-    (tmp_path / "c.txt").write_bytes(b"caf\xe9")
+    (tmp_path / "c.txt").write_bytes(b"caf\xe9")  # read by a guess
+    (tmp_path / "d.txt").write_bytes(b"\x01\xff")  # nothing to guess
     rows = {r["file_path"]: r["content"] for r in scanner.read_folder(spark, str(tmp_path)).collect()}
-    assert rows == {"src/a.py": "x = 1\n", "c.txt": "caf\ufffd"}
+    assert rows == {"src/a.py": "x = 1\n", "c.txt": "café", "d.txt": "\x01\ufffd"}
 
 
 def test_config_hits(spark):
